@@ -48,7 +48,9 @@ def nest(members: DataFrame, section_size: int = 10_000) -> DataFrame:
     sections = (
         placed.withColumn("section", F.floor((F.col("_place") - 1) / section_size))
         .groupBy(*SNAPSHOT, "category", "section")
-        .agg(F.array_sort(F.collect_list(F.struct("ord", *MEMBER_FIELDS))).alias("members"))
+        .agg(F.array_sort(
+                F.collect_list(F.struct("ord", *MEMBER_FIELDS)), lambda a, b: F.signum(a["ord"] - b["ord"]).cast("int")
+            ).alias("members"))
     )
     return sections.join(category_counts(members), [*SNAPSHOT, "category"])
 
