@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space removed by a full Unicode trim.
+# White space removed by a full Unicode trim, as characters and as a pattern.
+SPACE_CHARACTERS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 # Fixed value: two names are similar when their score is strictly above this.
@@ -13,7 +14,7 @@ NAME_THRESHOLD = 0.85
 
 
 def full_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def norm(c: Column) -> Column:

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions.text import clean_email, first_of, norm, url_key
 from rosterlens.operators.nesting import SNAPSHOT
-from rosterlens.operators.ordered import POSITION_BITS, smallest_cover
+from rosterlens.operators.ordered import END, smallest_cover
 from rosterlens.session import stage
 
 # After this many rounds, snapshots with few open rows are finished in one pass each.
-ROUNDS_BEFORE_FINISH = 4
+ROUNDS_BEFORE_FINISH = 2
 SMALL_GROUP_ROWS = 100_000
 
 
@@ -127,22 +127,27 @@ def _records(assigned: DataFrame, text: str) -> DataFrame:
 
 
 def name_title_spans(assigned: DataFrame, growth: DataFrame) -> DataFrame:
-    """(snapshot, key, low, high, owner): the key a person answers to, for members in (low, high]."""
-    own = assigned.where("ord = leader").select(
-        *SNAPSHOT, "leader", "ord", *[F.struct(F.col(c).alias("v")).alias(c) for c in ("name", "title")]
+    """(snapshot, key, low, high, owner): the key a person answers to, for members in (low, high].
+
+    Only people that grew need their steps put in order; the others answer to one key for good.
+    """
+    person = [*SNAPSHOT, "leader"]
+    own = assigned.where("ord = leader").select(*person, "ord", "name", "title")
+    grown = growth.select(*person).distinct()
+    still = own.join(grown, person, "left_anti").select(
+        *SNAPSHOT, "name", "title", F.col("ord").alias("low"), F.lit(END).alias("high"), F.col("leader").alias("owner")
     )
-    steps = own.unionByName(growth).groupBy(*SNAPSHOT, "leader", "ord").agg(
-        F.max("name").alias("name"), F.max("title").alias("title")
+    first = own.join(grown, person, "left_semi").select(
+        *person, "ord", *[F.struct(F.col(c).alias("v")).alias(c) for c in ("name", "title")]
     )
-    line = Window.partitionBy(*SNAPSHOT, "leader").orderBy("ord")
+    steps = first.unionByName(growth).groupBy(*person, "ord").agg(F.max("name").alias("name"), F.max("title").alias("title"))
+    line = Window.partitionBy(*person).orderBy("ord")
     so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    current = {c: F.last(c, ignorenulls=True).over(so_far) for c in ("name", "title")}
-    spans = steps.select(
-        *SNAPSHOT, F.col("leader").alias("owner"), F.col("ord").alias("low"),
-        F.coalesce(F.lead("ord").over(line), F.lit(2**POSITION_BITS - 1)).alias("high"),
-        *[current[c]["v"].alias(c) for c in current],
+    moving = steps.select(
+        *SNAPSHOT, *[F.last(c, ignorenulls=True).over(so_far)["v"].alias(c) for c in ("name", "title")],
+        F.col("ord").alias("low"), F.coalesce(F.lead("ord").over(line), F.lit(END)).alias("high"), F.col("leader").alias("owner"),
     )
-    return spans.select(
+    return still.unionByName(moving).select(
         *SNAPSHOT, name_title_key(F.col("name"), F.col("title")).alias("key"), "low", "high", "owner"
     ).where("key is not null")
 
@@ -160,7 +165,8 @@ def _reassign(assigned: DataFrame, growth: DataFrame) -> DataFrame:
     owners = owners.groupBy(*key).agg(F.min("ord").alias("owner"))
     by_key = fixed.join(owners, key).where("owner < ord").select(*SNAPSHOT, "ord", "owner")
     points = keys.where(F.col("key").startswith("n:")).select(*key, "ord")
-    by_name = smallest_cover(points, name_title_spans(assigned, growth), key).select(*SNAPSHOT, "ord", "owner")
+    spans = stage(name_title_spans(assigned, growth), "spans")
+    by_name = smallest_cover(points, spans, key).select(*SNAPSHOT, "ord", "owner")
     best = by_key.unionByName(by_name).groupBy(*SNAPSHOT, "ord").agg(F.min("owner").alias("leader"))
     return rows.join(best, [*SNAPSHOT, "ord"], "left").withColumn("leader", F.coalesce("leader", "ord"))
 
@@ -168,13 +174,13 @@ def _reassign(assigned: DataFrame, growth: DataFrame) -> DataFrame:
 def follow_growth(assigned: DataFrame) -> DataFrame:
     """Correct ``leader`` for people whose name or title grew inside the snapshot."""
     assigned = stage(assigned, "first-leaders")
-    grown = _growth(assigned)
-    touched = stage(grown.select(*SNAPSHOT).distinct(), "grown")
-    if touched.isEmpty():
+    growth = stage(_growth(assigned), "growth")
+    if growth.isEmpty():
         return assigned
+    touched = growth.select(*SNAPSHOT).distinct()
     done, current = [assigned.join(touched, SNAPSHOT, "left_anti")], assigned.join(touched, SNAPSHOT, "left_semi")
     while True:
-        step = stage(_reassign(current, _growth(current)), "leaders-step")
+        step = stage(_reassign(current, growth), "leaders-step")
         old = current.select(*SNAPSHOT, "ord", F.col("leader").alias("_old"))
         moved = step.join(old, [*SNAPSHOT, "ord"]).where("leader <> _old").select(*SNAPSHOT).distinct()
         moved = stage(moved, "moved")
@@ -182,6 +188,7 @@ def follow_growth(assigned: DataFrame) -> DataFrame:
         if moved.isEmpty():
             break
         current = step.join(moved, SNAPSHOT, "left_semi")
+        growth = stage(_growth(current), "growth")
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
@@ -190,7 +197,9 @@ def follow_growth(assigned: DataFrame) -> DataFrame:
 
 def assign_leaders(members: DataFrame) -> DataFrame:
     """Add ``leader``: the ``ord`` of the person each member row belongs to."""
-    return follow_growth(first_leaders(members))
+    slim = members.select(*SNAPSHOT, "ord", "name", "title", F.slice("emails", 1, 1).alias("emails"), "profile_url")
+    leaders = follow_growth(first_leaders(slim)).select(*SNAPSHOT, "ord", "leader")
+    return members.join(leaders, [*SNAPSHOT, "ord"])
 
 
 def merge_people(assigned: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from rosterlens.operators.ordered import grouped_rank
 from rosterlens.session import stage
 
-ROUNDS_BEFORE_FINISH = 3
+ROUNDS_BEFORE_FINISH = 1
 SMALL_GROUP_ROWS = 50_000
 
 
@@ -107,9 +107,10 @@ def link_in_order(
             links, small = _finish_small(edges, before, after, group)
             found.append(stage(links, "links"))
             small = stage(small, "small-groups")
-            edges, before, after = (stage(t.join(small, group, "left_anti"), "open") for t in (edges, before, after))
+            edges = stage(edges.join(small, group, "left_anti"), "edges")
             if edges.isEmpty():
                 break
+            before, after = (stage(t.join(small, group, "left_anti"), "open") for t in (before, after))
         links = stage(_settle_round(edges, before, after, group), "links")
         found.append(links.select(*group, "b", "a"))
         before = before.join(links.select(*group, "b"), [*group, "b"], "left_anti")

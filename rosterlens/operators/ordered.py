@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGE_WIDTH = 100_000
+# An order position that none reaches.
+END = 2**62
 
 
 def _range_of(order: str, width: int) -> Column:
@@ -60,11 +62,7 @@ def keep_first(df: DataFrame, keys: list[str | Column], order: str) -> DataFrame
     return grouped.agg(F.min_by(row, F.col(order)).alias("_row")).select("_row.*")
 
 
-# Positions are below 2 ** POSITION_BITS.
-POSITION_BITS = 40
-
-
-def _cover_nodes(low: Column, high: Column) -> Column:
+def _cover_nodes(low: Column, high: Column, levels: Column) -> Column:
     """Binary-tree nodes (level, index) whose ranges together make up (low, high]."""
     start = F.struct(
         (low + 1).alias("l"), (high + 1).alias("r"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out")
@@ -88,8 +86,7 @@ def _cover_nodes(low: Column, high: Column) -> Column:
             ).alias("out"),
         )
 
-    levels = F.sequence(F.lit(0), F.lit(POSITION_BITS))
-    return F.aggregate(levels, start, climb, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), levels), start, climb, lambda acc: acc["out"])
 
 
 def smallest_cover(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,24 +98,25 @@ def smallest_cover(points: DataFrame, intervals: DataFrame, keys: list[str]) ->
     """
     per_key = intervals.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct("low", "high", "owner")).alias("_i"))
     single = per_key.where("_n = 1").select(*keys, "_i.*")
-    many = per_key.where("_n > 1").select(*keys)
     direct = points.join(single, keys).where("low < ord and ord <= high").select(*points.columns, "owner")
 
-    top = F.lit(2**POSITION_BITS - 1)
+    # The tree of a key is as high as its last point needs.
+    last = points.groupBy(*keys).agg(F.max("ord").alias("_last"))
+    many = per_key.where("_n > 1").select(*keys).join(last, keys)
+    levels = F.ceil(F.log2(F.col("_last") + 2)).cast("int")
     nodes = (
-        intervals.join(many, keys, "left_semi")
-        .select(*keys, "owner", F.explode(_cover_nodes(F.col("low"), F.least(F.col("high"), top))).alias("c"))
+        intervals.join(many, keys)
+        .where("low < _last")
+        .select(*keys, "owner", F.explode(_cover_nodes(F.col("low"), F.least("high", "_last"), levels)).alias("c"))
         .groupBy(*keys, "c.level", "c.node")
         .agg(F.min("owner").alias("owner"))
     )
     above = F.transform(
-        F.sequence(F.lit(0), F.lit(POSITION_BITS)),
-        lambda level: F.struct(
-            level.alias("level"), F.call_function("shiftright", F.col("ord"), level).alias("node")
-        ),
+        F.sequence(F.lit(0), levels),
+        lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("ord"), level).alias("node")),
     )
     looked_up = (
-        points.join(many, keys, "left_semi")
+        points.join(many, keys)
         .withColumn("c", F.explode(above))
         .select(*points.columns, "c.level", "c.node")
         .join(nodes, [*keys, "level", "node"])

@@ -21,7 +21,7 @@ from rosterlens.functions.text import NAME_THRESHOLD, edit_score
 from rosterlens.session import stage
 
 # A piece that would meet more partners than this is replaced by deletion variants.
-BUSY_PIECE_PAIRS = 200_000
+BUSY_PIECE_PAIRS = 2_000
 # Deletion variants serve names that may differ in so many letters; longer names keep to pieces.
 VARIANT_MAX_EDITS = 3
 SLACK = 1e-9
@@ -84,14 +84,17 @@ def _one_shorter(words: Column) -> Column:
 
 
 def _variants(name: str, threshold: float) -> Column:
-    """The name and what is left of it after dropping up to as many letters as it may differ in."""
+    """Hashes of the name and of what is left after dropping up to as many letters as it may differ in.
+
+    Unequal variants with equal hashes only add a candidate, which the score then turns down.
+    """
     edits = _edits(F.length(name), threshold)
     level = F.array(F.col(name))
     found = level
     for k in range(1, VARIANT_MAX_EDITS + 1):
         level = F.when(edits >= k, _one_shorter(level)).otherwise(F.array().cast("array<string>"))
         found = F.concat(found, level)
-    return F.array_distinct(found)
+    return F.transform(F.array_distinct(found), lambda t: F.xxhash64(t))
 
 
 def similar_names(
@@ -111,16 +114,15 @@ def similar_names(
     lp, rp = _left_pieces(lv, group, threshold), _right_pieces(rw, group, threshold)
     meets = lp.groupBy(*at).agg(F.count("*").alias("_l")).join(rp.groupBy(*at).agg(F.count("*").alias("_r")), at)
     busy = meets.where(F.col("_l") * F.col("_r") > busy_piece_pairs).select(*at)
-    checked = [*group, "v", "w", edit_score(F.col("v"), F.col("w")).alias("score")]
-
     busy = stage(busy, "busy-pieces")
     if busy.isEmpty():
-        near = lp.join(rp, at).where("v <> w").select(*checked)
+        near = lp.join(rp, at).where("v <> w").select(*group, "v", "w")
     else:
-        near = lp.join(busy, at, "left_anti").join(rp, at).where("v <> w").select(*checked)
+        near = lp.join(busy, at, "left_anti").join(rp, at).where("v <> w").select(*group, "v", "w")
         lb, rb = lp.join(busy, at, "left_semi"), rp.join(busy, at, "left_semi")
-        near = near.unionByName(_busy_pairs(lb, rb, group, threshold).select(*checked))
-    return equal.unionByName(near.where(F.col("score") > threshold).distinct())
+        near = near.unionByName(_busy_pairs(lb, rb, group, threshold))
+    scored = near.withColumn("score", edit_score(F.col("v"), F.col("w"))).where(F.col("score") > threshold)
+    return equal.unionByName(scored.distinct())
 
 
 def _busy_pairs(lb: DataFrame, rb: DataFrame, group: list[str], threshold: float) -> DataFrame:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.functions import contacts, names, text, urls
+from rosterlens.functions import contacts, names, urls
 from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, upkeep
 from rosterlens.plans import changes, dashboard, export, search
 from rosterlens.plans import standins as s
+from rosterlens.session import stage_root
 from rosterlens.sources.elements import page_elements
+from rosterlens.streaming.intake import Intake
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -561,16 +564,30 @@ def page_links(spark, sf_dir):
     return extraction.run_rules(pages, [NAV_RULE]).select("page_id", "name", "profile_url")
 
 
+TH_RULE = extraction.Rule(
+    "th_links", extraction.Find(tag="li", inside="nav"),
+    {"name": [extraction.Find(tag="a", attr="href", prefix="/th")], "profile_url": [extraction.Find(tag="a", attr="href", take="link")]},
+    key=("name", "profile_url"),
+)
+
+
 @query
 def rule_cascade(spark, sf_dir):
-    """Winning rule and number of people per page: tables, free text, then the menu; some pages remember the menu."""
+    """Winning rule and number of people per page: tables, some links, all links; every other page remembers all links."""
     pages = s.table(spark, sf_dir, "pages")
-    rules = [extraction.GENERIC_TABLE, NAV_RULE, extraction.FREE_TEXT]
     known = pages.where("page_id % 2 = 0").select("page_id", F.lit("nav_links").alias("known_rule"))
-    people = extraction.extract_people(pages, rules, known)
+    people = extraction.extract_people(pages, [extraction.GENERIC_TABLE, TH_RULE, NAV_RULE], known)
     return extraction.page_outcomes(pages, people).select("page_id", "used_rule", "staff_count", "outcome")
 
 
+@query
+def rule_outcomes(spark, sf_dir):
+    """Pages by outcome when only links below ``/th`` count, as they become failures of the queue."""
+    pages = s.table(spark, sf_dir, "pages")
+    outcomes = extraction.page_outcomes(pages, extraction.extract_people(pages, [TH_RULE]))
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("pages"), F.sum("staff_count").alias("people"))
+
+
 @query
 def challenge_pages(spark, sf_dir):
     rows = s.table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
@@ -589,3 +606,21 @@ def ordered_rank(spark, sf_dir):
     """Position of every order in its status group: three groups hold the whole table."""
     rows = s.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey")
     return ordered.grouped_rank(rows, ["o_orderstatus"], "o_orderkey", out="place", width=1000)
+
+
+@query
+def stream_intake(spark, sf_dir):
+    """Events stream in as sightings, a snapshot per ten days; the profiles that the intake leaves."""
+    root = f"{stage_root(spark)}/intake-{uuid.uuid4().hex}"
+    user = F.col("user_id")
+    rows = spark.readStream.schema(s.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet").select(
+        (user % 10).cast("string").alias("site_id"),
+        F.expr("timestampadd(DAY, 10 * least(int((day(ts) - 1) / 10), 2), date_trunc('month', cast(ts as timestamp)))").alias("snapshot_date"),
+        F.col("event_id").alias("ord"), F.concat(F.lit("User "), user).alias("name"), F.col("event_type").alias("title"),
+        F.when(user % 3 != 0, F.concat(F.lit("user"), user, F.lit("@site.test"))).alias("email"), F.lit(None).cast("string").alias("phone"),
+        F.col("event_type").alias("category"), F.lit(None).cast("string").alias("profile_url"),
+    )
+    intake = Intake(spark, root)
+    stream = rows.writeStream.foreachBatch(intake.take).option("checkpointLocation", f"{root}/_stream").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return intake.profiles().select("site_id", "fingerprint", "canonical_name", day("first_seen_at"), day("last_seen_at"), listed("categories"))

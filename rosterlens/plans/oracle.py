@@ -337,6 +337,25 @@ ORACLE: dict[str, str] = {
     "heading_carry": """SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNORE NULLS) OVER
         (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations""",
     "page_links": f"WITH {LINKS} SELECT page_id, name, profile_url FROM people WHERE name <> ''",
+    "rule_cascade": f"""WITH {LINKS}, n AS (SELECT page_id, count(*) FILTER (name <> '') AS nav,
+        count(*) FILTER (name <> '' AND lower(regexp_extract(profile_url, '^[a-z]+://[^/]+(.*)$', 1)) LIKE '/th%') AS th FROM people GROUP BY 1)
+      SELECT page_id, CASE WHEN coalesce(nav, 0) = 0 THEN NULL WHEN page_id % 2 = 1 AND th > 0 THEN 'th_links' ELSE 'nav_links' END AS used_rule,
+        CASE WHEN page_id % 2 = 1 AND th > 0 THEN th ELSE coalesce(nav, 0) END AS staff_count, CASE WHEN nav > 0 THEN 'success' ELSE 'no_data' END AS outcome
+      FROM pages LEFT JOIN n USING (page_id)""",
+    "rule_outcomes": f"""WITH {LINKS}, n AS (SELECT page_id, count(*) FILTER (name <> '' AND lower(regexp_extract(profile_url, '^[a-z]+://[^/]+(.*)$', 1)) LIKE '/th%') AS th
+        FROM people GROUP BY 1)
+      SELECT CASE WHEN th > 0 THEN 'success' ELSE 'no_data' END AS outcome, count(*) AS pages, CAST(sum(coalesce(th, 0)) AS BIGINT) AS people
+      FROM pages LEFT JOIN n USING (page_id) GROUP BY 1""",
+    "page_element_counts": r"""WITH clean AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'),
+        '(<(script|style)[^>]*>).*?</(script|style)>', '\1', 'gs') AS h FROM pages),
+      t AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM clean)
+      SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM t GROUP BY 1""",
+    "stream_intake": f"""WITH r AS (SELECT user_id, CAST(date_trunc('month', ts) AS DATE) + CAST(10 * least((day(ts) - 1) // 10, 2) AS INTEGER) AS d, event_type FROM events),
+      l AS (SELECT user_id, min(d) AS f, max(d) AS l FROM r GROUP BY 1)
+      SELECT CAST(r.user_id % 10 AS VARCHAR) AS site_id, md5(CASE WHEN r.user_id % 3 <> 0 THEN 'user' || r.user_id || '@site.test' ELSE 'user ' || r.user_id END) AS fingerprint,
+        'User ' || r.user_id AS canonical_name, {DAY.format("any_value(f)")} AS first_seen_at, {DAY.format("any_value(l)")} AS last_seen_at,
+        string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories
+      FROM r JOIN l ON r.user_id = l.user_id AND r.d = l.l GROUP BY r.user_id""",
     "challenge_pages": f"""SELECT doc_id, doc_id % 9 = 0 OR {" OR ".join(f"contains(lower(text), '{p}')" for p in CHALLENGE_PHRASES)} AS blocked FROM documents""",
     "email_duplicates": f"""WITH f AS (SELECT doc_id, nullif(regexp_extract(text, '{EMAIL_RE}'), '') AS email FROM documents)
       SELECT min(doc_id) AS doc_id, email FROM f WHERE email IS NOT NULL GROUP BY email""",

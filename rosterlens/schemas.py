@@ -27,6 +27,7 @@ MEMBERS = _struct(
     site_id=S, snapshot_date=TS, ord=L, fingerprint=S, name=S, title=S, emails=TEXTS, phones=TEXTS,
     profile_url=S, description=S, category=S, raw=TEXT_MAP,
 )
+SNAPSHOT_KEYS = _struct(site_id=S, snapshot_date=TS)
 NESTED_MEMBER = _struct(
     fingerprint=S, name=S, title=S, emails=TEXTS, phones=TEXTS, profile_url=S, description=S, raw=TEXT_MAP
 )

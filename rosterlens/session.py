@@ -45,6 +45,16 @@ def stage_root(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/rosterlens/{label}-{uuid.uuid4().hex}"
+    path = f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _app_folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/rosterlens/{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables, once its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
