@@ -97,6 +97,7 @@ def name_links(before: DataFrame, after: DataFrame, threshold: float = NAME_THRE
     """Links by the most similar name; people of one name share a queue."""
     b = before.where(F.coalesce("name", F.lit("")) != "").select(*PAIR, norm(F.col("name")).alias("v"), F.col("ord").alias("b"))
     a = after.where(F.coalesce("name", F.lit("")) != "").select(*PAIR, norm(F.col("name")).alias("w"), F.col("ord").alias("a"))
+    b, a = stage(b, "before-names"), stage(a, "after-names")
     return link_in_order(similar_names(b, a, PAIR, threshold), b, a, PAIR)
 
 

@@ -231,6 +231,9 @@ def _with_category(people: DataFrame, marked: DataFrame) -> DataFrame:
 def assemble(marked: DataFrame, rules: list[Rule]) -> DataFrame:
     """Matched elements to cleaned person rows of every rule."""
     boxes = marked.where("kind = 'container'").select("page_id", "rule", F.col("ord").alias("c_ord"), "url").distinct()
+    # A container that is or holds a heading is a heading row, not a person.
+    heads = marked.where("kind = 'heading'").select("page_id", "rule", F.explode(F.array_append("above", F.col("ord"))).alias("c_ord"))
+    boxes = boxes.join(heads, ["page_id", "rule", "c_ord"], "left_anti")
     wanted = marked.where("kind = 'field'").withColumn("c_ord", F.explode(F.array_append("above", F.col("ord"))))
     owned = wanted.drop("url").join(boxes, ["page_id", "rule", "c_ord"])
     # The nearest container owns the element; of several elements the best finder, then the first, counts.

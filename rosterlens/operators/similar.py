@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.text import NAME_THRESHOLD, edit_score
-from rosterlens.session import stage
+from rosterlens.session import spread, stage
 
 # A piece that would meet more partners than this is replaced by deletion variants.
 BUSY_PIECE_PAIRS = 2_000
@@ -104,8 +104,8 @@ def similar_names(
     """Pairs (group, v, w, score) of distinct names of one group with a score above the threshold."""
     if not 0.5 < threshold < 1.0:
         raise ValueError("the threshold must lie between 0.5 and 1")
-    lv = left.select(*group, "v").distinct().withColumn("v_len", F.length("v"))
-    rw = right.select(*group, "w").distinct().withColumn("w_len", F.length("w"))
+    lv = stage(spread(left.select(*group, "v").distinct(), "v").withColumn("v_len", F.length("v")), "left-names")
+    rw = stage(spread(right.select(*group, "w").distinct(), "w").withColumn("w_len", F.length("w")), "right-names")
     equal = lv.join(rw.withColumnRenamed("w", "v").drop("w_len"), [*group, "v"]).select(
         *group, "v", F.col("v").alias("w"), F.lit(1.0).alias("score")
     )
@@ -134,8 +134,8 @@ def _busy_pairs(lb: DataFrame, rb: DataFrame, group: list[str], threshold: float
         lb.where(reach["v_len"]).join(rb.where(reach["w_len"]), at)
         .where((F.col("v") != F.col("w")) & (F.greatest("v_len", "w_len") > limit)).select(*group, "v", "w")
     )
-    lvar = lb.where(F.col("v_len") <= limit).select(*group, "v").distinct()
-    rvar = rb.where(F.col("w_len") <= limit).select(*group, "w").distinct()
+    lvar = spread(lb.where(F.col("v_len") <= limit).select(*group, "v").distinct(), "v")
+    rvar = spread(rb.where(F.col("w_len") <= limit).select(*group, "w").distinct(), "w")
     short_pairs = (
         lvar.withColumn("variant", F.explode(_variants("v", threshold)))
         .join(rvar.withColumn("variant", F.explode(_variants("w", threshold))), [*group, "variant"])

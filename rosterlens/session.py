@@ -50,6 +50,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even work for a step that makes many rows of each row: as many parts as a shuffle has.
+
+    The plain shuffle would be merged by its small input size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _app_folder(spark: SparkSession) -> str:
     return f"{stage_root(spark)}/rosterlens/{spark.sparkContext.applicationId}"
 
