@@ -26,7 +26,8 @@ CHALLENGE_PHRASES = [
 
 
 def find_email(text: Column) -> Column:
-    return blank_to_null(F.regexp_extract(text, f"({EMAIL_PATTERN})", 1))
+    # The plain test is far cheaper than the pattern, and most long texts have no address.
+    return F.when(F.contains(text, F.lit("@")), blank_to_null(F.regexp_extract(text, f"({EMAIL_PATTERN})", 1)))
 
 
 def find_phone(text: Column) -> Column:
@@ -123,6 +124,8 @@ def drop_placeholder(c: Column) -> Column:
 
 
 def is_challenge_page(html: Column) -> Column:
-    low = F.lower(html)
     phrases = F.array(*[F.lit(p) for p in CHALLENGE_PHRASES])
-    return F.coalesce(F.exists(phrases, lambda p: F.contains(low, p)), F.lit(False))
+    # The one-element array keeps the lowered text from being made anew for every phrase.
+    low = F.array(F.lower(html))
+    hits = F.transform(low, lambda t: F.exists(phrases, lambda p: F.contains(t, p)))
+    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(False))

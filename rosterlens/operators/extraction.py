@@ -149,7 +149,7 @@ DATA_ROWS = Rule(
         "category": [Find(tag="tr", attr="data-dept", take="attr:data-dept")],
         "email": [Find(tag="tr", attr="data-email", take="attr:data-email"), _mail()], "phone": [Find(cell=1)],
     },
-    heading=Find(tag="th", inside=".dept-heading-row"), phone_format=full_trim,
+    heading=Find(tag="h2|h3|caption"), phone_format=full_trim,
 )
 SECTION_TABLES = Rule(
     "section_tables", Find(tag="tr", inside="table"),
@@ -235,7 +235,7 @@ def assemble(marked: DataFrame, rules: list[Rule]) -> DataFrame:
     heads = marked.where("kind = 'heading'").select("page_id", "rule", F.explode(F.array_append("above", F.col("ord"))).alias("c_ord"))
     boxes = boxes.join(heads, ["page_id", "rule", "c_ord"], "left_anti")
     wanted = marked.where("kind = 'field'").withColumn("c_ord", F.explode(F.array_append("above", F.col("ord"))))
-    owned = wanted.drop("url").join(boxes, ["page_id", "rule", "c_ord"])
+    owned = wanted.drop("url").hint("merge").join(boxes, ["page_id", "rule", "c_ord"])
     # The nearest container owns the element; of several elements the best finder, then the first, counts.
     nearest = owned.groupBy("page_id", "url", "rule", "ord", "what", "choice", "value").agg(F.max("c_ord").alias("c_ord"))
     best = nearest.groupBy("page_id", "url", "rule", "c_ord", "what").agg(F.min_by("value", F.struct("choice", "ord")).alias("value"))

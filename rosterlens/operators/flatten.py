@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions.text import clean_email, first_of, norm, url_key
 from rosterlens.operators.nesting import SNAPSHOT
 from rosterlens.operators.ordered import END, smallest_cover
+from rosterlens.operators.skew import detach
 from rosterlens.session import stage
 
 # After this many rounds, snapshots with few open rows are finished in one pass each.
@@ -84,7 +85,7 @@ def find_leaders(shared: DataFrame, rounds_before_finish: int = ROUNDS_BEFORE_FI
         firsts = open_rows.groupBy(*key).agg(F.min("ord").alias("_first"))
         stands_first = F.min((F.col("ord") == F.col("_first")).cast("int"))
         leaders = stage(
-            open_rows.join(firsts, key).groupBy(*member).agg(stands_first.alias("_ok")).where("_ok = 1").drop("_ok"),
+            open_rows.join(detach(firsts), key).groupBy(*member).agg(stands_first.alias("_ok")).where("_ok = 1").drop("_ok"),
             "leaders",
         )
         found.append(leaders)
@@ -102,7 +103,7 @@ def first_leaders(members: DataFrame) -> DataFrame:
     member, key = [*SNAPSHOT, "ord"], [*SNAPSHOT, "key"]
     keys = person_keys(members)
     spread = keys.groupBy(*key).agg(F.min("ord").alias("_lo"), F.max("ord").alias("_hi")).where("_lo < _hi")
-    shared = stage(keys.join(spread.select(*key), key, "left_semi"), "shared-keys")
+    shared = stage(keys.join(detach(spread.select(*key)), key, "left_semi"), "shared-keys")
     leaders = find_leaders(shared)
     # A key has one leader at most, as any later holder is absorbed by it.
     led = shared.join(leaders, member, "left_semi").select(*key, F.col("ord").alias("_leader"))
@@ -163,7 +164,7 @@ def _reassign(assigned: DataFrame, growth: DataFrame) -> DataFrame:
     fixed = keys.where(~F.col("key").startswith("n:"))
     owners = fixed.join(assigned.where("ord = leader").select(*SNAPSHOT, "ord"), [*SNAPSHOT, "ord"], "left_semi")
     owners = owners.groupBy(*key).agg(F.min("ord").alias("owner"))
-    by_key = fixed.join(owners, key).where("owner < ord").select(*SNAPSHOT, "ord", "owner")
+    by_key = fixed.join(detach(owners), key).where("owner < ord").select(*SNAPSHOT, "ord", "owner")
     points = keys.where(F.col("key").startswith("n:")).select(*key, "ord")
     spans = stage(name_title_spans(assigned, growth), "spans")
     by_name = smallest_cover(points, spans, key).select(*SNAPSHOT, "ord", "owner")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions.text import blank_to_null, first_of, norm
 from rosterlens.operators.nesting import SNAPSHOT, person_rows
+from rosterlens.operators.skew import detach
 
 
 def stateless_fingerprint(email: Column, name: Column) -> Column:
@@ -39,7 +40,7 @@ def _lookup(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
     """Left lookup by (site, key). Rows without a key are spread over all tasks instead of sharing one."""
     spread = F.concat(F.lit("\u0001"), F.xxhash64(*SNAPSHOT, "ord").cast("string"))
     probed = rows.withColumn("probe", F.coalesce(F.col(key), spread))
-    return probed.join(known, ["site_id", "probe"], "left").drop("probe")
+    return probed.join(detach(known), ["site_id", "probe"], "left").drop("probe")
 
 
 def resolve_identity(people: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.operators.ordered import grouped_rank
+from rosterlens.operators.skew import detach
 from rosterlens.session import stage
 
 ROUNDS_BEFORE_FINISH = 1
@@ -95,8 +96,8 @@ def link_in_order(
     """Links (group, b, a) from edges (group, v, w, score), before (group, v, b) and after (group, w, a)."""
     v_key, w_key = [*group, "v"], [*group, "w"]
     edges = stage(edges.select(*group, "v", "w", "score"), "edges")
-    before = before.join(edges.select(*v_key).distinct(), v_key, "left_semi").select(*v_key, "b")
-    after = after.join(edges.select(*w_key).distinct(), w_key, "left_semi").select(*w_key, "a")
+    before = before.join(detach(edges.select(*v_key).distinct()), v_key, "left_semi").select(*v_key, "b")
+    after = after.join(detach(edges.select(*w_key).distinct()), w_key, "left_semi").select(*w_key, "a")
     before = stage(grouped_rank(before, v_key, "b"), "before")
     after = stage(grouped_rank(after, w_key, "a"), "after")
     found: list[DataFrame] = []
@@ -120,8 +121,8 @@ def link_in_order(
             .join(after.select(*w_key).distinct(), w_key, "left_semi"),
             "edges",
         )
-        before = stage(before.join(edges.select(*v_key).distinct(), v_key, "left_semi"), "before")
-        after = stage(after.join(edges.select(*w_key).distinct(), w_key, "left_semi"), "after")
+        before = stage(before.join(detach(edges.select(*v_key).distinct()), v_key, "left_semi"), "before")
+        after = stage(after.join(detach(edges.select(*w_key).distinct()), w_key, "left_semi"), "after")
     if not found:
         return before.select(*group, "b", F.lit(0).cast("bigint").alias("a")).limit(0)
     result = found[0]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlens.operators.skew import detach
+
 RANGE_WIDTH = 100_000
 # An order position that none reaches.
 END = 2**62
@@ -98,7 +100,7 @@ def smallest_cover(points: DataFrame, intervals: DataFrame, keys: list[str]) ->
     """
     per_key = intervals.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct("low", "high", "owner")).alias("_i"))
     single = per_key.where("_n = 1").select(*keys, "_i.*")
-    direct = points.join(single, keys).where("low < ord and ord <= high").select(*points.columns, "owner")
+    direct = points.join(detach(single), keys).where("low < ord and ord <= high").select(*points.columns, "owner")
 
     # The tree of a key is as high as its last point needs.
     last = points.groupBy(*keys).agg(F.max("ord").alias("_last"))
@@ -116,9 +118,10 @@ def smallest_cover(points: DataFrame, intervals: DataFrame, keys: list[str]) ->
         lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("ord"), level).alias("node")),
     )
     looked_up = (
-        points.join(many, keys)
+        points.join(detach(many), keys)
         .withColumn("c", F.explode(above))
         .select(*points.columns, "c.level", "c.node")
+        .hint("merge")
         .join(nodes, [*keys, "level", "node"])
         .groupBy(*points.columns)
         .agg(F.min("owner").alias("owner"))

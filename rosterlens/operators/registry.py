@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions.text import full_trim, local_year_month
 from rosterlens.functions.urls import ensure_protocol, repair_doubled
 from rosterlens.operators.ordered import keep_first
+from rosterlens.operators.skew import detach
 from rosterlens.schemas import REGISTRY_JSON
 
 URL_COLUMNS = ["base_url", "staff_directory", "athletic_website", "college_website"]
@@ -139,7 +140,7 @@ def dedupe_registry(rows: DataFrame, order: str = "ord") -> DataFrame:
         F.min_by(F.struct(F.col("_has_id").alias("has_id"), F.col(order).alias("ord"), F.col("base_url").alias("base_url")), F.struct(~F.col("_has_id"), F.col(order))).alias("_best")
     )
     other_site = F.col("_has_id") & F.col("_best.has_id") & ~F.col("base_url").eqNullSafe(F.col("_best.base_url"))
-    return keyed.join(best, "_page").where((F.col(order) == F.col("_best.ord")) | other_site).select(*rows.columns)
+    return keyed.join(detach(best), "_page").where((F.col(order) == F.col("_best.ord")) | other_site).select(*rows.columns)
 
 
 def processed_this_month(now: Column, tz: str = "America/New_York") -> Column:

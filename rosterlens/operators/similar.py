@@ -8,6 +8,9 @@ Joining on (piece number, piece text) finds every similar pair; the score is che
 Names with a common beginning share pieces with everyone. Pieces that would meet too many
 partners are taken out, and the names that touch them are joined on their deletion variants
 (the name without up to k letters): two names within k edits share one, and few others do.
+
+Exploded sides are joined by sorting: their size is that of the small table before the explosion
+in the planner's eyes, so it must not choose to broadcast them.
 """
 
 from __future__ import annotations
@@ -112,13 +115,13 @@ def similar_names(
 
     at = [*group, "w_len", "piece_no", "piece"]
     lp, rp = _left_pieces(lv, group, threshold), _right_pieces(rw, group, threshold)
-    meets = lp.groupBy(*at).agg(F.count("*").alias("_l")).join(rp.groupBy(*at).agg(F.count("*").alias("_r")), at)
+    meets = lp.groupBy(*at).agg(F.count("*").alias("_l")).hint("merge").join(rp.groupBy(*at).agg(F.count("*").alias("_r")), at)
     busy = meets.where(F.col("_l") * F.col("_r") > busy_piece_pairs).select(*at)
     busy = stage(busy, "busy-pieces")
     if busy.isEmpty():
-        near = lp.join(rp, at).where("v <> w").select(*group, "v", "w")
+        near = lp.hint("merge").join(rp, at).where("v <> w").select(*group, "v", "w")
     else:
-        near = lp.join(busy, at, "left_anti").join(rp, at).where("v <> w").select(*group, "v", "w")
+        near = lp.join(busy, at, "left_anti").hint("merge").join(rp, at).where("v <> w").select(*group, "v", "w")
         lb, rb = lp.join(busy, at, "left_semi"), rp.join(busy, at, "left_semi")
         near = near.unionByName(_busy_pairs(lb, rb, group, threshold))
     scored = near.withColumn("score", edit_score(F.col("v"), F.col("w"))).where(F.col("score") > threshold)
@@ -131,13 +134,13 @@ def _busy_pairs(lb: DataFrame, rb: DataFrame, group: list[str], threshold: float
     at = [*group, "w_len", "piece_no", "piece"]
     reach = {c: _longest_partner(F.col(c), threshold) > limit for c in ("v_len", "w_len")}
     long_pairs = (
-        lb.where(reach["v_len"]).join(rb.where(reach["w_len"]), at)
+        lb.where(reach["v_len"]).hint("merge").join(rb.where(reach["w_len"]), at)
         .where((F.col("v") != F.col("w")) & (F.greatest("v_len", "w_len") > limit)).select(*group, "v", "w")
     )
     lvar = spread(lb.where(F.col("v_len") <= limit).select(*group, "v").distinct(), "v")
     rvar = spread(rb.where(F.col("w_len") <= limit).select(*group, "w").distinct(), "w")
     short_pairs = (
-        lvar.withColumn("variant", F.explode(_variants("v", threshold)))
+        lvar.withColumn("variant", F.explode(_variants("v", threshold))).hint("merge")
         .join(rvar.withColumn("variant", F.explode(_variants("w", threshold))), [*group, "variant"])
         .where("v <> w").select(*group, "v", "w")
     )

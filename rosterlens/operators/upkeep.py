@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions.text import in_local_month, truncate
 from rosterlens.operators.nesting import SNAPSHOT
 from rosterlens.operators.registry import registry_of_sites
+from rosterlens.operators.skew import detach
 from rosterlens.operators.snapshots import newest_dates, snapshot_dates
 
 HTML_EXCERPT = 5000
@@ -43,7 +44,7 @@ def update_failures(failed: DataFrame, outcomes: DataFrame) -> DataFrame:
     A success clears the directory; failures after it count anew. Attempts add up, the newest failure gives the texts.
     """
     cleared = outcomes.where("success").groupBy("staff_directory").agg(F.max("at").alias("_cleared"))
-    fresh = outcomes.where("not success").join(cleared, "staff_directory", "left").where("_cleared is null or at > _cleared")
+    fresh = outcomes.where("not success").join(detach(cleared), "staff_directory", "left").where("_cleared is null or at > _cleared")
     fresh = fresh.select(
         "staff_directory", "base_url", "failure_type", truncate(F.col("error_message"), ERROR_TEXT).alias("error_message"),
         truncate(F.col("html"), HTML_EXCERPT).alias("html_excerpt"), F.col("at").alias("last_attempt"),

@@ -13,7 +13,7 @@ from rosterlens.functions import contacts, names, urls
 from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, upkeep
 from rosterlens.plans import changes, dashboard, export, search
 from rosterlens.plans import standins as s
-from rosterlens.session import stage_root
+from rosterlens.session import stage, stage_root
 from rosterlens.sources.elements import page_elements
 from rosterlens.streaming.intake import Intake
 
@@ -328,7 +328,7 @@ def change_quality(spark, sf_dir):
 def export_audit(spark, sf_dir):
     """Daily changes of all sites, exported and checked against their logs and snapshots."""
     members = s.members(spark, sf_dir)
-    entries = compare.compare_by_fingerprint(members)
+    entries = stage(compare.compare_by_fingerprint(members), "entries")
     exported = entries.select(export.change_code().alias("change_type"), F.col("fingerprint").alias("unique_id")).distinct()
     rows = export.audit_export(exported, entries, changes.build_change_log(entries), members)
     return rows.select("change_type", "unique_id", "in_from", "in_to", "verdict")

@@ -13,6 +13,7 @@ from rosterlens.functions.names import (
 from rosterlens.functions.text import blank_to_null, show_list
 from rosterlens.operators.identity import primary
 from rosterlens.operators.registry import by_base_url
+from rosterlens.operators.skew import detach
 
 # Change codes of updated fields, and the code where none applies.
 FIELD_CODES = {"name": "j", "title": "j", "emails": "e", "phones": "#", "categories": "a"}
@@ -212,7 +213,7 @@ def audit_export(exported: DataFrame, entries: DataFrame, change_log: DataFrame,
     present = members.select("site_id", "snapshot_date", F.col("fingerprint").alias("unique_id")).distinct()
     rows = (
         exported.where((F.col("unique_id") != "") & (F.col("change_type") != ""))
-        .join(newest.withColumnRenamed("fingerprint", "unique_id"), "unique_id", "left")
+        .join(detach(newest.withColumnRenamed("fingerprint", "unique_id")), "unique_id", "left")
         .withColumns({c: F.col(f"log.{c}") for c in ("change_id", "site_id", "from_date", "to_date")})
     )
     for side in ("from", "to"):

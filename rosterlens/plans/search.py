@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions.contacts import digits
 from rosterlens.operators.nesting import SNAPSHOT
+from rosterlens.operators.skew import detach
 
 SUGGEST_FIELDS = ["name", "title", "category", "email"]
 
@@ -70,7 +71,7 @@ def search_people(
         if category_scope == "member":
             rows = rows.where(match)
         else:
-            rows = rows.join(rows.where(match).select(*SNAPSHOT).distinct(), SNAPSHOT, "left_semi")
+            rows = rows.join(detach(rows.where(match).select(*SNAPSHOT).distinct()), SNAPSHOT, "left_semi")
     hits = rows.where(person_filter(name, email, phone, title, exact, regex))
 
     # Per person and snapshot first: what is left per person is one row per snapshot.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rosterlens import schemas
-from rosterlens.operators.compare import compare_fuzzy
+from rosterlens.operators.compare import PAIR, compare_fuzzy
 from rosterlens.operators.identity import resolve_identity, to_members, upsert_profiles
 from rosterlens.operators.nesting import SNAPSHOT
 from rosterlens.operators.snapshots import adjacent_pairs, snapshot_dates
@@ -43,8 +43,9 @@ class Intake:
         return self._read("seen", schemas.SNAPSHOT_KEYS)
 
     def change_log(self) -> DataFrame:
-        """Logs whose snapshots are both still kept."""
-        return drop_dangling_logs(self._read("change_log", schemas.CHANGE_LOG), snapshot_dates(self.members()))
+        """Logs between neighbouring kept snapshots; others were retired with their snapshots."""
+        pairs = adjacent_pairs(snapshot_dates(self.members()))
+        return self._read("change_log", schemas.CHANGE_LOG).join(pairs, PAIR, "left_semi")
 
     def entries(self) -> DataFrame:
         return self._read("entries", schemas.ENTRIES).join(self.change_log().select("change_id"), "change_id", "left_semi")
@@ -59,9 +60,14 @@ class Intake:
         stored = self.members().join(sites, "site_id", "left_semi").join(snapshot_dates(members), SNAPSHOT, "left_anti")
         everyone = stage(stored.unionByName(members.select(*stored.columns)), "members")
 
-        logs = self._read("change_log", schemas.CHANGE_LOG).join(sites, "site_id", "left_semi")
-        pairs = adjacent_pairs(snapshot_dates(everyone)).join(logs, ["site_id", "from_date", "to_date"], "left_anti")
-        new_entries = stage(compare_fuzzy(everyone, stage(pairs, "pairs")), "entries")
+        # Only pairs with a new snapshot are compared; a late snapshot also replaces the pair it splits.
+        pairs, new = adjacent_pairs(snapshot_dates(everyone)), snapshot_dates(members).withColumn("_new", F.lit(True))
+        for date in ("from_date", "to_date"):
+            mark = new.select("site_id", F.col("snapshot_date").alias(date), F.col("_new").alias(f"_{date}"))
+            pairs = pairs.join(mark, ["site_id", date], "left")
+        pairs = stage(pairs.select(*PAIR, F.coalesce("_from_date", "_to_date", F.lit(False)).alias("is_new")), "pairs")
+        new_entries = stage(compare_fuzzy(everyone, pairs.where("is_new").drop("is_new")), "entries")
+        logs = self._read("change_log", schemas.CHANGE_LOG).join(pairs.where("not is_new"), PAIR, "left_semi")
         old_entries = self._read("entries", schemas.ENTRIES).join(sites, "site_id", "left_semi")
         kept = keep_newest(everyone, self.keep)
         dates = snapshot_dates(kept)
