@@ -18,10 +18,10 @@ def executed_plan(df):
 
 
 def test_hot_key_is_split(spark):
-    old = {k: spark.conf.get(k) for k in SMALL}
+    old = {k: spark.conf.get(k, None) for k in SMALL}
     try:
         for k, v in SMALL.items():
-            spark.conf.set(k, v)
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
         rows = spark.range(0, 200000, 1, 8).select(
             F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20000).alias("k"), F.md5(F.col("id").cast("string")).alias("v")
         )
@@ -37,4 +37,4 @@ def test_hot_key_is_split(spark):
         assert hot.count() == 1 + pages.where("ord % 9 = 0 and ord % 2 = 1").count()
     finally:
         for k, v in old.items():
-            spark.conf.set(k, v)
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
