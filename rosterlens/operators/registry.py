@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions.text import full_trim, local_year_month
 from rosterlens.functions.urls import ensure_protocol, repair_doubled
-from rosterlens.operators.ordered import keep_first
+from rosterlens.operators.ordered import grouped_rank, keep_first
 from rosterlens.operators.skew import detach
 from rosterlens.schemas import REGISTRY_JSON
 
@@ -73,7 +73,7 @@ def merge_plan(registry: DataFrame, incoming: DataFrame, order: str = "ord") ->
         "staff_directory", F.lit(-1).cast("bigint").alias("ord"), F.struct(*MERGED_FIELDS, "is_active").alias("new")
     )
     # The row before: positions of one page, paired by rank, so that a page listed very often stays distributed.
-    ranked = _ranked(rows.withColumn("ord", F.col("ord").cast("bigint")), stored)
+    ranked = grouped_rank(rows.withColumn("ord", F.col("ord").cast("bigint")).unionByName(stored), ["staff_directory"], "ord")
     previous = ranked.select("staff_directory", (F.col("rank") + 1).alias("rank"), F.col("new").alias("old"))
     paired = ranked.where("ord >= 0").join(previous, ["staff_directory", "rank"], "left")
     changed = F.array_compact(
@@ -89,12 +89,6 @@ def merge_plan(registry: DataFrame, incoming: DataFrame, order: str = "ord") ->
     return planned.unionByName(skipped, allowMissingColumns=True)
 
 
-def _ranked(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    from rosterlens.operators.ordered import grouped_rank
-
-    return grouped_rank(rows.unionByName(stored), ["staff_directory"], "ord")
-
-
 def merge_registry(registry: DataFrame, incoming: DataFrame, order: str = "ord") -> DataFrame:
     """The registry after the merge: the last complete incoming row of a page gives the merged fields."""
     plan = merge_plan(registry, incoming, order).where("base_url <> '' and staff_directory <> ''")

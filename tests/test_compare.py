@@ -10,6 +10,7 @@ from rosterlens.operators.compare import compare_by_fingerprint, compare_fuzzy
 from rosterlens.operators.snapshots import adjacent_pairs, snapshot_dates
 from rosterlens.plans.changes import build_change_log, reprocess
 from rosterlens.plans.export import change_code, change_details
+from rosterlens.schemas import NESTED_SNAPSHOTS
 
 ANN = dict(name="Ann Example", emails=["ann@ex.test"], fingerprint="ann")
 
@@ -154,7 +155,7 @@ def test_nesting_round_trip(spark):
     assert {(r.ord, r.name) for r in back.collect()} == {(i, f"P{i}") for i in range(10)}
     nested = spark.createDataFrame(
         [("s", D1, "r", "h", 3, [("A", 2, [("f0", "P0", None, [], [], None, None, None), ("f1", "P1", None, [], [], None, None, None)]), ("B", 1, [("f2", "P2", None, [], [], None, None, None)])])],
-        __import__("rosterlens.schemas", fromlist=["x"]).NESTED_SNAPSHOTS,
+        NESTED_SNAPSHOTS,
     )
     assert [(r.ord, r.name, r.category) for r in nesting.unnest(nested).orderBy("ord").collect()] == [(0, "P0", "A"), (1, "P1", "A"), (2, "P2", "B")]
 
