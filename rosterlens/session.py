@@ -42,9 +42,9 @@ def stage_root(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it back."""
-    spark = df.sparkSession
+def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return a DataFrame that reads it back, in the ``reader`` session if given."""
+    spark = reader or df.sparkSession
     path = f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

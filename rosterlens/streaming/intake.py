@@ -52,7 +52,9 @@ class Intake:
 
     def take(self, batch: DataFrame, batch_id: int = 0) -> None:
         """Process one batch of person rows."""
-        fresh = stage(batch.join(self.seen(), SNAPSHOT, "left_anti"), "fresh")
+        # A stream's own session plans without adaptive execution; the work is done in the caller's.
+        arrived = stage(batch, "batch", self.spark)
+        fresh = stage(arrived.join(self.seen(), SNAPSHOT, "left_anti"), "fresh")
         if fresh.isEmpty():
             return
         sites = stage(fresh.select("site_id").distinct(), "touched-sites")
