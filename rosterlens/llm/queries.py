@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import decontamination, mixing, simhash
+from rosterlens.llm import decontamination, fingerprints, mixing, simhash
 from rosterlens.llm.text import table
 
 
@@ -15,6 +15,17 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness."""
+    found = fingerprints.edited_copies(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(F.col("codes")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_codes")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("codes"), F.col("edited_codes")).alias("near_edited"),
+        fingerprints.likeness(F.col("codes"), F.col("next_codes")).alias("near_next"),
+    )
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     planned = mixing.plan(table(spark, sf_dir, "documents"))
@@ -29,6 +40,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op6_source_mixing": op6_source_mixing,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
