@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import decontamination, fingerprints, mixing, simhash
-from rosterlens.llm.text import table
+from rosterlens.llm import chat, decontamination, fingerprints, language, mixing, reputation, simhash, token_counts, toxicity
+from rosterlens.llm.text import fold, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,15 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from three quarters of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.train(toxicity.labelled(docs.where(~held_out), table(spark, sf_dir, "labels")))
+    scored = toxicity.with_score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness."""
     found = fingerprints.edited_copies(table(spark, sf_dir, "documents"))
@@ -26,23 +35,56 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.train(docs.where(~held_out))
+    found = language.with_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", F.col("found.language").alias("lang_pred"), "found.score", "found.rejected")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return reputation.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document, test item) pairs where the document contains the item."""
     found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "n_found", F.round("containment", 6).alias("containment"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    import public_tokenizers
+
+    return token_counts.measured(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+TOKENIZER = "byte_bpe_50k.json"
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_language_id": op4_language_id,
+    "op5_url_filters": op5_url_filters,
     "op6_source_mixing": op6_source_mixing,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {}
