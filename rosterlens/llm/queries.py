@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import chat, decontamination, fingerprints, language, mixing, reputation, simhash, token_counts, toxicity
+from rosterlens.llm import chat, decontamination, fingerprints, language, language_model, mixing, reputation, simhash, token_counts, toxicity
 from rosterlens.llm.text import fold, table
 
 
@@ -66,6 +66,13 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "item_id", "n_shingles", "n_found", F.round("containment", 6).alias("containment"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by counts and by the recurrent model."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_model.scored(docs, fold(F.col("doc_id"), 7) != 2)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     import public_tokenizers
@@ -84,6 +91,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
 }
 
