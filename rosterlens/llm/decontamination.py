@@ -73,6 +73,22 @@ def candidates(docs: DataFrame, sketches: DataFrame, width: int = SHINGLE) -> Da
     return met.groupBy("row", "item").agg(F.count("*").alias("found"), F.max("hits").alias("hits")).where("found >= hits").select("row", "item")
 
 
+def _matches(docs: DataFrame, items: DataFrame, width: int, contained: float) -> DataFrame:
+    """(row, item, n_shingles, n_found) of verified pairs, from (row, doc_text) and (item, item_text)."""
+    items = stage(items, "items")
+    pairs = stage(candidates(docs, stage(item_sketches(items, width, contained), "sketches"), width), "candidates")
+    texts = stage(docs.join(pairs.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]), "candidate-texts")
+    held = texts.select("row", F.array_distinct(shingles(F.col("doc_text"), width)).alias("held"))
+    asked = items.dropDuplicates(["item"]).select("item", F.array_distinct(shingles(F.col("item_text"), width)).alias("asked"))
+    checked = pairs.join(asked, "item").join(held, "row").select("row", "item", F.size("asked").alias("n_shingles"), F.size(F.array_intersect("asked", "held")).alias("n_found"))
+    return checked.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * contained - 1e-9))
+
+
+def _named(rows: DataFrame, id_column: str, text_column: str, name: str, text_name: str) -> DataFrame:
+    """Rows named by their id and a hash of their text: a struct, in which nulls are equal to each other."""
+    return rows.select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("content")).alias(name), F.col(text_column).alias(text_name))
+
+
 def contained_items(
     docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
     item_text_column: str = "text", width: int = SHINGLE, contained: float = CONTAINED,
@@ -84,27 +100,19 @@ def contained_items(
     are one; a repeated id with other text is judged by each of its texts, and the best containment
     counts. Null ids are kept as an id of their own. Empty tables give no rows; further columns are ignored.
     """
-    items = stage(items.select(F.struct(F.col(item_column).alias("id"), F.xxhash64(item_text_column).alias("content")).alias("item"), F.col(item_text_column).alias("item_text")), "items")
-    sketches = stage(item_sketches(items, width, contained), "sketches")
-    named = docs.select(F.struct(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("content")).alias("row"), F.col(text_column).alias("doc_text"))
-    pairs = stage(candidates(named, sketches, width), "candidates")
-    wanted = pairs.select("row").distinct()
-    texts = stage(named.join(wanted, "row", "left_semi").dropDuplicates(["row"]), "candidate-texts")
-    held = texts.select("row", F.array_distinct(shingles(F.col("doc_text"), width)).alias("held"))
-    asked = items.dropDuplicates(["item"]).select("item", F.array_distinct(shingles(F.col("item_text"), width)).alias("asked"))
-    checked = pairs.join(asked, "item").join(held, "row").select("row", "item", F.size("asked").alias("n_shingles"), F.size(F.array_intersect("asked", "held")).alias("n_found"))
-    share = F.col("n_found") / F.col("n_shingles")
-    kept = checked.withColumn("containment", share).where(F.col("n_found") >= F.ceil(F.col("n_shingles") * contained - 1e-9))
-    best = kept.groupBy(F.col("row.id").alias(id_column), F.col("item.id").alias(item_column)).agg(F.max(F.struct("containment", "n_shingles", "n_found")).alias("best"))
-    return best.select(id_column, item_column, "best.n_shingles", "best.n_found", "best.containment")
+    found = _matches(_named(docs, id_column, text_column, "row", "doc_text"), _named(items, item_column, item_text_column, "item", "item_text"), width, contained)
+    best = F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_found"))
+    pairs = found.groupBy(F.col("row.id").alias(id_column), F.col("item.id").alias(item_column)).agg(best.alias("best"))
+    return pairs.select(id_column, item_column, "best.n_shingles", "best.n_found", "best.containment")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, item_column: str = "item_id", width: int = SHINGLE, contained: float = CONTAINED) -> DataFrame:
     """The documents that contain no test item, with all their columns and repeats.
 
-    A document goes when its id is among the matches; rows without an id are compared as one. The
-    ids that go are few against the corpus; Spark decides by their written size how to join.
+    A row goes when its id and text are those of a match. What goes is little against the corpus;
+    Spark decides by its written size how to join. Cases as in ``contained_items``.
     """
-    found = stage(contained_items(docs, items, **settings).select(F.col("doc_id").alias("id")).distinct(), "contaminated")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(found, rows.id.eqNullSafe(found.id), "left_anti").select("row.*")
+    found = _matches(_named(docs, "doc_id", "text", "row", "doc_text"), _named(items, item_column, "text", "item", "item_text"), width, contained)
+    found = stage(found.select("row").distinct(), "contaminated")
+    rows = docs.select(F.struct("*").alias("whole"), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("content")).alias("row"))
+    return rows.join(found, "row", "left_anti").select("whole.*")
