@@ -1,8 +1,9 @@
 """Row numbers and carried values in groups of any size.
 
-A window over a whole group puts that group into one task. Here a group is cut into
-ranges of its order column; each range is a task-sized window of its own, and only one
-summary row per range takes part in the window over the group.
+A window over a whole group puts that group into one task. Here all rows are cut into ranges of
+equal size by group and order together, a large group into many; each range is a task-sized window
+of its own, and only one summary row per range and group takes part in the window over the group.
+How sparse the order is does not matter.
 """
 
 from __future__ import annotations
@@ -11,23 +12,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.operators.skew import detach
+from rosterlens.session import stage
 
-RANGE_WIDTH = 100_000
 # An order position that none reaches.
 END = 2**62
 
 
-def _range_of(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(width))
+def _cut(df: DataFrame, keys: list[str], order: list[str], ranges: int | None) -> DataFrame:
+    """``df`` with its range number ``_range``. It is written out: ranges are of one sample, however often they are read."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def grouped_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank", width: int = RANGE_WIDTH) -> DataFrame:
-    """1-based position of each row in its group; ``order`` is an integer, unique in the group."""
-    cut = df.withColumn("_range", _range_of(order, width))
+def _columns(order: str | list[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def grouped_rank(df: DataFrame, keys: list[str], order: str | list[str], out: str = "rank", ranges: int | None = None) -> DataFrame:
+    """1-based position of each row in its group; ``order`` is unique in the group."""
+    order = _columns(order)
+    cut = _cut(df, keys, order, ranges)
     sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
     return (
         cut.withColumn("_local", local)
         .join(offsets, [*keys, "_range"])
@@ -37,16 +45,17 @@ def grouped_rank(df: DataFrame, keys: list[str], order: str, out: str = "rank",
 
 
 def carry_last(
-    df: DataFrame, keys: list[str], order: str, value: Column, out: str, width: int = RANGE_WIDTH
+    df: DataFrame, keys: list[str], order: str | list[str], value: Column, out: str, ranges: int | None = None
 ) -> DataFrame:
     """The newest non-null ``value`` at or before each row of its group, in ``order``."""
-    cut = df.withColumn("_range", _range_of(order, width)).withColumn("_value", value)
-    ends = cut.where(F.col("_value").isNotNull()).groupBy(*keys, "_range").agg(F.max_by("_value", order).alias("_end"))
-    spans = cut.select(*keys, "_range").distinct().join(ends, [*keys, "_range"], "left")
+    order = _columns(order)
+    cut = _cut(df.withColumn("_value", value), keys, order, ranges)
+    last = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order)))
+    spans = cut.groupBy(*keys, "_range").agg(last.alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
     inside = (
-        Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         cut.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))

@@ -53,7 +53,7 @@ def update_failures(failed: DataFrame, outcomes: DataFrame) -> DataFrame:
     kept = failed.join(cleared, "staff_directory", "left_anti").select(*fresh.columns)
     texts = ["base_url", "failure_type", "error_message", "html_excerpt"]
     merged = kept.unionByName(fresh).groupBy("staff_directory").agg(
-        F.max_by(F.struct(*texts), F.col("last_attempt")).alias("v"), F.max("last_attempt").alias("last_attempt"),
+        F.max(F.struct("last_attempt", *texts)).alias("v"), F.max("last_attempt").alias("last_attempt"),
         F.sum("attempt_count").alias("attempt_count"),
     )
     return merged.select("staff_directory", *[f"v.{c}" for c in texts], "last_attempt", "attempt_count")
@@ -68,18 +68,19 @@ def list_failures(failed: DataFrame) -> DataFrame:
 def update_challenge_sites(known: DataFrame, detections: DataFrame) -> DataFrame:
     """Challenge-page tracking after detections (staff_directory, base_url, at, method)."""
     fresh = detections.groupBy("staff_directory").agg(
-        F.max_by("base_url", "at").alias("base_url"), F.min("at").alias("first_detected"), F.max("at").alias("last_detected"),
+        F.max(F.struct("at", "base_url")).alias("_b"), F.min("at").alias("first_detected"), F.max("at").alias("last_detected"),
         F.count("*").alias("detection_count"), F.lit(False).alias("always_protected"),
-        F.max_by("method", F.when(F.col("method").isNotNull(), F.col("at"))).alias("last_success_with"),
+        F.max(F.when(F.col("method").isNotNull(), F.struct("at", "method"))).alias("_m"),
     )
+    fresh = fresh.withColumn("base_url", F.col("_b.base_url")).withColumn("last_success_with", F.col("_m.method")).drop("_b", "_m")
     both = known.select(*fresh.columns).unionByName(fresh)
-    newest = F.col("last_detected")
-    return both.groupBy("staff_directory").agg(
-        F.max_by("base_url", newest).alias("base_url"), F.min("first_detected").alias("first_detected"),
+    merged = both.groupBy("staff_directory").agg(
+        F.max(F.struct("last_detected", "base_url")).alias("_b"), F.min("first_detected").alias("first_detected"),
         F.max("last_detected").alias("last_detected"), F.sum("detection_count").alias("detection_count"),
         F.max("always_protected").alias("always_protected"),
-        F.max_by("last_success_with", F.when(F.col("last_success_with").isNotNull(), newest)).alias("last_success_with"),
+        F.max(F.when(F.col("last_success_with").isNotNull(), F.struct("last_detected", "last_success_with"))).alias("_m"),
     )
+    return merged.withColumn("base_url", F.col("_b.base_url")).withColumn("last_success_with", F.col("_m.last_success_with")).select(*known.columns)
 
 
 def reset_sites(tables: dict[str, DataFrame], reset: DataFrame) -> dict[str, DataFrame]:

@@ -13,7 +13,7 @@ from rosterlens.functions import contacts, names, urls
 from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, upkeep
 from rosterlens.plans import changes, dashboard, export, search
 from rosterlens.plans import standins as s
-from rosterlens.session import stage, stage_root
+from rosterlens.session import stage, app_folder
 from rosterlens.sources.elements import page_elements
 from rosterlens.streaming.intake import Intake
 
@@ -167,10 +167,10 @@ def _customer_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query
 def exact_link(spark, sf_dir):
     key = F.col("c_custkey")
-    rows = s.table(spark, sf_dir, "customer").where("c_acctbal >= 2000").select(
+    rows = s.table(spark, sf_dir, "customer").select(
         (F.floor(key / 2) % 10).cast("string").alias("site_id"), F.lit("2024-01-01").cast("timestamp").alias("from_date"),
         F.lit("2024-02-01").cast("timestamp").alias("to_date"), key.alias("ord"),
-        F.array(F.concat(F.lit("mailto:C"), F.floor(key / 2), F.lit("@Site.test "))).alias("emails"),
+        F.when(F.col("c_acctbal") >= 2000, F.array(F.concat(F.lit("mailto:C"), F.floor(key / 2), F.lit("@Site.test ")))).otherwise(F.array().cast("array<string>")).alias("emails"),
         F.lit(None).cast("string").alias("profile_url"),
     )
     return compare.sure_links(rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1")).select("site_id", "b", "a")
@@ -315,7 +315,8 @@ def export_recent_changes(spark, sf_dir):
 
 @query
 def export_summary(spark, sf_dir):
-    return export.export_summary(s.entries(spark, sf_dir), s.change_log(spark, sf_dir))
+    sites = s.sites(spark, sf_dir).where("site_id <> '3'")  # logs of a site that is gone
+    return export.export_summary(s.entries(spark, sf_dir), s.change_log(spark, sf_dir), sites)
 
 
 @query
@@ -458,7 +459,7 @@ def failure_queue(spark, sf_dir):
 @query
 def challenge_tracking(spark, sf_dir):
     runs = s.runs(spark, sf_dir)
-    seen = runs.where("not success or event_id % 4 = 0").select("staff_directory", "base_url", F.col("processed_at").alias("at"), F.col("used_rule").alias("method"))
+    seen = runs.select("staff_directory", "base_url", F.col("processed_at").alias("at"), F.col("used_rule").alias("method"))
     none = spark.createDataFrame([], "staff_directory string, base_url string, first_detected timestamp, last_detected timestamp, detection_count bigint, always_protected boolean, last_success_with string")
     known = upkeep.update_challenge_sites(none, seen.where("at < timestamp'2024-01-15'"))
     rows = upkeep.update_challenge_sites(known, seen.where("at >= timestamp'2024-01-15'"))
@@ -543,7 +544,7 @@ def heading_carry(spark, sf_dir):
     """The user's last message stands over the turns that follow it, in conversations of any length."""
     rows = s.table(spark, sf_dir, "conversations")
     heading = F.when(F.col("role") == "user", F.md5("text"))
-    return ordered.carry_last(rows, ["conv_id"], "turn", heading, "heading", width=2).select("conv_id", "turn", "role", "heading")
+    return ordered.carry_last(rows, ["conv_id"], "turn", heading, "heading").select("conv_id", "turn", "role", "heading")
 
 
 @query
@@ -605,13 +606,13 @@ def email_duplicates(spark, sf_dir):
 def ordered_rank(spark, sf_dir):
     """Position of every order in its status group: three groups hold the whole table."""
     rows = s.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey")
-    return ordered.grouped_rank(rows, ["o_orderstatus"], "o_orderkey", out="place", width=1000)
+    return ordered.grouped_rank(rows, ["o_orderstatus"], "o_orderkey", out="place")
 
 
 @query
 def stream_intake(spark, sf_dir):
     """Events stream in as sightings, a snapshot per ten days; the profiles that the intake leaves."""
-    root = f"{stage_root(spark)}/intake-{uuid.uuid4().hex}"
+    root = f"{app_folder(spark)}/intake-{uuid.uuid4().hex}"
     user = F.col("user_id")
     rows = spark.readStream.schema(s.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet").select(
         (user % 10).cast("string").alias("site_id"),

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from rosterlens.operators.extraction import PythonRule, Rule, extract_people, page_outcomes
 from rosterlens.operators.identity import resolve_identity, to_members, upsert_profiles
 from rosterlens.operators.nesting import SNAPSHOT, snapshot_id
+from rosterlens.operators.ordered import grouped_rank
+from rosterlens.operators.upkeep import HTML_EXCERPT
 from rosterlens.session import stage
 
-# Bits of ``ord`` that hold the element position; the page number stands above them.
-ELEMENT_BITS = 24
-
 
 @dataclass
 class IngestResult:
@@ -44,15 +43,15 @@ def ingest(
     people = stage(extract_people(pages, rules, owner), "people")
     outcome = page_outcomes(pages, people)
     at = F.lit(run_ts).cast("timestamp")
-    placed = people.join(owner.select("page_id", "site_id"), "page_id").select(
-        "site_id", at.alias("snapshot_date"), (F.shiftleft("page_id", ELEMENT_BITS) + F.col("ord")).alias("ord"),
-        "name", "title", "email", "phone", "category", "profile_url",
+    # A site's people in the order of its pages and of the elements on each, numbered from 0.
+    owned = people.withColumnRenamed("ord", "_element").join(owner.select("page_id", "site_id"), "page_id")
+    placed = grouped_rank(owned, ["site_id"], ["page_id", "_element"], out="_place").select(
+        "site_id", at.alias("snapshot_date"), (F.col("_place") - 1).alias("ord"), "name", "title", "email", "phone", "category", "profile_url",
     )
     members = stage(to_members(resolve_identity(placed, profiles)), "members")
 
-    heads = pages.join(owner.select("page_id", "site_id"), "page_id").groupBy("site_id").agg(
-        F.md5(F.min_by(F.coalesce("html", F.lit("")), "page_id")).alias("hash")
-    )
+    hashes = pages.select("page_id", F.md5(F.coalesce("html", F.lit(""))).alias("hash"))  # before the shuffle: pages are large
+    heads = hashes.join(owner.select("page_id", "site_id"), "page_id").groupBy("site_id").agg(F.min_by("hash", "page_id").alias("hash"))
     totals = members.groupBy(*SNAPSHOT).agg(F.count("*").alias("total_count"))
     run_id = F.unix_millis(at).cast("string").alias("run_id")
     snapshots = totals.join(heads, "site_id").select(snapshot_id().alias("snapshot_id"), *SNAPSHOT, run_id, "hash", "total_count")
@@ -75,7 +74,10 @@ def ingest(
     message = F.when(F.col("failure_type") == "fetch_failed", "Page could not be fetched").when(
         F.col("failure_type") == "no_data", "No staff data extracted"
     )
-    outcomes = results.join(pages.select("page_id", "html"), "page_id").select(
+    # Only the beginning of a failed page is ever kept.
+    excerpt = F.when(F.col("html").isNotNull(), F.substring("html", 1, HTML_EXCERPT)).alias("html")
+    failed = results.where("not success").join(pages.select("page_id", excerpt), "page_id")
+    outcomes = failed.unionByName(results.where("success").withColumn("html", F.lit(None).cast("string"))).select(
         "staff_directory", "base_url", F.col("processed_at").alias("at"), "success", "failure_type", message.alias("error_message"), "html"
     )
     return IngestResult(members, snapshots, new_sites, upsert_profiles(profiles, members), results.drop("page_id"), outcomes)

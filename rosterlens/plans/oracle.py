@@ -218,6 +218,8 @@ ORACLE: dict[str, str] = {
         'https://www.' || lower(n_name) || '.edu/staff' AS staff_directory
       FROM nation WHERE lower(n_name) LIKE '%nation\\_1%' ESCAPE '\\' ORDER BY CAST(n_nationkey AS VARCHAR) LIMIT 5""",
     "suggestions": "SELECT p_name AS value, count(*) AS count FROM part WHERE lower(p_name) LIKE '%ri%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "sample_changes": f"""WITH {LOGS} SELECT change_id, site_id, {DAY.format("to_date")} AS created_at FROM logs
+      WHERE from_date IS NOT NULL AND to_date IS NOT NULL ORDER BY md5(change_id || '|11'), change_id LIMIT 5""",
     "sites_with_changes": f"""WITH {SITES}, {LOGS} SELECT s.site_id, base_url, staff_directory, count(*) AS change_count, {DAY.format("max(to_date)")} AS last_change
       FROM logs l JOIN sites s ON l.site_id = s.site_id GROUP BY ALL ORDER BY max(to_date) DESC, s.site_id LIMIT 20""",
     "site_change_stats": f"""WITH {LOGS}, c AS (SELECT CAST(l_orderkey AS VARCHAR) AS change_id, l_returnflag AS f FROM lineitem)
@@ -259,7 +261,7 @@ ORACLE: dict[str, str] = {
       FROM entries JOIN logs USING (change_id) JOIN registry USING (site_id)""",
     "export_summary": f"""WITH {LOGS}, {_entries(" ")} SELECT 'Total Change Records' AS metric, (SELECT count(*) FROM logs) AS value
       UNION ALL SELECT 'Staff Added', count(*) FROM entries WHERE kind = 'added' UNION ALL SELECT 'Staff Removed', count(*) FROM entries WHERE kind = 'removed'
-      UNION ALL SELECT 'Staff Updated', count(*) FROM entries WHERE kind = 'updated' UNION ALL SELECT 'Total Changed Staff', count(*) FROM entries""",
+      UNION ALL SELECT 'Staff Updated', count(*) FROM entries WHERE kind = 'updated' UNION ALL SELECT 'Total Changed Staff', count(*) FROM entries JOIN logs USING (change_id) WHERE site_id <> '3'""",
     "change_quality": f"""WITH {SITES}, {LOGS}, {_entries(" ")}, r AS (
         SELECT school_name AS school, ipeds, kind, coalesce(nullif(name, ''), nullif(title, ''), '') AS full_name
         FROM entries JOIN logs USING (change_id) JOIN registry USING (site_id) WHERE school_name <> '')
@@ -308,7 +310,7 @@ ORACLE: dict[str, str] = {
       WHERE NOT success AND (t IS NULL OR ts > t) GROUP BY staff_directory""",
     "challenge_tracking": f"""WITH {RUNS} SELECT staff_directory, {SECOND.format("min(ts)")} AS first_detected, {SECOND.format("max(ts)")} AS last_detected,
         count(*) AS detection_count, arg_max(used_rule, ts) FILTER (used_rule IS NOT NULL) AS last_success_with
-      FROM runs WHERE NOT success OR event_id % 4 = 0 GROUP BY staff_directory""",
+      FROM runs GROUP BY staff_directory""",
     "rollback_month": f"""WITH {LOGS}, kept AS (SELECT * FROM logs WHERE NOT (CAST(to_date AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' >= TIMESTAMP '2001-08-01'
           AND CAST(to_date AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' < TIMESTAMP '2001-09-01'))
       SELECT CAST(n_nationkey AS VARCHAR) AS site_id, CASE WHEN max(to_date) IS NOT NULL THEN n_nationkey || '@' || strftime(max(to_date), '%Y-%m-%d') || 'T00:00:00' END AS latest_snapshot_id,

@@ -7,6 +7,7 @@ executors, is columnar, and gives the planner a real size for its join choices.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -35,17 +36,35 @@ def stage_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="rosterlens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+    return _own_root()
+
+
+@functools.cache
+def _own_root() -> str:
+    """A folder of this process, for sessions without executors and without the setting."""
+    return tempfile.mkdtemp(prefix="rosterlens-")
+
+
+def app_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; ``drop_stages`` deletes it."""
+    return f"{stage_root(spark)}/rosterlens/{spark.sparkContext.applicationId}"
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table behind a staged DataFrame that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it back, in the ``reader`` session if given."""
     spark = reader or df.sparkSession
-    path = f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{app_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,11 +77,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def _app_folder(spark: SparkSession) -> str:
-    return f"{stage_root(spark)}/rosterlens/{spark.sparkContext.applicationId}"
-
-
 def drop_stages(spark: SparkSession) -> None:
     """Delete this application's intermediate tables, once its results are written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(app_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -1,13 +1,16 @@
 """Incremental intake: person rows arrive as files, each batch extends snapshots, profiles and change logs.
 
-Every step is a rewrite of the touched sites' partitions, and a snapshot that is already known is
-left out, so a batch that is delivered again after a failure changes nothing.
+Every step is a rewrite of the touched sites' partitions, and a row that is already known is left
+out, so a batch that is delivered again after a failure changes nothing. The tables are those that
+one batch of all rows would leave, however the rows were split into batches and ordered: a site
+whose rows come late is built anew from the rows taken in so far, which are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from rosterlens import schemas
@@ -20,7 +23,13 @@ from rosterlens.plans.changes import build_change_log
 from rosterlens.session import stage
 from rosterlens.sources.tables import read_table, write_by_site
 
-PEOPLE_SCHEMA = "site_id string, snapshot_date timestamp, ord bigint, name string, title string, email string, phone string, category string, profile_url string"
+_TEXTS = ["name", "title", "email", "phone", "category", "profile_url"]
+ARRIVALS = T.StructType(
+    [T.StructField("site_id", T.StringType()), T.StructField("snapshot_date", T.TimestampType()), T.StructField("ord", T.LongType())]
+    + [T.StructField(c, T.StringType()) for c in _TEXTS]
+)
+PEOPLE_SCHEMA = ARRIVALS
+ROW = [*SNAPSHOT, "ord"]
 
 
 class Intake:
@@ -38,9 +47,9 @@ class Intake:
     def profiles(self) -> DataFrame:
         return self._read("profiles", schemas.PROFILES)
 
-    def seen(self) -> DataFrame:
-        """Every snapshot ever taken in, also those that were retired since."""
-        return self._read("seen", schemas.SNAPSHOT_KEYS)
+    def arrivals(self) -> DataFrame:
+        """Every person row ever taken in, also of snapshots that were retired since."""
+        return self._read("arrivals", ARRIVALS)
 
     def change_log(self) -> DataFrame:
         """Logs between neighbouring kept snapshots; others were retired with their snapshots."""
@@ -51,18 +60,33 @@ class Intake:
         return self._read("entries", schemas.ENTRIES).join(self.change_log().select("change_id"), "change_id", "left_semi")
 
     def take(self, batch: DataFrame, batch_id: int = 0) -> None:
-        """Process one batch of person rows."""
+        """Process one batch of person rows.
+
+        A site whose new rows all belong to later snapshots than it has goes on from its profiles.
+        Where rows come late - a further part of a known snapshot, or an older snapshot - identities
+        and logs may change from there on, so the site is built anew from all its rows.
+        """
         # A stream's own session plans without adaptive execution; the work is done in the caller's.
-        arrived = stage(batch, "batch", self.spark)
-        fresh = stage(arrived.join(self.seen(), SNAPSHOT, "left_anti"), "fresh")
+        arrived = stage(batch.select(*ARRIVALS.names), "batch", self.spark)
+        arrived = arrived.groupBy(*ROW).agg(F.min(F.struct(*[c for c in ARRIVALS.names if c not in ROW])).alias("r")).select(*ROW, "r.*")
+        fresh = stage(arrived.join(self.arrivals(), ROW, "left_anti").select(*ARRIVALS.names), "fresh")
         if fresh.isEmpty():
             return
-        sites = stage(fresh.select("site_id").distinct(), "touched-sites")
-        members, profiles = self._identify(fresh, sites)
-        stored = self.members().join(sites, "site_id", "left_semi").join(snapshot_dates(members), SNAPSHOT, "left_anti")
+        first_new = fresh.groupBy("site_id").agg(F.min("snapshot_date").alias("first_new"))
+        # members count too: a batch that failed before its rows were recorded may have written them
+        dates = snapshot_dates(self.arrivals()).unionByName(snapshot_dates(self.members()))
+        last_known = dates.groupBy("site_id").agg(F.max("snapshot_date").alias("last_known"))
+        late = F.coalesce(F.col("first_new") <= F.col("last_known"), F.lit(False))
+        sites = stage(first_new.join(last_known, "site_id", "left").select("site_id", late.alias("anew")), "touched-sites")
+        anew = sites.where("anew").select("site_id")
+        todo = stage(fresh.unionByName(self.arrivals().join(anew, "site_id", "left_semi")), "to-identify")
+
+        kept_profiles = self.profiles().join(sites.where("not anew"), "site_id", "left_semi")
+        members, profiles = self._identify(todo, kept_profiles)
+        stored = self.members().join(sites.where("not anew"), "site_id", "left_semi")
         everyone = stage(stored.unionByName(members.select(*stored.columns)), "members")
 
-        # Only pairs with a new snapshot are compared; a late snapshot also replaces the pair it splits.
+        # Only pairs with a new snapshot are compared.
         pairs, new = adjacent_pairs(snapshot_dates(everyone)), snapshot_dates(members).withColumn("_new", F.lit(True))
         for date in ("from_date", "to_date"):
             mark = new.select("site_id", F.col("snapshot_date").alias(date), F.col("_new").alias(f"_{date}"))
@@ -70,35 +94,36 @@ class Intake:
         pairs = stage(pairs.select(*PAIR, F.coalesce("_from_date", "_to_date", F.lit(False)).alias("is_new")), "pairs")
         new_entries = stage(compare_fuzzy(everyone, pairs.where("is_new").drop("is_new")), "entries")
         logs = self._read("change_log", schemas.CHANGE_LOG).join(pairs.where("not is_new"), PAIR, "left_semi")
-        old_entries = self._read("entries", schemas.ENTRIES).join(sites, "site_id", "left_semi")
         kept = keep_newest(everyone, self.keep)
-        dates = snapshot_dates(kept)
-        all_logs = stage(drop_dangling_logs(logs.unionByName(build_change_log(new_entries).select(*logs.columns)), dates), "logs")
+        all_logs = stage(drop_dangling_logs(logs.unionByName(build_change_log(new_entries).select(*logs.columns)), snapshot_dates(kept)), "logs")
+        old_entries = self._read("entries", schemas.ENTRIES).join(logs.select("change_id"), "change_id", "left_semi")
         all_entries = old_entries.unionByName(new_entries.select(*old_entries.columns)).join(
             all_logs.select("change_id"), "change_id", "left_semi"
         )
         write_by_site(all_entries, f"{self.root}/entries", ["change_id", "ord"])
-        write_by_site(all_logs, f"{self.root}/change_log", ["to_date"], files_per_site=1)
+        # a site without any log gets a row without a pair, which replaces the logs it had
+        none = sites.join(all_logs.select("site_id"), "site_id", "left_anti").select(
+            *[F.col(f.name) if f.name == "site_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in all_logs.schema]
+        )
+        write_by_site(all_logs.unionByName(none), f"{self.root}/change_log", ["to_date"])
         write_by_site(profiles, f"{self.root}/profiles", ["fingerprint"])
         write_by_site(kept, f"{self.root}/members", ["snapshot_date", "ord"])
-        # Last: a batch counts as taken only when everything else is written.
-        known = self.seen().join(sites, "site_id", "left_semi").unionByName(snapshot_dates(members)).distinct()
-        write_by_site(known, f"{self.root}/seen", files_per_site=1)
+        # Last: rows count as taken only when everything else is written.
+        fresh.repartition("site_id").write.mode("append").partitionBy("site_id").parquet(f"{self.root}/arrivals")
 
-    def _identify(self, fresh: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members with identities, and the new profiles of the touched sites.
+    def _identify(self, people: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with identities, and the new profiles of their sites.
 
         Identities depend on the profiles left by the snapshot before. A batch usually brings one
         snapshot per site; if it brings more, the first of every site goes first, then the second.
         """
         order = F.row_number().over(Window.partitionBy("site_id").orderBy("snapshot_date"))
-        turns = stage(snapshot_dates(fresh).withColumn("_turn", order), "turns")
+        turns = stage(snapshot_dates(people).withColumn("_turn", order), "turns")
         last_turn = turns.agg(F.max("_turn")).first()[0]
-        profiles = self.profiles().join(sites, "site_id", "left_semi")
         parts = []
         for turn in range(1, last_turn + 1):
-            people = fresh.join(turns.where(F.col("_turn") == turn).drop("_turn"), SNAPSHOT, "left_semi")
-            parts.append(stage(to_members(resolve_identity(people, profiles)), "identified"))
+            present = people.join(turns.where(F.col("_turn") == turn).drop("_turn"), SNAPSHOT, "left_semi")
+            parts.append(stage(to_members(resolve_identity(present, profiles)), "identified"))
             profiles = stage(upsert_profiles(profiles, parts[-1]), "profiles")
         members = parts[0]
         for more in parts[1:]:

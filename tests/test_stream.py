@@ -48,3 +48,17 @@ def test_stream_equals_one_batch(spark, tmp_path):
     assert state(whole) == (logs, people, members, entries)
     whole.take(batch)
     assert state(whole) == (logs, people, members, entries), "a batch that comes again changes nothing"
+
+
+def test_split_and_late_snapshots_leave_what_one_batch_does(spark, tmp_path):
+    rows = FIRST + SECOND + THIRD
+    whole = Intake(spark, str(tmp_path / "whole"))
+    whole.take(spark.createDataFrame(rows, PEOPLE_SCHEMA))
+    parts = Intake(spark, str(tmp_path / "parts"))
+    # snapshots in pieces, the newest first, a piece twice
+    for piece in (rows[6:], rows[1:2] + rows[2:3], rows[6:], rows[3:4] + rows[0:1], rows[4:6]):
+        parts.take(spark.createDataFrame(piece, PEOPLE_SCHEMA))
+    assert state(parts) == state(whole)
+    listed = [sorted(map(str, t.select("site_id", "snapshot_date", "ord", "fingerprint").collect())) for t in (parts.members(), whole.members())]
+    assert listed[0] == listed[1]
+    assert parts.arrivals().count() == len(rows)

@@ -107,7 +107,7 @@ def test_search_options(spark):
 
 def test_empty_export_and_summary(spark, tmp_path):
     none_e, none_l = spark.createDataFrame([], ENTRIES), spark.createDataFrame([], CHANGE_LOG)
-    summary = {r.metric: r.value for r in export.export_summary(none_e, none_l).collect()}
+    summary = {r.metric: r.value for r in export.export_summary(none_e, none_l, spark.createDataFrame([], "site_id string")).collect()}
     assert set(summary.values()) == {0} and len(summary) == 5
     assert dashboard.site_statistics(none_l, "s").first().asDict() == {"changes": 0, "added_total": 0, "removed_total": 0, "updated_total": 0}
     docs = spark.createDataFrame([(["a"], None, []), (None, ["b", "c"], None)], "added array<string>, removed array<string>, updated array<string>")
@@ -129,9 +129,9 @@ def test_tables(spark, tmp_path):
 def test_ordered_operators_across_ranges(spark):
     rows = [("k", i * 3) for i in range(50)] + [("m", 7)]
     df = spark.createDataFrame(rows, "k string, o bigint")
-    ranks = ordered.grouped_rank(df, ["k"], "o", width=10).where("k = 'k' and rank <> o / 3 + 1").count()
+    ranks = ordered.grouped_rank(df, ["k"], "o", ranges=9).where("k = 'k' and rank <> o / 3 + 1").count()
     assert ranks == 0
-    carried = ordered.carry_last(df, ["k"], "o", F.when(F.col("o") % 30 == 0, F.col("o")), "head", width=7)
+    carried = ordered.carry_last(df, ["k"], "o", F.when(F.col("o") % 30 == 0, F.col("o")), "head", ranges=7)
     assert carried.where("k = 'k' and head <> floor(o / 30) * 30").count() == 0
     assert carried.where("k = 'm' and head is null").count() == 1
 
