@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens.llm import chat, decontamination, fingerprints, language, language_model, mixing, reputation, simhash, token_counts, toxicity
+from rosterlens.llm.oracle import ORACLE as ORACLE
 from rosterlens.llm.text import fold, table
 
 
@@ -57,13 +58,15 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal conversations, rendered."""
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    found = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return found.withColumn("n_turns", F.col("n_turns").cast("long"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document, test item) pairs where the document contains the item."""
     found = decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "n_shingles", "n_found", F.round("containment", 6).alias("containment"))
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_shingles", "n_found")]
+    return found.select("doc_id", "item_id", *counts, F.round("containment", 6).alias("containment"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,5 +97,3 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLE: dict[str, str] = {}

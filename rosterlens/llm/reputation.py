@@ -77,8 +77,8 @@ def _strength(groups: DataFrame) -> DataFrame:
     seen = F.pow(F.col("good") - F.col("n") * F.col("center"), 2)
     sums = groups.agg(F.sum(seen).alias("seen"), F.sum(noise).alias("noise"), F.sum(noise * (F.col("n") - 1)).alias("pairs"))
     rho = (F.col("seen") - F.col("noise")) / F.col("pairs")
-    strength = F.when(F.col("pairs") > 0, F.when(rho > 0, 1 / rho - 1).otherwise(STRENGTH[1])).otherwise(F.lit(STRENGTH[1]))
-    return sums.select(F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), F.coalesce(strength, F.lit(STRENGTH[1])))).alias("strength"))
+    strength = F.when(F.col("pairs") > 0, F.when(rho > 0, 1 / rho - 1).otherwise(STRENGTH[1])).otherwise(STRENGTH[0])  # no pairs: nothing is known
+    return sums.select(F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), F.coalesce(strength, F.lit(STRENGTH[0])))).alias("strength"))
 
 
 def _shrunk(groups: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
