@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterlens import schemas
 from rosterlens.functions import contacts, names, urls
 from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, upkeep
 from rosterlens.plans import changes, dashboard, export, search
 from rosterlens.plans import standins as s
-from rosterlens.session import stage, app_folder
+from rosterlens.plans.ingest import ingest
+from rosterlens.session import app_folder, stage
 from rosterlens.sources.elements import page_elements
 from rosterlens.streaming.intake import Intake
 
@@ -609,9 +611,84 @@ def ordered_rank(spark, sf_dir):
     return ordered.grouped_rank(rows, ["o_orderstatus"], "o_orderkey", out="place")
 
 
+def _collected(spark, sf_dir, rule):
+    """A run over the given pages of sites that are not known yet."""
+    none = [schemas.empty(spark, x) for x in (schemas.DIRECTORIES, schemas.SITES, schemas.PROFILES)]
+    return ingest(s.table(spark, sf_dir, "pages"), *none, dt.datetime(2024, 5, 1, 12), [rule])
+
+
 @query
-def stream_intake(spark, sf_dir):
-    """Events stream in as sightings, a snapshot per ten days; the profiles that the intake leaves."""
+def ingest_members(spark, sf_dir):
+    """People that a run stores, with the identities of their sites."""
+    return _collected(spark, sf_dir, NAV_RULE).members.select("site_id", "name", "profile_url", "fingerprint")
+
+
+@query
+def ingest_snapshots(spark, sf_dir):
+    return _collected(spark, sf_dir, NAV_RULE).snapshots.select("site_id", "snapshot_id", "hash", "total_count")
+
+
+@query
+def ingest_sites(spark, sf_dir):
+    return _collected(spark, sf_dir, NAV_RULE).sites.select("site_id", "base_url", "staff_directory", "latest_snapshot_id")
+
+
+@query
+def ingest_runs(spark, sf_dir):
+    return _collected(spark, sf_dir, TH_RULE).runs.select("staff_directory", "base_url", "success", "used_rule", "staff_count", "failure_type")
+
+
+@query
+def ingest_failures(spark, sf_dir):
+    """Failed pages as the queue gets them, with the digest of the kept beginning."""
+    rows = _collected(spark, sf_dir, TH_RULE).outcomes.where("not success")
+    return rows.select("staff_directory", "failure_type", "error_message", F.md5("html").alias("excerpt"))
+
+
+def _renewed_members(spark, sf_dir):
+    """Two snapshots of every nation's customers: some only in one of them, some with another title in the second."""
+    key = F.col("c_custkey")
+    name = F.translate(F.substring(F.md5(F.concat(F.lit("n"), key)), 1, 12), "0123456789", "ghijklmnop")
+    both = s.table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("site_id"), key.alias("ord"), F.md5(key.cast("string")).alias("fingerprint"), name.alias("name"),
+        F.array(F.concat(F.lit("c"), key, F.lit("@site.test"))).alias("emails"),
+        F.explode(F.array(F.lit(0), F.lit(1))).alias("later"),
+    ).where("later = 0 and ord % 5 <> 0 or later = 1 and ord % 7 <> 0")
+    key = F.col("ord")
+    title = F.concat(F.lit("T"), key % 3 + F.when((F.col("later") == 1) & (key % 11 == 0), 1).otherwise(0))
+    dated = both.withColumn("title", title).withColumn("snapshot_date", F.when(F.col("later") == 0, F.lit("2024-01-01")).otherwise("2024-02-01").cast("timestamp"))
+    return s._as_members(dated.withColumn("category", F.lit("default")).drop("later"))
+
+
+def _log_rows(log):
+    return log.select("site_id", day("from_date"), day("to_date"), "added_count", "removed_count", "updated_count")
+
+
+@query
+def reprocess_full(spark, sf_dir):
+    return _log_rows(changes.reprocess(_renewed_members(spark, sf_dir))[0])
+
+
+@query
+def reprocess_site(spark, sf_dir):
+    return _log_rows(changes.reprocess(_renewed_members(spark, sf_dir), mode="site", site_id="7")[0])
+
+
+@query
+def reprocess_resume(spark, sf_dir):
+    """Only the sites without a log: those of the first region have one."""
+    done = s.table(spark, sf_dir, "nation").where("n_regionkey = 0").select(F.col("n_nationkey").cast("string").alias("site_id"))
+    return _log_rows(changes.reprocess(_renewed_members(spark, sf_dir), done, mode="resume")[0])
+
+
+@query
+def reprocess_entries(spark, sf_dir):
+    """Every entry of the rebuilt logs."""
+    return changes.reprocess(_renewed_members(spark, sf_dir))[1].select("site_id", "kind", "name")
+
+
+def _streamed(spark, sf_dir):
+    """The intake after events have streamed in as sightings, a snapshot per ten days."""
     root = f"{app_folder(spark)}/intake-{uuid.uuid4().hex}"
     user = F.col("user_id")
     rows = spark.readStream.schema(s.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet").select(
@@ -624,4 +701,16 @@ def stream_intake(spark, sf_dir):
     intake = Intake(spark, root)
     stream = rows.writeStream.foreachBatch(intake.take).option("checkpointLocation", f"{root}/_stream").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return intake.profiles().select("site_id", "fingerprint", "canonical_name", day("first_seen_at"), day("last_seen_at"), listed("categories"))
+    return intake
+
+
+@query
+def stream_intake(spark, sf_dir):
+    """The profiles that the intake leaves."""
+    return _streamed(spark, sf_dir).profiles().select("site_id", "fingerprint", "canonical_name", day("first_seen_at"), day("last_seen_at"), listed("categories"))
+
+
+@query
+def stream_members(spark, sf_dir):
+    """The members of the two snapshots of every site that the intake keeps."""
+    return _streamed(spark, sf_dir).members().select("site_id", day("snapshot_date"), "ord", "fingerprint", "title")

@@ -158,6 +158,14 @@ links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="[^"
 people AS (
   SELECT DISTINCT page_id, trim(regexp_replace(regexp_extract(x, '">([^<]*)<', 1), '\s+', ' ', 'g')) AS name,
     regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_extract(x, 'href="([^"]*)"', 1) AS profile_url FROM links)"""
+RENEWED = """
+sides AS (SELECT CAST(c_nationkey AS VARCHAR) AS site_id, c_custkey AS k, c_custkey % 5 <> 0 AS first, c_custkey % 7 <> 0 AS second FROM customer),
+entries AS (SELECT site_id, k, CASE WHEN first AND second THEN 'updated' WHEN second THEN 'added' ELSE 'removed' END AS kind
+  FROM sides WHERE first AND second AND k % 11 = 0 OR first <> second)"""
+RENEWED_LOG = """SELECT site_id, DATE_OF('2024-01-01') AS from_date, DATE_OF('2024-02-01') AS to_date, count(*) FILTER (kind = 'added') AS added_count,
+  count(*) FILTER (kind = 'removed') AS removed_count, count(*) FILTER (kind = 'updated') AS updated_count FROM entries"""
+for _date in ("2024-01-01", "2024-02-01"):
+    RENEWED_LOG = RENEWED_LOG.replace(f"DATE_OF('{_date}')", DAY.format(f"DATE '{_date}'"))
 EMAIL_RE = r"[\w._%+-]+@[\w.-]+\.[A-Za-z]{2,}"
 PHONE_RE = r"[0-9]{3}[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}"
 
@@ -358,6 +366,31 @@ ORACLE: dict[str, str] = {
         'User ' || r.user_id AS canonical_name, {DAY.format("any_value(f)")} AS first_seen_at, {DAY.format("any_value(l)")} AS last_seen_at,
         string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories
       FROM r JOIN l ON r.user_id = l.user_id AND r.d = l.l GROUP BY r.user_id""",
+    "stream_members": f"""WITH r AS (SELECT event_id, user_id, CAST(user_id % 10 AS VARCHAR) AS site_id, event_type, CAST(date_trunc('month', ts) AS DATE) + CAST(10 * least((day(ts) - 1) // 10, 2) AS INTEGER) AS d FROM events)
+      SELECT site_id, {DAY.format("d")} AS snapshot_date, event_id AS ord, event_type AS title,
+        md5(CASE WHEN user_id % 3 <> 0 THEN 'user' || user_id || '@site.test' ELSE 'user ' || user_id END) AS fingerprint
+      FROM r QUALIFY dense_rank() OVER (PARTITION BY site_id ORDER BY d DESC) <= 2""",
+    "ingest_members": f"""WITH {LINKS} SELECT md5(regexp_extract(p.url, '^([^:]+://[^/?#]+)', 1)) AS site_id, name, profile_url, md5(lower(name)) AS fingerprint
+      FROM people JOIN pages p USING (page_id) WHERE name <> ''""",
+    "ingest_snapshots": f"""WITH {LINKS}, o AS (SELECT page_id, html, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base FROM pages),
+      n AS (SELECT base, count(*) AS total_count FROM people JOIN o USING (page_id) WHERE name <> '' GROUP BY 1),
+      h AS (SELECT base, md5(arg_min(html, page_id)) AS hash FROM o GROUP BY 1)
+      SELECT md5(base) AS site_id, md5(base) || '@2024-05-01T12:00:00' AS snapshot_id, hash, total_count FROM n JOIN h USING (base)""",
+    "ingest_sites": f"""WITH {LINKS}, o AS (SELECT page_id, url, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base FROM pages),
+      n AS (SELECT DISTINCT base FROM people JOIN o USING (page_id) WHERE name <> '')
+      SELECT md5(base) AS site_id, base AS base_url, min(url) AS staff_directory, md5(base) || '@2024-05-01T12:00:00' AS latest_snapshot_id FROM o JOIN n USING (base) GROUP BY base""",
+    "ingest_runs": f"""WITH {LINKS}, n AS (SELECT page_id, count(*) AS th FROM people
+        WHERE name <> '' AND lower(regexp_extract(profile_url, '^[a-z]+://[^/]+(.*)$', 1)) LIKE '/th%' GROUP BY 1)
+      SELECT url AS staff_directory, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base_url, th IS NOT NULL AS success, CASE WHEN th > 0 THEN 'th_links' END AS used_rule,
+        coalesce(th, 0) AS staff_count, CASE WHEN th IS NULL THEN 'no_data' END AS failure_type FROM pages LEFT JOIN n USING (page_id)""",
+    "ingest_failures": f"""WITH {LINKS}, n AS (SELECT DISTINCT page_id FROM people
+        WHERE name <> '' AND lower(regexp_extract(profile_url, '^[a-z]+://[^/]+(.*)$', 1)) LIKE '/th%')
+      SELECT url AS staff_directory, 'no_data' AS failure_type, 'No staff data extracted' AS error_message, md5(substr(html, 1, 5000)) AS excerpt
+      FROM pages WHERE page_id NOT IN (SELECT page_id FROM n)""",
+    "reprocess_full": f"""WITH {RENEWED} {RENEWED_LOG} GROUP BY site_id""",
+    "reprocess_site": f"""WITH {RENEWED} {RENEWED_LOG} WHERE site_id = '7' GROUP BY site_id""",
+    "reprocess_resume": f"""WITH {RENEWED} {RENEWED_LOG} WHERE site_id NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 0) GROUP BY site_id""",
+    "reprocess_entries": f"""WITH {RENEWED} SELECT site_id, kind, translate(substr(md5('n' || k), 1, 12), '0123456789', 'ghijklmnop') AS name FROM entries""",
     "challenge_pages": f"""SELECT doc_id, doc_id % 9 = 0 OR {" OR ".join(f"contains(lower(text), '{p}')" for p in CHALLENGE_PHRASES)} AS blocked FROM documents""",
     "email_duplicates": f"""WITH f AS (SELECT doc_id, nullif(regexp_extract(text, '{EMAIL_RE}'), '') AS email FROM documents)
       SELECT min(doc_id) AS doc_id, email FROM f WHERE email IS NOT NULL GROUP BY email""",
