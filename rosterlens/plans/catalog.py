@@ -213,12 +213,32 @@ def _search_result(people: DataFrame) -> DataFrame:
     )
 
 
+USER_SEARCH = {"name": "user 1", "email": "SITE.test", "phone": "555 010", "title": "grade", "category": "click"}
+
+
 @query
 def staff_search(spark, sf_dir):
-    people = search.search_people(
-        s.members(spark, sf_dir), s.sites(spark, sf_dir), name="user 1", email="SITE.test", phone="555 010", title="grade", category="click"
-    )
-    return _search_result(search.page_rows(people, [F.desc("latest_seen"), "fingerprint"], page=1, limit=20))
+    page = search.search_page(s.members(spark, sf_dir), s.sites(spark, sf_dir), page=1, limit=20, **USER_SEARCH)
+    return _search_result(page.rows)
+
+
+@query
+def search_totals(spark, sf_dir):
+    return search.totals(search.people_of(search.sightings(s.members(spark, sf_dir), s.sites(spark, sf_dir), **USER_SEARCH)), page=2, limit=20)
+
+
+@query
+def search_sightings(spark, sf_dir):
+    """Where every person of one category was seen, flat."""
+    seen = search.sightings(s.members(spark, sf_dir), s.sites(spark, sf_dir), category="SIGN", category_scope="member")
+    return seen.select("fingerprint", "site_id", day("snapshot_date"), F.col("p.name").alias("name"))
+
+
+@query
+def search_page_after(spark, sf_dir):
+    """The page behind a given last person, without the pages before it."""
+    people = search.people_of(search.sightings(s.members(spark, sf_dir), s.sites(spark, sf_dir), category="SIGN", category_scope="member"))
+    return search.page_after(people, "2024-01-20", "8", 25).select("fingerprint", "name", day("latest_seen"), "sightings")
 
 
 @query

@@ -414,3 +414,11 @@ ORACLE["staff_search"] = (
 )
 ORACLE["staff_search_exact"] = SEARCH.format("name = 'User 7' AND site_id = '7'")
 ORACLE["search_category_scope"] = SEARCH.format("category = 'signup'")
+ORACLE["search_totals"] = f"""WITH found AS ({ORACLE["staff_search"].rsplit(" ORDER BY any_value(l)", 1)[0]}), n AS (SELECT count(*) AS total FROM found)
+      SELECT CAST(2 AS BIGINT) AS current_page, CAST(ceil(total / 20) AS BIGINT) AS total_pages, total, 2 < ceil(total / 20) AS has_next, true AS has_prev FROM n"""
+ORACLE["search_sightings"] = f"""WITH {MEMBERS} SELECT fingerprint, site_id, {DAY.format("snapshot_date")} AS snapshot_date, arg_min(name, ord) AS name
+      FROM members WHERE category = 'signup' GROUP BY fingerprint, site_id, snapshot_date"""
+ORACLE["search_page_after"] = f"""WITH {MEMBERS}, people AS (SELECT fingerprint, any_value(name) AS name, max(snapshot_date) AS l, count(DISTINCT snapshot_date) AS sightings
+        FROM members WHERE category = 'signup' GROUP BY fingerprint)
+      SELECT fingerprint, name, {DAY.format("l")} AS latest_seen, sightings FROM people
+      WHERE l < DATE '2024-01-20' OR l = DATE '2024-01-20' AND fingerprint > '8' ORDER BY l DESC, fingerprint LIMIT 25"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions.contacts import digits
 from rosterlens.operators.nesting import SNAPSHOT
 from rosterlens.operators.skew import detach
+from rosterlens.session import stage
 
 SUGGEST_FIELDS = ["name", "title", "category", "email"]
 
@@ -54,11 +55,11 @@ def find_site(sites: DataFrame, text: str, regex: bool = False) -> DataFrame:
     return sites.where(hit).orderBy("site_id").limit(1)
 
 
-def search_people(
+def sightings(
     members: DataFrame, sites: DataFrame, *, name=None, email=None, phone=None, title=None, category=None, site=None,
     exact: bool = False, regex: bool = False, category_scope: str = "snapshot",
 ) -> DataFrame:
-    """One row per fingerprint: newest record, the (site, date) pairs it was seen at, first and last sight.
+    """Where the people that match were seen: one row per fingerprint, site and date, with the first record there as ``p``.
 
     ``category_scope='snapshot'``: a category criterion selects snapshots that have such a category,
     and all their matching people come back. ``'member'`` applies it to the person's own row.
@@ -73,17 +74,31 @@ def search_people(
         else:
             rows = rows.join(detach(rows.where(match).select(*SNAPSHOT).distinct()), SNAPSHOT, "left_semi")
     hits = rows.where(person_filter(name, email, phone, title, exact, regex))
-
-    # Per person and snapshot first: what is left per person is one row per snapshot.
     fields = ["name", "title", "emails", "phones", "profile_url", "description", "category"]
     per_snapshot = hits.groupBy(*SNAPSHOT, "fingerprint").agg(F.min_by(F.struct(*fields), F.col("ord")).alias("p"))
-    known = per_snapshot.join(sites.select("site_id", "base_url", "staff_directory"), "site_id", "left")
-    seen = F.struct("snapshot_date", "site_id", "base_url", "staff_directory")
-    people = known.groupBy("fingerprint").agg(
-        F.max_by("p", F.struct("snapshot_date", "site_id")).alias("p"), F.array_sort(F.collect_set(seen)).alias("sites"),
-        F.max("snapshot_date").alias("latest_seen"), F.min("snapshot_date").alias("first_seen"),
+    return per_snapshot.join(sites.select("site_id", "base_url", "staff_directory"), "site_id", "left")
+
+
+def people_of(seen: DataFrame) -> DataFrame:
+    """One row per fingerprint: newest record, first and last sight, number of sightings. A combinable aggregate of fixed size."""
+    people = seen.groupBy("fingerprint").agg(
+        F.max_by("p", F.struct("snapshot_date", "site_id")).alias("p"), F.max("snapshot_date").alias("latest_seen"),
+        F.min("snapshot_date").alias("first_seen"), F.count("*").alias("sightings"),
     )
-    return people.select("fingerprint", "p.*", "sites", "latest_seen", "first_seen")
+    return people.select("fingerprint", "p.*", "latest_seen", "first_seen", "sightings")
+
+
+def with_sites(people: DataFrame, seen: DataFrame) -> DataFrame:
+    """Adds ``sites``, all (date, site) pairs of each person, oldest first. Meant for a page of people."""
+    pair = F.struct("snapshot_date", "site_id", "base_url", "staff_directory")
+    listed = seen.join(people.select("fingerprint"), "fingerprint", "left_semi").groupBy("fingerprint").agg(F.array_sort(F.collect_set(pair)).alias("sites"))
+    return people.join(listed, "fingerprint")
+
+
+def search_people(members: DataFrame, sites: DataFrame, **criteria) -> DataFrame:
+    """All people that match, each with all its sites; ``search_page`` lists the sites of one page only."""
+    seen = sightings(members, sites, **criteria)
+    return with_sites(people_of(seen), seen)
 
 
 @dataclass
@@ -103,15 +118,31 @@ def page_rows(result: DataFrame, order: list[Column | str], page: int = 1, limit
     return result.orderBy(*order).offset((page - 1) * limit).limit(limit)
 
 
-def paginate(result: DataFrame, order: list[Column | str], page: int = 1, limit: int = 20) -> Page:
-    total = result.count()
-    pages = ceil(total / limit)
-    return Page(page_rows(result, order, page, limit), page, pages, total, page < pages, page > 1)
+def page_after(result: DataFrame, latest_seen=None, fingerprint: str | None = None, limit: int = 20) -> DataFrame:
+    """The people after the given last one of the page before: no page is gathered again, however deep it lies."""
+    rows = result
+    if fingerprint is not None:
+        at = F.lit(latest_seen).cast("timestamp")
+        rows = result.where((F.col("latest_seen") < at) | (F.col("latest_seen") == at) & (F.col("fingerprint") > fingerprint))
+    return rows.orderBy(F.desc("latest_seen"), "fingerprint").limit(limit)
+
+
+def totals(result: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
+    """One row: what a result has in all, in pages of ``limit``."""
+    pages = F.ceil(F.col("total") / limit).cast("bigint")
+    return result.agg(F.count("*").alias("total")).select(
+        F.lit(page).cast("bigint").alias("current_page"), pages.alias("total_pages"), "total", (F.lit(page) < pages).alias("has_next"), F.lit(page > 1).alias("has_prev")
+    )
 
 
 def search_page(members: DataFrame, sites: DataFrame, page: int = 1, limit: int = 20, **criteria) -> Page:
-    result = search_people(members, sites, **criteria).cache()
-    return paginate(result, [F.desc("latest_seen"), "fingerprint"], page, limit)
+    """A page of people with their sites. Page and totals come from one written result."""
+    seen = stage(sightings(members, sites, **criteria), "sightings")
+    people = stage(people_of(seen), "found-people")
+    total = people.count()
+    pages = ceil(total / limit)
+    rows = with_sites(page_rows(people, [F.desc("latest_seen"), "fingerprint"], page, limit), seen)
+    return Page(rows.orderBy(F.desc("latest_seen"), "fingerprint"), page, pages, total, page < pages, page > 1)
 
 
 def suggest(members: DataFrame, q: str, field: str = "name", k: int = 10, regex: bool = False) -> DataFrame:
