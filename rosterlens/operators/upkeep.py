@@ -31,13 +31,6 @@ def drop_dangling_logs(change_log: DataFrame, dates: DataFrame) -> DataFrame:
     return change_log
 
 
-def cascade_removed(change_log: DataFrame, removed: DataFrame, from_key: str, to_key: str, key: str) -> DataFrame:
-    """Change logs that refer to no removed snapshot, by either of two references."""
-    for side in (from_key, to_key):
-        change_log = change_log.join(removed.select(F.col(key).alias(side)), side, "left_anti")
-    return change_log
-
-
 def update_failures(failed: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Failure queue after a batch of outcomes (staff_directory, base_url, at, success, failure_type, error_message, html).
 

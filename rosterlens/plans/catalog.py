@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens import schemas
-from rosterlens.functions import contacts, names, urls
+from rosterlens.functions import contacts, names, text, urls
 from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, upkeep
 from rosterlens.plans import changes, dashboard, export, search
 from rosterlens.plans import standins as s
@@ -707,6 +707,101 @@ def reprocess_entries(spark, sf_dir):
     return changes.reprocess(_renewed_members(spark, sf_dir))[1].select("site_id", "kind", "name")
 
 
+# Column functions and row shapes
+
+
+@query
+def contact_links(spark, sf_dir):
+    """Contact links, phones with a country code, and extensions, written from customer rows."""
+    key = F.col("c_custkey")
+    phone = F.concat(F.lit("555"), F.lpad(key.cast("string"), 7, "0"))
+    rows = s.table(spark, sf_dir, "customer").select(
+        key, contacts.mailto_address(F.concat(F.when(key % 2 == 0, "MAILTO:").otherwise("mailto:"), key, F.lit("@x.test?subject=a"))).alias("mail"),
+        contacts.tel_number(F.concat(F.lit("tel:"), phone)).alias("tel"),
+        contacts.plus_dashed_phone(F.concat(F.when(key % 2 == 0, "+1").otherwise(""), phone)).alias("plus"),
+        contacts.with_extension(phone, F.when(key % 3 == 0, F.concat(F.lit("call Ext. "), key))).alias("extended"),
+    )
+    return rows
+
+
+@query
+def script_emails(spark, sf_dir):
+    key = F.col("c_custkey")
+    one = F.concat(F.lit("var full_email = 'c"), key, F.lit("@x.test'"))
+    two = F.concat(F.lit('var firstHalf = "c'), key, F.lit('"; var secondHalf = "y.test"'))
+    script = F.when(key % 3 == 0, one).when(key % 3 == 1, two).otherwise("var other = 1")
+    return s.table(spark, sf_dir, "customer").select("c_custkey", contacts.script_email(script).alias("email"))
+
+
+@query
+def inline_text(spark, sf_dir):
+    """Tags to text, honorifics off, over all part names."""
+    html = F.concat(F.lit("<b>Dr. "), F.col("p_name"), F.lit("</b><BR/>R&amp;D&nbsp;"))
+    return s.table(spark, sf_dir, "part").select("p_partkey", text.strip_tags(html).alias("plain"), names.strip_honorific(F.concat(F.lit("dr. "), F.col("p_name"))).alias("bare"))
+
+
+@query
+def same_structures(spark, sf_dir):
+    left, right = F.struct("l_returnflag", F.array("l_linenumber")), F.struct("l_linestatus", F.array("l_linenumber"))
+    same = text.same_structure(left, F.struct(F.col("l_returnflag"), F.array("l_linenumber")))
+    return s.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count_if(same).alias("same"), F.count_if(text.same_structure(left, right)).alias("crossed"))
+
+
+@query
+def stateless_fingerprints(spark, sf_dir):
+    email = F.when(F.col("c_custkey") % 4 != 0, F.concat(F.lit(" C"), F.col("c_custkey"), F.lit("@X.test")))
+    return s.table(spark, sf_dir, "customer").select("c_custkey", identity.stateless_fingerprint(email, F.col("c_name")).alias("fingerprint"))
+
+
+@query
+def change_array_totals(spark, sf_dir):
+    """Totals over change documents with entry arrays: one per order, kinds by return flag."""
+    kind = {"added": "N", "removed": "R", "updated": "A"}
+    entries = [F.collect_list(F.when(F.col("l_returnflag") == flag, F.col("l_linenumber"))).alias(name) for name, flag in kind.items()]
+    docs = s.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*entries)
+    return dashboard.array_totals(docs.withColumn("removed", F.when(F.size("removed") > 0, F.col("removed"))))
+
+
+@query
+def parallel_lists(spark, sf_dir):
+    """Lists of one order back to rows; a short list leaves gaps."""
+    lists = s.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("numbers"))
+    rows = lists.withColumn("names", F.transform("numbers", lambda n: F.concat(F.lit("n"), n))).withColumn("titles", F.transform(F.filter("numbers", lambda n: n <= 2), lambda n: F.concat(F.lit("t"), n)))
+    return nesting.zip_parallel(rows, ["l_orderkey"], "names", title="titles").select("l_orderkey", F.col("place").cast("bigint").alias("place"), "name", "title")
+
+
+@query
+def social_links(spark, sf_dir):
+    """Open objects of links: empty ones are dropped, the last of a platform wins."""
+    key = F.col("s_suppkey")
+    link = lambda platform, url: F.struct(F.lit(platform).alias("platform"), url.alias("link"))
+    links = F.array(link("x", F.concat(F.lit("old/"), key)), link("y", F.when(key % 2 == 0, F.concat(F.lit(" y/"), key)).otherwise("")), link("x", F.when(key % 3 == 0, F.concat(F.lit("new/"), key))))
+    made = nesting.link_map(links)
+    return s.table(spark, sf_dir, "supplier").select("s_suppkey", made["x"].alias("x"), made["y"].alias("y"), F.size(made).cast("bigint").alias("n"))
+
+
+@query
+def written_exports(spark, sf_dir):
+    """The school's export written as CSV, JSON and Parquet and read back: rows of each file type."""
+    rows = s.sites(spark, sf_dir).select("site_id", "base_url")
+    root = f"{app_folder(spark)}/exports-{uuid.uuid4().hex}"
+    for fmt in ("csv", "json", "parquet"):
+        export.write_export(rows, f"{root}/{fmt}", fmt)
+    back = [spark.read.option("header", fmt == "csv").format(fmt).load(f"{root}/{fmt}").select(F.lit(fmt).alias("file_type"), "site_id", "base_url") for fmt in ("csv", "json", "parquet")]
+    return back[0].unionByName(back[1]).unionByName(back[2])
+
+
+@query
+def latest_export(spark, sf_dir):
+    """The newest active file of one type, of one written for every order."""
+    key = F.col("o_orderkey")
+    manifest = s.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("changes-"), key).alias("filename"), F.when(key % 2 == 0, "changes").otherwise("full").alias("file_type"),
+        F.col("o_orderdate").cast("timestamp").alias("generated_at"), (key % 3 != 0).alias("is_active"),
+    )
+    return export.latest_active(manifest, "changes").select("filename", day("generated_at"))
+
+
 def _streamed(spark, sf_dir):
     """The intake after events have streamed in as sightings, a snapshot per ten days."""
     root = f"{app_folder(spark)}/intake-{uuid.uuid4().hex}"

@@ -23,10 +23,6 @@ EXPORT_LIFE_DAYS = 7
 PROFILE_COLUMNS = [
     "ipeds", "school", "unique_id", "sport_code", "first_name", "last_name", "position", "email", "phone", "last_updated",
 ]
-CHANGE_COLUMNS = [
-    "change_type", "change_date", "ipeds", "school", "unique_id", "sport_code", "first_name", "last_name", "position",
-    "email", "phone", "change_details", "snapshot_period", "full_name",
-]
 
 
 def school_info(sites: DataFrame, registry: DataFrame) -> DataFrame:

@@ -422,3 +422,24 @@ ORACLE["search_page_after"] = f"""WITH {MEMBERS}, people AS (SELECT fingerprint,
         FROM members WHERE category = 'signup' GROUP BY fingerprint)
       SELECT fingerprint, name, {DAY.format("l")} AS latest_seen, sightings FROM people
       WHERE l < DATE '2024-01-20' OR l = DATE '2024-01-20' AND fingerprint > '8' ORDER BY l DESC, fingerprint LIMIT 25"""
+_PHONE = _TEN = "('555' || lpad(CAST(c_custkey AS VARCHAR), 7, '0'))"
+ORACLE |= {
+    "contact_links": f"""SELECT c_custkey, c_custkey || '@x.test' AS mail, {_PHONE} AS tel,
+        CASE WHEN c_custkey % 2 = 0 THEN '+1-' || substr({_TEN}, 1, 3) || '-' || substr({_TEN}, 4, 3) || '-' || substr({_TEN}, 7)
+          ELSE substr({_TEN}, 1, 3) || '-' || substr({_TEN}, 4, 3) || '-' || substr({_TEN}, 7) END AS plus,
+        {_PHONE} || CASE WHEN c_custkey % 3 = 0 THEN ' ext. ' || c_custkey ELSE '' END AS extended FROM customer""",
+    "script_emails": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'c' || c_custkey || '@x.test' WHEN 1 THEN 'c' || c_custkey || '@y.test' END AS email FROM customer",
+    "inline_text": "SELECT p_partkey, 'Dr. ' || p_name || ' - R&D' AS plain, p_name AS bare FROM part",
+    "same_structures": "SELECT l_returnflag, count(*) AS same, count(*) FILTER (l_returnflag = l_linestatus) AS crossed FROM lineitem GROUP BY 1",
+    "stateless_fingerprints": "SELECT c_custkey, md5(CASE WHEN c_custkey % 4 <> 0 THEN 'c' || c_custkey || '@x.test' ELSE lower(trim(c_name)) END) AS fingerprint FROM customer",
+    "change_array_totals": """SELECT count(DISTINCT l_orderkey) AS changes, count(*) FILTER (l_returnflag = 'N') AS added_total,
+        count(*) FILTER (l_returnflag = 'R') AS removed_total, count(*) FILTER (l_returnflag = 'A') AS updated_total FROM lineitem""",
+    "parallel_lists": """SELECT l_orderkey, row_number() OVER w - 1 AS place, 'n' || l_linenumber AS name,
+        CASE WHEN row_number() OVER w <= count(*) FILTER (l_linenumber <= 2) OVER (PARTITION BY l_orderkey) THEN 't' || l_linenumber END AS title
+      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""",
+    "social_links": """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new/' ELSE 'old/' END || s_suppkey AS x, CASE WHEN s_suppkey % 2 = 0 THEN 'y/' || s_suppkey END AS y,
+        1 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS n FROM supplier""",
+    "written_exports": f"WITH {SITES} SELECT f AS file_type, site_id, base_url FROM sites, (VALUES ('csv'), ('json'), ('parquet')) t(f)",
+    "latest_export": f"""SELECT 'changes-' || o_orderkey AS filename, {DAY.format("o_orderdate")} AS generated_at FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0
+      ORDER BY o_orderdate DESC, 'changes-' || o_orderkey LIMIT 1""",
+}
