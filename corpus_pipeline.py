@@ -21,7 +21,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the models learn from those that have a label."""
-    return toxicity.keep_ordinary(docs, toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"))))
+    return toxicity.keep_ordinary(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from three quarters of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 4) == 2
-    model = toxicity.train(toxicity.labelled(docs.where(~held_out), table(spark, sf_dir, "labels")))
+    model = toxicity.train(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     scored = toxicity.with_score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

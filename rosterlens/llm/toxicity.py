@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlens.llm.text import share
+from rosterlens.session import stage
 
 PER_CLASS = 6000
 CONTEXT = 5
@@ -186,26 +187,29 @@ def _distinct_words(text: Column) -> Column:
     return lists(text)
 
 
-def train(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on rows of (doc_id, text, toxic); rows without a label are left out.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Fit on documents (doc_id, text) with a label (doc_id, toxic); labels without an id or a value are left out.
 
-    About ``per_class`` documents of each class are taken, three quarters for the counts and one
-    for the curve. Without rows of both classes every ratio is 0 and the curve is the share of
-    toxic rows, smoothed.
+    About ``per_class`` labels of each class are taken, three quarters for the counts and one for
+    the curve; a document with several differing labels counts as toxic. The taken labels are few,
+    so they go to the documents, which are not moved. Without rows of both classes every ratio is 0
+    and the curve is the share of toxic labels, smoothed.
     """
-    labelled = labelled.where("toxic is not null").select("doc_id", "text", (F.col("toxic") == 1).alias("toxic"))
-    sizes = {bool(r["toxic"]): r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    sizes = {bool(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_ordinary = sizes.get(True, 0), sizes.get(False, 0)
     prior = math.log((n_toxic + 0.5) / (n_ordinary + 0.5)) if n_toxic + n_ordinary else -4.0
     if not n_toxic or not n_ordinary:
         return Model({}, {}, 1.0, prior)
     part = F.when(F.col("toxic"), min(1.0, per_class / n_toxic)).otherwise(min(1.0, per_class / n_ordinary))
-    sample = labelled.where(share(F.col("doc_id"), F.lit("toxicity")) < part).withColumn("for_curve", share(F.lit("curve"), F.col("doc_id")) < 0.25)
+    taken = known.where(share(F.col("doc_id"), F.lit("toxicity")) < part).withColumn("for_curve", share(F.lit("curve"), F.col("doc_id")) < 0.25)
+    taken = stage(taken, "taken-labels")
+    sample = stage(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id"), "labelled-sample")  # about two times per_class rows
     words = sample.where("not for_curve").select("toxic", F.explode(_distinct_words(F.col("text"))).alias("word"))
     counts = words.groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("ordinary")).toPandas()
     by_class = [dict(zip(counts.word[counts[c] > 0], counts[c][counts[c] > 0].tolist())) for c in ("toxic", "ordinary")]
     model = train_tables(*by_class)
-    held = sample.where("for_curve").select("toxic", _evidence(labelled, model)(F.col("text")).alias("x")).toPandas()
+    held = sample.where("for_curve").select("toxic", _evidence(docs, model)(F.col("text")).alias("x")).toPandas()
     toxic = held.toxic.to_numpy(dtype=float)
     if toxic.min(initial=1) == toxic.max(initial=0):
         return Model(model.seen, model.unseen, 1.0, prior)
@@ -234,12 +238,6 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     return docs.withColumn(name, 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), inner)))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the documents that have a label; a document with several differing labels counts as toxic."""
-    one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(one, "doc_id")
-
-
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents scored below the threshold, with all their columns. No rows give none."""
     rows = docs.select(F.struct("*").alias("row"), F.col("text"))
