@@ -22,7 +22,7 @@ from rosterlens.functions.text import clean_email, first_of, norm, url_key
 from rosterlens.operators.nesting import SNAPSHOT
 from rosterlens.operators.ordered import END, smallest_cover
 from rosterlens.operators.skew import detach
-from rosterlens.session import stage
+from rosterlens.session import drop, stage
 
 # After this many rounds, snapshots with few open rows are finished in one pass each.
 ROUNDS_BEFORE_FINISH = 2
@@ -91,7 +91,10 @@ def find_leaders(shared: DataFrame, rounds_before_finish: int = ROUNDS_BEFORE_FI
         found.append(leaders)
         led_keys = open_rows.join(leaders, member, "left_semi").select(*key)
         settled = open_rows.join(led_keys, key, "left_semi").select(*member).distinct()
-        open_rows = stage(open_rows.join(settled, member, "left_anti"), "open-members")
+        last = open_rows
+        open_rows = stage(last.join(settled, member, "left_anti"), "open-members")
+        if round_no > 1:
+            drop(last)
     result = found[0] if found else shared.select(*member).limit(0)
     for more in found[1:]:
         result = result.unionByName(more)

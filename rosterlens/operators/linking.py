@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.operators.ordered import grouped_rank
 from rosterlens.operators.skew import detach
-from rosterlens.session import stage
+from rosterlens.session import drop, stage
 
 ROUNDS_BEFORE_FINISH = 1
 SMALL_GROUP_ROWS = 50_000
@@ -104,6 +104,7 @@ def link_in_order(
     round_no = 0
     while not edges.isEmpty():
         round_no += 1
+        last = (edges, before, after)
         if round_no > rounds_before_finish:
             links, small = _finish_small(edges, before, after, group)
             found.append(stage(links, "links"))
@@ -123,6 +124,8 @@ def link_in_order(
         )
         before = stage(before.join(detach(edges.select(*v_key).distinct()), v_key, "left_semi"), "before")
         after = stage(after.join(detach(edges.select(*w_key).distinct()), w_key, "left_semi"), "after")
+        for table in last:
+            drop(table)
     if not found:
         return before.select(*group, "b", F.lit(0).cast("bigint").alias("a")).limit(0)
     result = found[0]

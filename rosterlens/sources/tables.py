@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rosterlens.operators.skew import detach
 from rosterlens.session import stage
 
+ROWS_PER_FILE = 1_000_000
+
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A Parquet table; a missing one is empty when its schema is given."""
@@ -22,15 +25,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
-def write_by_site(df: DataFrame, path: str, order: list[str] | None = None, files_per_site: int = 8) -> None:
+def write_by_site(df: DataFrame, path: str, order: list[str] | None = None, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Replace the partitions of the sites in ``df`` and leave the other sites alone.
 
-    Rows are staged first, as ``df`` may be computed from the table it replaces. A site's rows go
-    to several tasks, so that one very large site is not written by one task.
+    Rows are staged first, as ``df`` may be computed from the table it replaces. A site gets as many
+    files, and tasks that write them, as its rows need: a small one has one, a very large one many.
     """
     rows = stage(df, "replacement")
-    spread = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(files_per_site))
-    out = rows.repartition("site_id", spread)
+    sizes = rows.groupBy("site_id").agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    sized = rows.join(detach(sizes), "site_id")
+    spread = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.col("_files"))
+    out = sized.repartition("site_id", spread).drop("_files")
     if order:
         out = out.sortWithinPartitions("site_id", *order)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_id").parquet(path)
