@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.operators.skew import detach
-from rosterlens.session import stage
+from rosterlens.session import drop, stage
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -50,8 +50,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges, "links")
     before = _mark(edges)
     while before[0]:
-        edges = stage(_small_star(_large_star(edges)), "stars")
+        last, edges = edges, stage(_small_star(_large_star(edges)), "stars")
         after = _mark(edges)
+        drop(last)
         if after == before:
             break
         before = after

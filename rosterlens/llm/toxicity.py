@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     model = train_tables(*by_class)
     held = sample.where("for_curve").select("toxic", _evidence(docs, model)(F.col("text")).alias("x")).toPandas()
     toxic = held.toxic.to_numpy(dtype=float)
-    if toxic.min(initial=1) == toxic.max(initial=0):
+    if len(np.unique(toxic)) < 2:
         return Model(model.seen, model.unseen, 1.0, prior)
     weight = np.where(toxic > 0, n_toxic / toxic.sum(), n_ordinary / (1 - toxic).sum()) * len(toxic) / (n_toxic + n_ordinary)
     slope, base = fit_curve(held.x.to_numpy(dtype=float), toxic, weight)
