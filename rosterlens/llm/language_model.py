@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,13 @@ from rosterlens.llm.text import ascii_lower, share, words
 from rosterlens.session import stage, spread
 
 N_HEAD = 1024
-ENDINGS = 64
-HASHED = 32
+ENDINGS = 48
+HASHED = 16
 ENDING = 3
 FREQUENT = 100_000
 ROUNDS = (0.02, 0.01, 0.005)
 TRAINED_SHARE = 0.03
+SLICE = 4096
 LN10 = float(np.log(10))
 
 
@@ -79,12 +81,26 @@ def _ending(word: Column) -> Column:
     return F.substring(word.cast("binary"), -ENDING, ENDING)
 
 
+def _least_count(counts: DataFrame) -> int:
+    """The count that at most ``FREQUENT`` words reach, from a histogram of a few hundred steps of the counts."""
+    step = F.floor(F.log2("c") * 16)
+    rows = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r["step"])
+    n, least = 0, 1 << 62
+    for r in rows:
+        n += r["n"]
+        if n > FREQUENT:
+            break
+        least = r["least"]
+    return least
+
+
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """Tables of fixed size from the counts: at most ``FREQUENT`` words and ``ENDINGS`` endings come to the driver."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).select(F.col("word").cast("binary").alias("word"), "c").collect()
+    top = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= _least_count(counts)).select(F.col("word").cast("binary").alias("word"), "c").collect()]
+    top.sort(key=lambda r: (-r[1], r[0]))
     spark = counts.sparkSession
-    head = spark.createDataFrame([(r["word"],) for r in top[: N_HEAD - 1]], "head binary")
+    head = spark.createDataFrame([(bytearray(w),) for w, _ in top[: N_HEAD - 1]], "head binary")
     rest = counts.select(F.col("word").cast("binary").alias("word"), "c").join(F.broadcast(head), F.col("word") == F.col("head"), "left_anti")  # fewer than N_HEAD rows
     by_ending = rest.groupBy(F.substring("word", -ENDING, ENDING).alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
     by_ending = stage(by_ending, "endings")
@@ -98,7 +114,7 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     for r in others.groupBy((F.crc32("ending") % HASHED).alias("k")).agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
         tokens[ENDINGS + r["k"]], kinds[ENDINGS + r["k"]] = r["c"], r["n"]
     return Vocabulary(
-        {bytes(r["word"]): k for k, r in enumerate(top)}, np.array([r["c"] for r in top], np.int64), len(top), endings,
+        {w: k for k, (w, _) in enumerate(top)}, np.array([c for _, c in top], np.int64), len(top), endings,
         tokens, kinds, int(sums[0]) + n_docs, int(sums[1]) + bool(n_docs), n_docs,
     )
 
@@ -138,8 +154,7 @@ class Numbering:
     def split(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Positions in the tables (-1 for other words), the end included; and the other words in order."""
         found = (text or "").encode().lower().split()
-        known = self.known
-        at = np.fromiter((known.get(w, -1) for w in found), np.int64, len(found))
+        at = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
         return np.append(at, 0), [found[k] for k in np.flatnonzero(at < 0)]
 
     def tokens(self, at: np.ndarray, others: list[bytes]) -> np.ndarray:
@@ -199,7 +214,7 @@ def _first_pass(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> Co
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         v, parameters = shared.value
         numbering, scorer = Numbering(v), recurrent.Scorer(v.shape, parameters)
-        for part in parts:
+        for part in (p[k : k + SLICE] for p in parts for k in range(0, max(len(p), 1), SLICE)):
             sequences, rows = [], []
             for text in part:
                 at, others = numbering.split(text)

@@ -93,11 +93,14 @@ def _by_group(groups: np.ndarray) -> list[tuple[int, np.ndarray]]:
 class Scorer:
     """Log-likelihoods of whole texts; the state goes on from window to window."""
 
-    def __init__(self, shape: Shape, flat: np.ndarray, window: int = 16, batch: int = 512, rows: int = 1024) -> None:
+    def __init__(self, shape: Shape, flat: np.ndarray, window: int = 16, batch: int = 512, rows: int = 512) -> None:
         self.shape, self.p, self.window, self.batch, self.rows = shape, shape.views(flat), window, batch, rows
         self.logits = np.empty((rows, len(self.p["bc"])), np.float32)
         self.ones = np.ones(len(self.p["bc"]), np.float32)
-        self.inputs = self.p["embed"] @ self.p["wx"] + self.p["b"]
+        inputs, wh, gates = self.p["embed"] @ self.p["wx"] + self.p["b"], self.p["wh"], 2 * STATE
+        # gates and candidates in arrays of their own: whole rows are faster than slices of rows
+        self.to_gates, self.to_new = inputs[:, :gates].copy(), inputs[:, gates:].copy()
+        self.wh_gates, self.wh_new = wh[:, :gates].copy(), wh[:, gates:].copy()
         # numpy has a much faster exponential to base 2 than to base e, so the outputs are scaled to bits
         self.wc, self.bc, self.ww, self.bw = (self.p[k] * LOG2E for k in ("wc", "bc", "ww", "bw"))
 
@@ -132,7 +135,7 @@ class Scorer:
     def _score_block(self, texts: list[np.ndarray], names: list[int], total: np.ndarray) -> None:
         """Texts of falling length: those that have ended drop out behind."""
         lengths = np.array([len(t) for t in texts])
-        wh, h = self.p["wh"], np.zeros((len(texts), STATE), np.float32)
+        h = np.zeros((len(texts), STATE), np.float32)
         last = np.full(len(texts), END)
         names = np.array(names)
         for start in range(0, int(lengths[0]), self.window):
@@ -145,19 +148,18 @@ class Scorer:
             inputs = np.concatenate([last[None, :live], np.maximum(targets[:-1], 0)])
             last = np.maximum(targets[-1], 0)
             h = h[:live].copy()
-            x = self.inputs[inputs]
+            to_gates, to_new = self.to_gates[inputs], self.to_new[inputs]
             states = np.empty((width, live, STATE), np.float32)
             for t in range(width):
-                g = h @ wh
-                zr = x[t, :, : 2 * STATE]
-                zr += g[:, : 2 * STATE]
+                zr = to_gates[t]
+                zr += h @ self.wh_gates
                 zr *= 0.5
                 np.tanh(zr, out=zr)
                 zr += 1
                 zr *= 0.5
-                n = g[:, 2 * STATE :]
+                n = h @ self.wh_new
                 n *= zr[:, STATE:]
-                n += x[t, :, 2 * STATE :]
+                n += to_new[t]
                 np.tanh(n, out=n)
                 h = np.subtract(h, n, out=states[t])
                 h *= zr[:, :STATE]
@@ -167,7 +169,7 @@ class Scorer:
             total += np.bincount(np.broadcast_to(names[None, :live], targets.shape)[used], got.astype(np.float64), len(total))
 
 
-def train_on(shape: Shape, flat: np.ndarray, stream: np.ndarray, rate: float, window: int = 20, batch: int = 32) -> np.ndarray:
+def train_on(shape: Shape, flat: np.ndarray, stream: np.ndarray, rate: float, window: int = 20, batch: int = 64) -> np.ndarray:
     """Parameters after one pass over a stream of token numbers (texts one after another), by truncated backpropagation with Adam.
 
     The stream is cut into parallel lanes; in each the state goes on from window to window and starts anew after ``END``.
