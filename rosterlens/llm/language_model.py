@@ -32,8 +32,8 @@ from rosterlens.llm.text import ascii_lower, share, words
 from rosterlens.session import stage, spread
 
 N_HEAD = 1024
-ENDINGS = 48
-HASHED = 16
+ENDINGS = 64
+HASHED = 32
 ENDING = 3
 FREQUENT = 100_000
 ROUNDS = (0.02, 0.01, 0.005)

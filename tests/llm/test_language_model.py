@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 from collections import Counter
@@ -119,3 +120,13 @@ def test_nothing_to_learn_from(spark):
     got = language_model.scored(docs, F.lit(False)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in sorted(got, key=lambda r: r.doc_id)] == [(3, 0, 0), (1, 0, 0)]
     assert language_model.scored(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_sixty_endings_are_sixty_classes(spark):
+    """Words outside the head keep a class for each of 64 endings and 32 for the others; steps are of 32 lanes."""
+    head = [(f"head{k}", 10) for k in range(language_model.N_HEAD - 1)]
+    rare = [(f"rare{chr(97 + k // 8)}{chr(97 + k % 8)}x", 1) for k in range(60)]
+    counts = spark.createDataFrame([(w, k, c) for k, (w, c) in enumerate(head + rare)], "word string, h long, c long")
+    v = language_model.vocabulary(counts, 5)
+    assert len({v.class_of(w.encode()) for w, _ in rare}) == 60
+    assert v.shape.n_tail == 96 and inspect.signature(recurrent.train_on).parameters["batch"].default == 32
