@@ -4,9 +4,9 @@ Counts of all training tokens are aggregated in Spark, one row per word; they gr
 and stay distributed. From them come the base score of add-one smoothing, the head words of the
 network, and the probabilities of all other words within their class (a class is a frequent ending
 of words, or a hash of a rare one). The network sees head words and classes: it learns which comes
-next from whole documents in order, by truncated backpropagation in numpy, on every input
-partition's share of the training documents; the partitions' parameters are averaged in Spark after
-every round. Head words are chosen by a softmax of their own that depends on the state.
+next from whole documents in order, by truncated backpropagation in numpy. Every round takes another
+slice of the training documents, and the slices together are all of them; every input partition
+trains on its part of the slice, and the partitions' parameters are averaged in Spark after the round. Head words are chosen by a softmax of their own that depends on the state.
 
 Scoring reads every text once, whole, with the network's state carried through all of it. Counts of
 the ``FREQUENT`` most frequent words are broadcast; the other words of each document are joined
@@ -37,7 +37,6 @@ HASHED = 32
 ENDING = 3
 FREQUENT = 100_000
 ROUNDS = (0.02, 0.01, 0.005)
-TRAINED_SHARE = 0.03
 SLICE = 4096
 LN10 = float(np.log(10))
 
@@ -164,8 +163,13 @@ class Numbering:
         return out
 
 
+def _round(doc_id: Column, text: Column) -> Column:
+    """The round that trains on a document, from 0. By id and text, so that rows without an id are spread as well."""
+    return F.floor(share(doc_id, text, F.lit("language model")) * len(ROUNDS))
+
+
 def _training_rounds(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """Parameters after all rounds; each round trains every partition's share of documents from the same start and averages."""
+    """Parameters after all rounds, which take every document once; each trains every partition's part of its slice from the same start and averages."""
     spark, shape = docs.sparkSession, vocabulary.shape
     head_counts = np.zeros(N_HEAD)
     head_counts[0] = vocabulary.ends
@@ -174,17 +178,15 @@ def _training_rounds(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     flat = recurrent.initial(shape, np.concatenate([head_counts, vocabulary.class_tokens]))
     shared_vocabulary = spark.sparkContext.broadcast(vocabulary)
     for number, rate in enumerate(ROUNDS):
-        low = number * TRAINED_SHARE
-        place = share(F.col("doc_id"), F.lit("language model"))
-        part = docs.where((place >= low) & (place < low + TRAINED_SHARE)).select("text")
+        part = docs.where(_round(F.col("doc_id"), F.col("text")) == number).select("text")
         shared = spark.sparkContext.broadcast(flat)
 
         def train(rows: Iterator[pd.DataFrame], shared=shared, rate=rate) -> Iterator[pd.DataFrame]:
             numbering, weight, own = None, 0, shared.value
             for frame in rows:
                 numbering = numbering or Numbering(shared_vocabulary.value)
-                texts = [numbering.tokens(*numbering.split(x)) for x in frame.text]
-                if texts:
+                for low in range(0, len(frame), SLICE):
+                    texts = [numbering.tokens(*numbering.split(x)) for x in frame.text[low : low + SLICE]]
                     stream = np.concatenate([np.zeros(1, np.int64), *texts])
                     own = recurrent.train_on(shape, own, stream, rate)
                     weight += len(stream) - 1

@@ -173,15 +173,17 @@ def train_on(shape: Shape, flat: np.ndarray, stream: np.ndarray, rate: float, wi
     """Parameters after one pass over a stream of token numbers (texts one after another), by truncated backpropagation with Adam.
 
     The stream is cut into parallel lanes; in each the state goes on from window to window and starts anew after ``END``.
+    The last lane starts a little earlier where the lengths do not come out even, so that no token is left out.
     """
     flat = flat.copy()
     p, grad = shape.views(flat), np.zeros_like(flat)
     g = shape.views(grad)
     lanes = max(1, min(batch, len(stream) // (4 * window)))
-    length = (len(stream) - 1) // lanes
+    length = -(-(len(stream) - 1) // lanes)
     if length < 1:
         return flat
-    lane = np.stack([stream[k * length : (k + 1) * length + 1] for k in range(lanes)], axis=1)  # (length + 1, lanes)
+    starts = [min(k * length, len(stream) - 1 - length) for k in range(lanes)]
+    lane = np.stack([stream[k : k + length + 1] for k in starts], axis=1)  # (length + 1, lanes)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((lanes, STATE), np.float32)
     step = 0

@@ -130,3 +130,20 @@ def test_sixty_endings_are_sixty_classes(spark):
     v = language_model.vocabulary(counts, 5)
     assert len({v.class_of(w.encode()) for w, _ in rare}) == 60
     assert v.shape.n_tail == 96 and inspect.signature(recurrent.train_on).parameters["batch"].default == 32
+
+
+def test_the_rounds_take_every_training_document(spark):
+    rows = [(k if k % 3 else None, " ".join([f"w{k}"] * (k + 1))) for k in range(90)] + [(500, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = docs.select(language_model._round(F.col("doc_id"), F.col("text")).alias("r"), "doc_id").collect()
+    rounds = set(range(len(language_model.ROUNDS)))
+    assert len(got) == len(rows) and {r.r for r in got} == rounds
+    assert {r.r for r in got if r.doc_id is None} == rounds
+
+
+def test_no_token_is_left_out_of_the_lanes(monkeypatch):
+    seen = Counter()
+    monkeypatch.setattr(recurrent, "_window", lambda shape, p, g, h, x, y: seen.update(y.reshape(-1).tolist()) or h)
+    stream = np.arange(4 * 20 * 7 + 6)
+    recurrent.train_on(recurrent.Shape(32, 4), np.zeros(recurrent.Shape(32, 4).length, np.float32), stream, 0.01)
+    assert set(seen) == set(range(1, len(stream)))
