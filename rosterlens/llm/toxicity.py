@@ -4,7 +4,8 @@ Two character models of words, one of toxic and one of ordinary documents, with
 discounting at the highest order. Both fall back to one Kneser-Ney model whose continuation counts
 come from both classes (and every context gives it ``SHARED_WEIGHT`` observations beforehand), so an
 expression that is rare in either class weighs the same in both, and only what a class really uses
-more often tells them apart. A document's evidence is the mean log-likelihood ratio of its words; a logistic curve fitted on labelled documents that the counts
+more often tells them apart. A document's evidence is the log of the mean likelihood ratio of its words, as of a text in which one
+word, wherever it stands, comes from the toxic model; a logistic curve fitted on labelled documents that the counts
 have not seen turns it into a probability.
 
 The counts are of a bounded sample of labelled documents (``per_class`` of each class, chosen by a
@@ -34,8 +35,6 @@ PER_CLASS = 6000
 CONTEXT = 5
 DISCOUNT = 0.75
 SHARED_WEIGHT = 50.0
-MARGIN = 2.5
-STRETCH = 50.0
 THRESHOLD = 0.3
 CACHED_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -57,15 +56,19 @@ class Model:
     slope: float = 1.0
     base: float = 0.0
 
-    def ratio(self, word: str) -> float:
-        """ln P(word | toxic) - ln P(word | ordinary)."""
+    def ratios(self, word: str) -> list[float]:
+        """ln P(word | toxic) - ln P(word | ordinary), in parts of ``LONGEST_WORD`` letters that keep the context of the whole run."""
         line = START + word + END
         seen, unseen, total = self.seen, self.unseen, 0.0
+        parts = []
         for i in range(1, len(line)):
             context = line[max(0, i - CONTEXT) : i]
             got = seen.get(context + line[i])
             total += unseen.get(context, 0.0) if got is None else got
-        return total
+            if i % LONGEST_WORD == 0 and i < len(line) - 2:
+                parts.append(total)
+                total = 0.0
+        return [*parts, total]
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.base + self.slope * evidence, -30, 30)))
@@ -136,29 +139,29 @@ def train_tables(toxic: dict[str, int], ordinary: dict[str, int]) -> Model:
     return Model(seen, unseen)
 
 
-def evidence(model: Model, texts: pd.Series, cache: dict[str, float]) -> np.ndarray:
-    """The mean ratio of each text's words, 0 for texts without any.
+def evidence(model: Model, texts: pd.Series, cache: dict[str, list[float]]) -> np.ndarray:
+    """The log of the mean likelihood ratio of each text's words, 0 for texts without any.
 
-    A word counts by what its ratio exceeds the margin, either way: thousands of words that are a
-    little more usual in one class (as each language is) do not outweigh the few that decide. The
-    mean is stretched near 0, where long texts with few such words lie.
+    Every word counts, however small its ratio; in the mean of likelihoods thousands of words that
+    are a little more usual in one class (as each language is) do not outweigh the few that decide.
+    A run of more than ``LONGEST_WORD`` letters counts as several words and is not cached.
     """
     out = np.zeros(len(texts))
     for k, text in enumerate(texts):
-        words = tokens(text)
-        if not words:
-            continue
-        total = 0.0
-        for word in words:
-            got = cache.get(word[:LONGEST_WORD])
+        ratios: list[float] = []
+        for word in (w[:LONGEST_WORD] for w in tokens(text)):
+            got = cache.get(word)
             if got is None:
-                word = word[:LONGEST_WORD]
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                ratio = model.ratio(word)
-                got = cache[word] = math.copysign(max(abs(ratio) - MARGIN, 0.0), ratio)
-            total += got
-        out[k] = math.asinh(STRETCH * total / len(words))
+                got = model.ratios(word)
+                if len(word) <= LONGEST_WORD:
+                    if len(cache) >= CACHED_WORDS:
+                        cache.clear()
+                    cache[word] = got
+            ratios += got
+        if ratios:
+            each = np.array(ratios)
+            most = each.max()
+            out[k] = most + math.log(np.exp(each - most).mean())
     return out
 
 
@@ -224,7 +227,7 @@ def _evidence(rows: DataFrame, model: Model):
 
     @F.pandas_udf(T.DoubleType())
     def mean_ratio(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, float] = {}
+        cache: dict[str, list[float]] = {}
         for part in parts:
             yield pd.Series(evidence(shared.value, part, cache))
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -56,6 +57,12 @@ def test_shared_backoff_is_a_distribution():
         assert shared.probability(context, "?") > 0
 
 
+def test_mild_words_count():
+    model = toxicity.Model({"^a": 1.0, "^b": 2.0}, {})
+    none, mild, more = toxicity.evidence(model, pd.Series(["", "a x x", "a b x"]), {})
+    assert none == 0 < mild < more
+
+
 def language_corpus(n=400):
     rng = random.Random(5)
     parts = {"aa": ["ba", "ke", "lo", "mi"], "bb": ["schu", "gro", "tzen", "ich"], "cc": ["çao", "ñe", "ílo", "ba"]}
