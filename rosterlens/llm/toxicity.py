@@ -79,7 +79,7 @@ def _grams(counts: dict[str, int]) -> tuple[Counter, dict[str, set]]:
     grams: Counter = Counter()
     follow: dict[str, set] = defaultdict(set)
     for word, n in counts.items():
-        line = START + word[:LONGEST_WORD] + END
+        line = START + word + END
         for i in range(1, len(line)):
             context = line[max(0, i - CONTEXT) : i]
             grams[context + line[i]] += n
@@ -149,7 +149,7 @@ def evidence(model: Model, texts: pd.Series, cache: dict[str, list[float]]) -> n
     out = np.zeros(len(texts))
     for k, text in enumerate(texts):
         ratios: list[float] = []
-        for word in (w[:LONGEST_WORD] for w in tokens(text)):
+        for word in tokens(text):
             got = cache.get(word)
             if got is None:
                 got = model.ratios(word)
@@ -185,7 +185,7 @@ def _distinct_words(text: Column) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def lists(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield pd.Series([list({w[:LONGEST_WORD] for w in tokens(x)}) for x in part])
+            yield pd.Series([list(set(tokens(x))) for x in part])
 
     return lists(text)
 

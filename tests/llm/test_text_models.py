@@ -63,6 +63,15 @@ def test_mild_words_count():
     assert none == 0 < mild < more
 
 
+def test_long_runs_are_scored_whole():
+    model = toxicity.Model({"bbbbbx": 5.0}, {})
+    run = "b" * 100
+    plain, toxic = toxicity.evidence(model, pd.Series([run, run + "x"]), {})
+    assert plain == 0 < toxic
+    assert len(model.ratios(run + "x")) == 2 and len(model.ratios("b" * 64)) == 1
+    assert "bbbbbx" in toxicity._grams({run + "x": 1})[0]
+
+
 def language_corpus(n=400):
     rng = random.Random(5)
     parts = {"aa": ["ba", "ke", "lo", "mi"], "bb": ["schu", "gro", "tzen", "ich"], "cc": ["çao", "ñe", "ílo", "ba"]}
