@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import chat, decontamination, fingerprints, language, language_model, mixing, reputation, simhash, token_counts, toxicity
+from rosterlens.llm import (
+    chat, decontamination, fingerprints, language, language_model, manifest, mixing, reputation, sharding, simhash, token_counts, toxicity, trie,
+)
 from rosterlens.llm.oracle import ORACLE as ORACLE
 from rosterlens.llm.text import fold, table
 
@@ -83,6 +85,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.measured(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, equal texts together."""
+    found = sharding.placed(table(spark, sf_dir, "documents"))
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a tampered row is found out."""
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES = {
@@ -96,4 +114,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_counts": op10_token_counts,
+    "op11_sharding": op11_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_trie": op13_conversation_trie,
 }
