@@ -98,14 +98,16 @@ class TernaryTree:
         return node
 
     def walk(self) -> Iterator[tuple[int, int, int]]:
-        """(node, parent, depth), parents before children."""
+        """(node, parent, depth), parents before children and siblings in ascending order."""
         yield 0, 0, 0
-        todo = [(self.next[0], 0, 1)]
+        todo = [(self.next[0], 0, 1, False)]
         while todo:
-            node, parent, depth = todo.pop()
-            if node:
+            node, parent, depth, smaller_done = todo.pop()
+            if smaller_done:
                 yield node, parent, depth
-                todo += [(self.larger[node], parent, depth), (self.next[node], node, depth + 1), (self.smaller[node], parent, depth)]
+                todo.append((self.next[node], node, depth + 1, False))
+            elif node:
+                todo += [(self.larger[node], parent, depth, False), (node, parent, depth, True), (self.smaller[node], parent, depth, False)]
 
 
 def medians(n: int) -> Iterator[int]:
