@@ -802,14 +802,14 @@ def latest_export(spark, sf_dir):
     return export.latest_active(manifest, "changes").select("filename", day("generated_at"))
 
 
-def _streamed(spark, sf_dir):
+def _streamed(spark, sf_dir, name: Column | None = None):
     """The intake after events have streamed in as sightings, a snapshot per ten days."""
     root = f"{app_folder(spark)}/intake-{uuid.uuid4().hex}"
     user = F.col("user_id")
     rows = spark.readStream.schema(s.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet").select(
         (user % 10).cast("string").alias("site_id"),
         F.expr("timestampadd(DAY, 10 * least(int((day(ts) - 1) / 10), 2), date_trunc('month', cast(ts as timestamp)))").alias("snapshot_date"),
-        F.col("event_id").alias("ord"), F.concat(F.lit("User "), user).alias("name"), F.col("event_type").alias("title"),
+        F.col("event_id").alias("ord"), (F.concat(F.lit("User "), user) if name is None else name).alias("name"), F.col("event_type").alias("title"),
         F.when(user % 3 != 0, F.concat(F.lit("user"), user, F.lit("@site.test"))).alias("email"), F.lit(None).cast("string").alias("phone"),
         F.col("event_type").alias("category"), F.lit(None).cast("string").alias("profile_url"),
     )
@@ -829,3 +829,10 @@ def stream_intake(spark, sf_dir):
 def stream_members(spark, sf_dir):
     """The members of the two snapshots of every site that the intake keeps."""
     return _streamed(spark, sf_dir).members().select("site_id", day("snapshot_date"), "ord", "fingerprint", "title")
+
+
+@query
+def stream_log(spark, sf_dir):
+    """The change logs that the intake leaves. Names are digests, so only equal names are similar."""
+    log = _streamed(spark, sf_dir, F.md5(F.col("user_id").cast("string"))).change_log()
+    return log.select("site_id", day("from_date"), day("to_date"), "added_count", "removed_count", "updated_count")

@@ -370,6 +370,18 @@ ORACLE: dict[str, str] = {
       SELECT site_id, {DAY.format("d")} AS snapshot_date, event_id AS ord, event_type AS title,
         md5(CASE WHEN user_id % 3 <> 0 THEN 'user' || user_id || '@site.test' ELSE 'user ' || user_id END) AS fingerprint
       FROM r QUALIFY dense_rank() OVER (PARTITION BY site_id ORDER BY d DESC) <= 2""",
+    "stream_log": f"""WITH r AS (SELECT event_id, user_id, user_id % 10 AS site_id, event_type, CASE WHEN user_id % 3 <> 0 THEN NULL ELSE event_type END AS k,
+        CAST(date_trunc('month', ts) AS DATE) + CAST(10 * least((day(ts) - 1) // 10, 2) AS INTEGER) AS d FROM events),
+      kept AS (SELECT * FROM r QUALIFY dense_rank() OVER (PARTITION BY site_id ORDER BY d DESC) <= 2),
+      people AS (SELECT site_id, d, user_id, k, min(event_id) AS ord, arg_max(event_type, len(event_type) * 1000000000000 - event_id) AS title,
+        list_sort(list(DISTINCT event_type)) AS categories FROM kept GROUP BY ALL),
+      queued AS (SELECT *, row_number() OVER (PARTITION BY site_id, d, user_id ORDER BY ord) AS place FROM people),
+      pairs AS (SELECT site_id, min(d) AS f, max(d) AS t FROM people GROUP BY 1 HAVING count(DISTINCT d) = 2),
+      b AS (SELECT q.*, f, t FROM queued q JOIN pairs p ON q.site_id = p.site_id AND d = f), a AS (SELECT q.*, f, t FROM queued q JOIN pairs p ON q.site_id = p.site_id AND d = t),
+      met AS (SELECT coalesce(b.site_id, a.site_id) AS site_id, coalesce(b.f, a.f) AS f, coalesce(b.t, a.t) AS t, CASE WHEN b.d IS NULL THEN 'added' WHEN a.d IS NULL THEN 'removed'
+        WHEN a.title <> b.title OR a.categories <> b.categories THEN 'updated' END AS kind FROM b FULL JOIN a ON b.site_id = a.site_id AND b.user_id = a.user_id AND b.place = a.place)
+      SELECT CAST(site_id AS VARCHAR) AS site_id, {DAY.format("f")} AS from_date, {DAY.format("t")} AS to_date, count(*) FILTER (kind = 'added') AS added_count,
+        count(*) FILTER (kind = 'removed') AS removed_count, count(*) FILTER (kind = 'updated') AS updated_count FROM met WHERE kind IS NOT NULL GROUP BY ALL""",
     "ingest_members": f"""WITH {LINKS} SELECT md5(regexp_extract(p.url, '^([^:]+://[^/?#]+)', 1)) AS site_id, name, profile_url, md5(lower(name)) AS fingerprint
       FROM people JOIN pages p USING (page_id) WHERE name <> ''""",
     "ingest_snapshots": f"""WITH {LINKS}, o AS (SELECT page_id, html, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base FROM pages),

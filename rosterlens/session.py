@@ -7,9 +7,12 @@ executors, is columnar, and gives the planner a real size for its join choices.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,10 +68,28 @@ def stage(df: DataFrame, label: str, reader: SparkSession | None = None) -> Data
     """Write ``df`` to the shared folder and return a DataFrame that reads it back, in the ``reader`` session if given."""
     spark = reader or df.sparkSession
     path = f"{app_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if (inside := getattr(_scope, "paths", None)) is not None:
+        inside.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scope = threading.local()
+
+
+@contextlib.contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that this thread stages inside, at the end: for jobs that repeat in one application, such as batches of a stream."""
+    outer, _scope.paths = getattr(_scope, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _scope.paths = _scope.paths, outer
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even work for a step that makes many rows of each row: as many parts as a shuffle has.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,31 @@ def write_by_site(df: DataFrame, path: str, order: list[str] | None = None, rows
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("site_id").parquet(path)
 
 
+def bucket_of(site_id: Column, buckets: int) -> Column:
+    """The folder of a site: a hash, so that the number of folders does not grow with the sites."""
+    return F.pmod(F.xxhash64(site_id), F.lit(buckets)).cast("int")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: T.StructType, numbers: list[int] | None = None) -> DataFrame:
+    """A table laid out by bucket; only the folders in ``numbers`` are read, if given."""
+    rows = read_table(spark, path, T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+    return (rows if numbers is None else rows.where(F.col("bucket").isin(numbers))).drop("bucket")
+
+
+def write_buckets(df: DataFrame, path: str, buckets: int, order: list[str], mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Replace (or with ``append`` extend) the buckets of the sites in ``df``; other buckets stay.
+
+    A bucket has as many files, and tasks that write them, as its rows need. Files are sorted by
+    site first, so that their statistics tell which sites they hold.
+    """
+    rows = stage(df.withColumn("bucket", bucket_of(F.col("site_id"), buckets)), "replacement")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    sized = rows.join(detach(sizes), "bucket")
+    spread = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.col("_files"))
+    out = sized.repartition("bucket", spread).drop("_files").sortWithinPartitions("bucket", "site_id", *order)
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def write_whole(df: DataFrame, path: str) -> None:
     """Replace a whole table that ``df`` may be computed from."""
     stage(df, "replacement").write.mode("overwrite").parquet(path)
