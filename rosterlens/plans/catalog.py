@@ -168,12 +168,14 @@ def _customer_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query
 def exact_link(spark, sf_dir):
+    """Several people on each side hold one email or one URL; a URL may end in a slash."""
     key = F.col("c_custkey")
+    email = F.array(F.concat(F.lit("mailto:C"), F.floor(key / 6), F.lit("@Site.test ")))
     rows = s.table(spark, sf_dir, "customer").select(
-        (F.floor(key / 2) % 10).cast("string").alias("site_id"), F.lit("2024-01-01").cast("timestamp").alias("from_date"),
+        (F.floor(key / 60) % 10).cast("string").alias("site_id"), F.lit("2024-01-01").cast("timestamp").alias("from_date"),
         F.lit("2024-02-01").cast("timestamp").alias("to_date"), key.alias("ord"),
-        F.when(F.col("c_acctbal") >= 2000, F.array(F.concat(F.lit("mailto:C"), F.floor(key / 2), F.lit("@Site.test ")))).otherwise(F.array().cast("array<string>")).alias("emails"),
-        F.lit(None).cast("string").alias("profile_url"),
+        F.when(F.col("c_acctbal") >= 2000, email).otherwise(F.array().cast("array<string>")).alias("emails"),
+        F.when(key % 5 != 0, F.concat(F.lit("https://site.test/p/"), F.floor(key / 8), F.when(key % 3 == 0, "/").otherwise(""))).alias("profile_url"),
     )
     return compare.sure_links(rows.where("ord % 2 = 0"), rows.where("ord % 2 = 1")).select("site_id", "b", "a")
 

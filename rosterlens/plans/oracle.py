@@ -42,6 +42,27 @@ coded AS (
   FROM changed)"""
 DAILY_ALL = f"WITH {MEMBERS}, {DATES}, {PAIRS}, {PEOPLE}, {DAILY}"
 
+# The ordered rules, one row after the other in all groups at once.
+_SAME = "(coalesce(n.email, '') <> '' AND p.email = n.email) OR (coalesce(p.nm, '') <> '' AND lower(p.nm) = lower(n.nm) AND lower(p.tl) IS NOT DISTINCT FROM lower(n.tl))"
+_LONGER = "CASE WHEN length(coalesce(n.{0}, '')) > length(coalesce(p.{0}, '')) THEN n.{0} ELSE p.{0} END"
+FLATTEN = f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ord) AS i, count(*) OVER (PARTITION BY g) AS n_rows FROM rows),
+flat AS (SELECT g, 0::BIGINT AS i, []::STRUCT(ord BIGINT, nm VARCHAR, tl VARCHAR, email VARCHAR, cats VARCHAR[])[] AS people FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT g, i, CASE WHEN hit > 0 THEN list_transform(people, lambda p, j: CASE WHEN j = hit THEN {{'ord': p.ord, 'nm': {_LONGER.format("nm")}, 'tl': {_LONGER.format("tl")}, 'email': p.email,
+      'cats': CASE WHEN list_contains(list_transform(p.cats, lambda c: lower(c)), lower(n.cat)) THEN p.cats ELSE list_append(p.cats, n.cat) END}} ELSE p END)
+    ELSE list_append(people, {{'ord': n.ord, 'nm': n.nm, 'tl': n.tl, 'email': n.email, 'cats': [n.cat]}}) END
+  FROM (SELECT f.g, n.i, f.people, n, coalesce(list_position(list_transform(f.people, lambda p: {_SAME}), true), 0) AS hit FROM flat f JOIN numbered n ON n.g = f.g AND n.i = f.i + 1)),
+people AS (SELECT g, unnest(people, recursive := true) FROM flat JOIN (SELECT g AS last_g, max(i) AS last_i FROM numbered GROUP BY 1) ON g = last_g AND i = last_i)"""
+# {0}: links; {1}: (g, b, cands) with the partners of each b in the order in which it would take them.
+GREEDY = """
+{0}_queue AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY b) AS i FROM {1}),
+{0}_walk AS (SELECT DISTINCT g, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS b, NULL::BIGINT AS a FROM {0}_queue
+  UNION ALL
+  SELECT g, i, CASE WHEN a IS NULL THEN used ELSE list_append(used, a) END, b, a
+  FROM (SELECT w.g, q.i, w.used, q.b, list_filter(q.cands, lambda x: NOT list_contains(w.used, x))[1] AS a FROM {0}_walk w JOIN {0}_queue q ON q.g = w.g AND q.i = w.i + 1)),
+{0} AS (SELECT g, b, a FROM {0}_walk WHERE a IS NOT NULL)"""
+
 SITES = """
 sites AS (
   SELECT CAST(n_nationkey AS VARCHAR) AS site_id, n_nationkey AS k, 'https://www.' || lower(n_name) || '.edu' AS base_url,
@@ -217,8 +238,30 @@ ORACLE: dict[str, str] = {
       g AS (SELECT p_size, lower(p_name) AS n, lower(p_brand) AS b, min(p_partkey) AS ord, arg_min(p_name, p_partkey) AS name, arg_min(p_brand, p_partkey) AS title FROM part GROUP BY ALL)
       SELECT CAST(g.p_size AS VARCHAR) AS site_id, g.ord, md5(CAST(g.ord AS VARCHAR)) AS fingerprint, any_value(name) AS name, any_value(title) AS title,
         string_agg(p_type, ',' ORDER BY o) AS categories FROM g JOIN c ON g.p_size = c.p_size AND g.n = c.n AND g.b = c.b GROUP BY g.p_size, g.ord""",
-    "exact_link": """SELECT CAST(b.c_custkey // 2 % 10 AS VARCHAR) AS site_id, b.c_custkey AS b, a.c_custkey AS a FROM customer b
-      JOIN customer a ON a.c_custkey = b.c_custkey + 1 AND b.c_custkey % 2 = 0 WHERE a.c_acctbal >= 2000 AND b.c_acctbal >= 2000""",
+    "flatten_people": f"""WITH RECURSIVE rows AS (SELECT p_size AS g, p_partkey AS ord, p_name AS nm, p_brand AS tl, p_type AS cat,
+        CASE WHEN p_partkey % 3 = 0 THEN lower(replace(p_name, ' ', '.')) || '@site.test' END AS email FROM part), {FLATTEN}
+      SELECT CAST(g AS VARCHAR) AS site_id, ord, md5(CAST(ord AS VARCHAR)) AS fingerprint, nm AS name, tl AS title, array_to_string(cats, ',') AS categories FROM people""",
+    "exact_link": f"""WITH RECURSIVE sides AS (SELECT c_custkey AS k, c_custkey // 60 % 10 AS g, CASE WHEN c_acctbal >= 2000 THEN c_custkey // 6 END AS e, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey // 8 END AS u FROM customer),
+      meets AS (SELECT b.g, b.k AS b, list(a.k ORDER BY a.k) AS cands FROM sides b JOIN sides a ON a.g = b.g AND b.k % 2 = 0 AND a.k % 2 = 1 AND (a.e = b.e OR a.u = b.u) GROUP BY ALL),
+      {GREEDY.format("links", "meets")} SELECT CAST(g AS VARCHAR) AS site_id, b, a FROM links""",
+    "fuzzy_compare": f"""WITH RECURSIVE rows AS (SELECT c_nationkey * 2 + c_custkey % 2 AS g, c_custkey AS ord, c_name AS nm, c_mktsegment AS tl, c_mktsegment AS cat,
+        CASE WHEN c_acctbal >= 5000 THEN 'c' || (c_custkey // 2) || '@site.test' END AS email FROM customer), {FLATTEN},
+      sided AS (SELECT *, g // 2 AS site, g % 2 AS side, array_to_string(cats, ', ') AS shown, list_sort(list_transform(cats, lambda c: lower(trim(c)))) AS cat_set FROM people),
+      both_ AS (SELECT site FROM sided GROUP BY 1 HAVING count(DISTINCT side) = 2),
+      b AS (SELECT * FROM sided WHERE side = 0 AND site IN (FROM both_)), a AS (SELECT * FROM sided WHERE side = 1 AND site IN (FROM both_)),
+      mails AS (SELECT b.site AS g, b.ord AS b, list(a.ord ORDER BY a.ord) AS cands FROM b JOIN a ON a.site = b.site AND a.email = b.email GROUP BY ALL), {GREEDY.format("sure", "mails")},
+      near AS (SELECT b.site AS g, b.ord AS b, a.ord AS a, 1.0::DOUBLE - levenshtein(lower(b.nm), lower(a.nm))::DOUBLE / greatest(length(b.nm), length(a.nm)) AS score
+        FROM b JOIN a ON a.site = b.site WHERE b.ord NOT IN (SELECT b FROM sure) AND a.ord NOT IN (SELECT a FROM sure)),
+      names AS (SELECT g, b, list(a ORDER BY score DESC, a) AS cands FROM near WHERE score > 0.85 GROUP BY ALL), {GREEDY.format("named", "names")},
+      linked AS (FROM sure UNION ALL FROM named),
+      pairs AS (SELECT b.site, b.ord, a.nm AS name, b.nm <> a.nm AS dn, b.tl <> a.tl AS dt, b.cat_set <> a.cat_set AS dc, b.nm AS bn, b.tl AS bt, b.shown AS bc, a.tl AS at_, a.shown AS ac
+        FROM linked l JOIN b ON b.ord = l.b JOIN a ON a.ord = l.a),
+      entries AS (SELECT site, 'updated' AS kind, ord, name, NULL AS title, (CASE WHEN dn OR dt THEN 'j' ELSE '' END) || (CASE WHEN dc THEN 'a' ELSE '' END) AS change_code,
+          concat_ws('; ', CASE WHEN dn THEN 'name: ' || bn || ' → ' || name END, CASE WHEN dt THEN 'title: ' || bt || ' → ' || at_ END, CASE WHEN dc THEN 'categories: ' || bc || ' → ' || ac END) AS change_details
+        FROM pairs WHERE dn OR dt OR dc
+        UNION ALL SELECT site, 'added', ord, nm, tl, 'n', 'Added to ' || shown || ' category' FROM a WHERE ord NOT IN (SELECT a FROM linked)
+        UNION ALL SELECT site, 'removed', ord, nm, tl, 'r', 'Removed from ' || shown || ' category' FROM b WHERE ord NOT IN (SELECT b FROM linked))
+      SELECT CAST(site AS VARCHAR) AS site_id, '2024-01-01' AS from_date, '2024-02-01' AS to_date, kind, ord, md5(CAST(ord AS VARCHAR)) AS fingerprint, name, title, change_code, change_details FROM entries""",
     "fuzzy_candidates": f"WITH {CUSTOMER_SIDES} SELECT site_id, segment, v, w, round(score, 6) AS score FROM near",
     "fuzzy_best": f"""WITH {CUSTOMER_SIDES} SELECT site_id, segment, v, w, round(score, 6) AS score FROM near
       QUALIFY row_number() OVER (PARTITION BY site_id, segment, v ORDER BY score DESC, w) = 1""",
