@@ -19,6 +19,7 @@ from rosterlens.functions import contacts, urls
 from rosterlens.functions.names import strip_honorific
 from rosterlens.functions.text import blank_to_null, collapse, full_trim
 from rosterlens.operators.ordered import keep_first
+from rosterlens.operators.table_roles import TableRoles, people_in_tables
 from rosterlens.session import stage
 from rosterlens.sources.elements import page_elements
 
@@ -117,10 +118,11 @@ class PythonRule:
     fn: Callable[[str, str], list[dict] | None]
 
 
-RULES: dict[str, Rule | PythonRule] = {}
+AnyRule = Rule | PythonRule | TableRoles
+RULES: dict[str, AnyRule] = {}
 
 
-def register_rule(rule: Rule | PythonRule) -> None:
+def register_rule(rule: AnyRule) -> None:
     RULES[rule.name] = rule
 
 
@@ -287,7 +289,7 @@ def _run_python_rule(rule: PythonRule) -> Callable[[Iterator[pd.DataFrame]], Ite
     return run
 
 
-def run_rules(pages: DataFrame, rules: list[Rule | PythonRule]) -> DataFrame:
+def run_rules(pages: DataFrame, rules: list[AnyRule]) -> DataFrame:
     """Person rows of all rules for pages (page_id, url, html)."""
     layouts = [r for r in rules if isinstance(r, Rule)]
     parts = []
@@ -295,6 +297,8 @@ def run_rules(pages: DataFrame, rules: list[Rule | PythonRule]) -> DataFrame:
         marked = stage(match_rules(page_elements(pages), layouts), "matched-elements")
         parts.append(assemble(marked, layouts))
     for rule in rules:
+        if isinstance(rule, TableRoles):
+            parts.append(people_in_tables(page_elements(pages), rule))
         if isinstance(rule, PythonRule):
             slim = pages.where("html is not null").select("page_id", "url", "html")
             parts.append(slim.mapInPandas(_run_python_rule(rule), PERSON_SCHEMA))
@@ -304,7 +308,7 @@ def run_rules(pages: DataFrame, rules: list[Rule | PythonRule]) -> DataFrame:
     return result
 
 
-def pick_rule(people: DataFrame, rules: list[Rule | PythonRule], known: DataFrame | None = None) -> DataFrame:
+def pick_rule(people: DataFrame, rules: list[AnyRule], known: DataFrame | None = None) -> DataFrame:
     """Rows of the winning rule of each page; ``known`` (page_id, known_rule) puts a remembered rule first."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     ranked = people.withColumn("_priority", F.try_element_at(order, F.col("rule")))
@@ -318,7 +322,7 @@ def pick_rule(people: DataFrame, rules: list[Rule | PythonRule], known: DataFram
 
 
 def extract_people(
-    pages: DataFrame, rules: list[Rule | PythonRule] | None = None, known: DataFrame | None = None
+    pages: DataFrame, rules: list[AnyRule] | None = None, known: DataFrame | None = None
 ) -> DataFrame:
     """People of every page; pages where nothing is found are tried again on their rendered form."""
     rules = rules or [*RULES.values(), *BASE_RULES]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rosterlens import schemas
 from rosterlens.functions import contacts, names, text, urls
-from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, upkeep
+from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, table_roles, upkeep
 from rosterlens.plans import changes, dashboard, export, search
 from rosterlens.plans import standins as s
 from rosterlens.plans.ingest import ingest
@@ -838,3 +839,42 @@ def stream_log(spark, sf_dir):
     """The change logs that the intake leaves. Names are digests, so only equal names are similar."""
     log = _streamed(spark, sf_dir, F.md5(F.col("user_id").cast("string"))).change_log()
     return log.select("site_id", day("from_date"), day("to_date"), "added_count", "removed_count", "updated_count")
+
+
+# Layouts and users' rules
+
+
+@query
+def page_layouts(spark, sf_dir):
+    """People of pages of eight layouts, by the cascade; the last layout stands only in the rendered page."""
+    grouped = extraction.grouped_table_rule("grouped", "staff", extraction.Find(tag="tr", cls="head"), ["name", "title", "email"])
+    late = extraction.Rule(
+        "late", extraction.Find(tag="tr", inside=".late"),
+        {"name": [extraction.Find(tag="td", cell=0)], "title": [extraction.Find(tag="td", cell=1)], "email": [extraction.Find(tag="a", attr="href", prefix="mailto:", take="mailto")]},
+        page_heading=extraction.Find(tag="h1", cls="unit"), category="Staff",
+    )
+    rules = [extraction.MICRODATA, extraction.DATA_ROWS, grouped, late, extraction.Rule("headed", extraction.Find(tag="tr", inside="table"), extraction.SECTION_TABLES.fields, heading=extraction.Find(tag="h2|h3|caption"), key=("name", "title", "email", "category"), need_contact=True)]
+    pages = s.layout_pages(spark, sf_dir)
+    headed = pages.where(F.col("page_id") % 8 == 0)
+    people = extraction.extract_people(headed, [rules[4]]).unionByName(
+        extraction.extract_people(pages.where(F.col("page_id") % 8 != 0), [*rules[:4], table_roles.TableRoles(), extraction.FREE_TEXT])
+    )
+    return people.select("page_id", "rule", "name", "title", "email", "phone", "category", "profile_url")
+
+
+def heading_lines(html: str, url: str) -> list[dict] | None:
+    """A user's rule: every heading of a page is a person of the page's host."""
+    host = url.split("/")[2] if url.count("/") > 1 else ""
+    return [{"name": h.strip(), "title": "Heading", "category": host} for h in re.findall(r"<h1>([^<]*)</h1>", html)] or None
+
+
+@query
+def user_rule(spark, sf_dir):
+    """A Python rule registered by name, over all pages."""
+    extraction.register_rule(extraction.PythonRule("heading_lines", heading_lines))
+    try:
+        rules = [extraction.RULES["heading_lines"]]
+        people = extraction.extract_people(s.table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules)
+    finally:
+        del extraction.RULES["heading_lines"]
+    return people.select("page_id", F.col("ord").cast("bigint").alias("ord"), "rule", "name", "title", "category")

@@ -425,6 +425,15 @@ ORACLE: dict[str, str] = {
         WHEN a.title <> b.title OR a.categories <> b.categories THEN 'updated' END AS kind FROM b FULL JOIN a ON b.site_id = a.site_id AND b.user_id = a.user_id AND b.place = a.place)
       SELECT CAST(site_id AS VARCHAR) AS site_id, {DAY.format("f")} AS from_date, {DAY.format("t")} AS to_date, count(*) FILTER (kind = 'added') AS added_count,
         count(*) FILTER (kind = 'removed') AS removed_count, count(*) FILTER (kind = 'updated') AS updated_count FROM met WHERE kind IS NOT NULL GROUP BY ALL""",
+    "page_layouts": """WITH c AS (SELECT c_custkey AS k, c_custkey // 20 AS page_id, c_custkey // 20 % 8 AS kind, translate(lpad(CAST(c_custkey AS VARCHAR), 7, '0'), '0123456789', 'abcdefghij') AS w,
+        upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title, 'c' || c_custkey || '@site.test' AS email, '555-010-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone FROM customer WHERE c_custkey % 7 <> 0)
+      SELECT page_id, ['headed', 'table_roles', 'table_roles', 'microdata', 'data_rows', 'free_text', 'grouped', 'late'][kind + 1] AS rule, 'Ann ' || upper(w[1]) || w[2:] AS name,
+        CASE WHEN kind = 5 THEN lower(title) ELSE title END AS title, email, CASE WHEN kind IN (0, 1, 2, 4, 5) THEN phone END AS phone,
+        CASE kind WHEN 0 THEN 'Office ' || page_id % 3 WHEN 4 THEN 'Dept ' || k % 3 WHEN 6 THEN 'Group ' || (k - k % 5) % 4 WHEN 7 THEN 'Unit ' || page_id % 5 ELSE 'Staff Directory' END AS category,
+        CASE WHEN kind IN (1, 2) THEN 'https://site.test/p/' || k END AS profile_url FROM c""",
+    "user_rule": """WITH h AS (SELECT page_id, string_split(url, '/') AS u, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS found FROM pages WHERE html IS NOT NULL)
+      SELECT page_id, i AS ord, 'heading_lines' AS rule, trim(found[i + 1]) AS name, 'Heading' AS title, CASE WHEN len(u) > 2 THEN u[3] ELSE '' END AS category
+      FROM h, unnest(range(len(found))) t(i) WHERE trim(found[i + 1]) <> ''""",
     "ingest_members": f"""WITH {LINKS} SELECT md5(regexp_extract(p.url, '^([^:]+://[^/?#]+)', 1)) AS site_id, name, profile_url, md5(lower(name)) AS fingerprint
       FROM people JOIN pages p USING (page_id) WHERE name <> ''""",
     "ingest_snapshots": f"""WITH {LINKS}, o AS (SELECT page_id, html, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base FROM pages),

@@ -202,3 +202,57 @@ def page_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 4 == 0, F.concat(F.lit("School "), key % 8)).otherwise("").alias("school_name"), "url",
         (key % 6 != 5).alias("is_active"),
     )
+
+
+PAGE_KINDS = ["headed", "shuffled", "headless", "microdata", "data_rows", "running", "grouped", "rendered"]
+
+
+def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staff pages of eight layouts, twenty customers a page; every seventh place is vacant."""
+    key = F.col("c_custkey")
+    word = F.initcap(F.translate(F.lpad(key.cast("string"), 7, "0"), "0123456789", "abcdefghij"))
+    people = table(spark, sf_dir, "customer").select(
+        F.floor(key / 20).alias("page_id"), key.alias("k"), F.when(key % 7 == 0, "- Vacant -").otherwise(F.concat(F.lit("Ann "), word)).alias("name"),
+        F.initcap("c_mktsegment").alias("title"), F.concat(F.lit("c"), key, F.lit("@site.test")).alias("email"),
+        F.concat(F.lit("555-010-"), F.lpad((key % 10000).cast("string"), 4, "0")).alias("phone"),
+    )
+    kind = F.element_at(F.array(*[F.lit(x) for x in PAGE_KINDS]), (F.col("page_id") % len(PAGE_KINDS) + 1).cast("int"))
+
+    def tag(name: str, *inner: Column | str, **attrs: Column | str) -> Column:
+        given = [x for a, v in attrs.items() for x in (F.lit(f' {a.replace("_", "-")}="'), v if isinstance(v, Column) else F.lit(v), F.lit('"'))]
+        return F.concat(F.lit(f"<{name}"), *given, F.lit(">"), *[F.lit(x) if isinstance(x, str) else x for x in inner], F.lit(f"</{name}>"))
+
+    name, title, email, phone = (F.col(c) for c in ("name", "title", "email", "phone"))
+    mail, call = tag("a", "write", href=F.concat(F.lit("mailto:"), email, F.lit("?subject=hi"))), tag("a", "call", href=F.concat(F.lit("tel:"), phone))
+    plain = tag("tr", tag("td", name), tag("td", title), tag("td", mail), tag("td", call))
+    turned = F.array(tag("td", phone), tag("td", tag("a", name, href=F.concat(F.lit("/p/"), F.col("k")))), tag("td", email), tag("td", title))
+    turn = (F.col("page_id") % 4).cast("int")
+    permuted = tag("tr", F.array_join(F.concat(F.slice(turned, turn + 1, 4 - turn), F.slice(turned, F.lit(1), turn)), ""))
+    lines = {
+        "headed": plain, "shuffled": permuted, "headless": permuted, "rendered": plain,
+        "microdata": tag("div", tag("b", name, itemprop="name"), tag("i", title, itemprop="jobTitle"), tag("a", "write", itemprop="email", href=F.concat(F.lit("mailto:"), email)), itemtype="https://schema.org/Person"),
+        "data_rows": tag("tr", tag("td", name), tag("td", phone), data_name=name, data_position=title, data_dept=F.concat(F.lit("Dept "), F.col("k") % 3), data_email=email),
+        "running": tag("p", F.concat_ws(", ", name, F.lower(title), phone, email)),
+        "grouped": F.concat(F.when(F.col("k") % 5 == 0, tag("tr", tag("td", F.lit("Group "), (F.col("k") % 4).cast("string"), colspan="4"), **{"class": "head"})).otherwise(""), tag("tr", tag("td", name), tag("td", title), tag("td", email))),
+    }
+    line = F.lit(None).cast("string")
+    for which, html in lines.items():
+        line = F.when(F.col("kind") == which, html).otherwise(line)
+    rows = people.withColumn("kind", kind).withColumn("line", line)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "")
+    pages = rows.groupBy("page_id", "kind").agg(body.alias("body"))
+    head_cells = F.array(*[F.lit(f"<th>{x}</th>") for x in ("Phone", "Full Name", "Email", "Position")])
+    head = F.concat(F.lit("<tr>"), F.array_join(F.concat(F.slice(head_cells, turn + 1, 4 - turn), F.slice(head_cells, F.lit(1), turn)), ""), F.lit("</tr>"))
+    whole = (
+        F.when(F.col("kind") == "headed", F.concat(F.lit("<h2>Office "), F.col("page_id") % 3, F.lit("</h2><table>"), "body", F.lit("</table>")))
+        .when(F.col("kind") == "shuffled", F.concat(F.lit('<table class="table">'), head, "body", F.lit("</table>")))
+        .when(F.col("kind").isin("headless", "data_rows"), F.concat(F.lit("<table>"), "body", F.lit("</table>")))
+        .when(F.col("kind") == "grouped", F.concat(F.lit('<table class="staff">'), "body", F.lit("</table>")))
+        .when(F.col("kind") == "rendered", F.concat(F.lit('<h1 class="unit">Unit '), F.col("page_id") % 5, F.lit('</h1><table class="late">'), "body", F.lit("</table>")))
+        .otherwise(F.col("body"))
+    )
+    late = F.col("kind") == "rendered"
+    return pages.select(
+        "page_id", F.concat(F.lit("https://site.test/"), "page_id", F.lit("/staff")).alias("url"), F.when(late, "<p>Loading</p>").otherwise(whole).alias("html"),
+        F.when(late, whole).alias("rendered_html"),
+    )

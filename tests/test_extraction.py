@@ -1,10 +1,14 @@
 """One synthetic page per layout family."""
 
 import datetime as dt
+import random
+from itertools import product
 
 import pytest
+from pyspark.sql import functions as F
 
 from rosterlens.operators import extraction as x
+from rosterlens.operators import table_roles
 from rosterlens.plans.ingest import ingest
 from rosterlens.schemas import DIRECTORIES, PAGES, PROFILES, SITES, empty
 
@@ -91,3 +95,39 @@ def test_ingest(spark, pages):
     }
     assert [r.latest_snapshot_id is not None for r in result.sites.collect()] == [True]
     assert {(r.success, r.failure_type) for r in result.outcomes.collect()} == {(True, None), (False, "no_data")}
+
+
+def test_columns_get_their_roles(spark):
+    """Headers decide first, contents next; a column has one role; tables without names are no people."""
+    head = "<tr><th>Room</th><th>Phone</th><th>Position</th><th>E-Mail</th><th>Full Name</th></tr>"
+    line = "<tr><td>Ann Arbor</td><td>555-010-0001</td><td>Head Coach</td><td>ann@ex.test</td><td><a href='/p/1'>Ann Example</a></td></tr>"
+    bare = "<tr><td>x1</td><td>ben@ex.test</td><td>Ben Sample</td><td>Dean</td></tr><tr><td></td><td>--</td><td>Cy Person</td><td>Dean</td></tr>"
+    none = "<table><tr><td>1</td><td>2</td></tr></table><table><tr><td>Only Names</td></tr></table>"
+    rows = [(1, "https://ex.test/a", f"<table>{head}{line}{line}</table>"), (2, "https://ex.test/b", f"<table>{bare}</table>{none}"), (3, "https://ex.test/c", none)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {tuple(r) for r in x.extract_people(pages, [table_roles.TableRoles()]).select("page_id", "name", "title", "email", "phone", "profile_url").collect()}
+    assert got == {
+        (1, "Ann Example", "Head Coach", "ann@ex.test", "555-010-0001", "https://ex.test/p/1"),
+        (2, "Ben Sample", "Dean", "ben@ex.test", None, None), (2, "Cy Person", "Dean", None, None, None),
+    }
+
+
+def test_assignment_is_the_best_one_to_one(spark, monkeypatch):
+    rng = random.Random(4)
+    values = {t: [[rng.choice([0, 0, 1, 2, 3, 4]) for _ in range(4)] for _ in range(rng.randint(1, 6))] for t in range(60)}
+    rows = [(1, t, c, *scores) for t, columns in values.items() for c, scores in enumerate(columns)]
+    cells = spark.createDataFrame(rows, "page_id long, table_ord int, cell int, s0 int, s1 int, s2 int, s3 int")
+    monkeypatch.setattr(table_roles, "_scores", lambda: {role: F.max(f"s{i}").cast("double") for i, role in enumerate(table_roles.ROLES)})
+    want = {}
+    for t, columns in values.items():
+        picks = [p for p in product(range(-1, len(columns)), repeat=4) if len({c for c in p if c >= 0}) == sum(c >= 0 for c in p) and all(c < 0 or columns[c][i] > 0 for i, c in enumerate(p))]
+        best = min(picks, key=lambda p: (-sum(columns[c][i] for i, c in enumerate(p) if c >= 0), p))
+        if best[0] >= 0 and max(best[1:]) >= 0:
+            want[t] = sum(columns[c][i] for i, c in enumerate(best) if c >= 0)
+    got = {r.table_ord: [r[role] for role in table_roles.ROLES] for r in table_roles.column_roles(cells).collect()}
+    for t, picks in got.items():
+        assert len({c for c in picks if c >= 0}) == sum(c >= 0 for c in picks)
+        assert sum(values[t][c][i] for i, c in enumerate(picks) if c >= 0) == max(
+            sum(values[t][c][i] for i, c in enumerate(p) if c >= 0) for p in product(range(-1, len(values[t])), repeat=4) if len({c for c in p if c >= 0}) == sum(c >= 0 for c in p)
+        )
+    assert set(want) <= set(got)
