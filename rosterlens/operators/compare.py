@@ -105,7 +105,7 @@ def _plain_entries(people: DataFrame, kind: str) -> DataFrame:
     return people.select(
         *PAIR, F.lit(kind).alias("kind"), "ord", "fingerprint",
         collapse(F.coalesce("name", F.lit(""))).alias("name"), collapse(F.coalesce("title", F.lit(""))).alias("title"),
-        "categories", "emails", "phones", "profile_url",
+        "categories", "emails", "phones", "profile_url", "raw",
     )
 
 
@@ -141,6 +141,7 @@ def compare_fuzzy(members: DataFrame, pairs: DataFrame | None = None, threshold:
         collapse(name).alias("name"), F.lit(None).cast("string").alias("title"), F.col("a_categories").alias("categories"),
         F.coalesce("a_emails", "b_emails").alias("emails"), F.coalesce("a_phones", "b_phones").alias("phones"),
         F.coalesce(blank_to_null(F.col("a_profile_url")), F.col("b_profile_url")).alias("profile_url"), "diffs",
+        F.coalesce("a_raw", "b_raw").alias("raw"),
     )
     gone = left_b.join(by_name.withColumnRenamed("b", "ord"), [*PAIR, "ord"], "left_anti")
     new = left_a.join(by_name.withColumnRenamed("a", "ord"), [*PAIR, "ord"], "left_anti")
@@ -165,7 +166,7 @@ def compare_by_fingerprint(members: DataFrame) -> DataFrame:
     )
     people = person_rows(members).join(numbered, SNAPSHOT)
     life = Window.partitionBy("site_id", "fingerprint").orderBy("_no")
-    row = F.struct(*[F.col(c) for c in PERSON if c not in ("fingerprint", "raw")])
+    row = F.struct(*[F.col(c) for c in PERSON if c != "fingerprint"])
     seen = people.select(
         *SNAPSHOT, "fingerprint", "_no", "_prev", "_next", row.alias("now"), F.lag(row).over(life).alias("past"),
         (F.lag("_no").over(life) == F.col("_no") - 1).alias("_was_there"),
@@ -176,7 +177,7 @@ def compare_by_fingerprint(members: DataFrame) -> DataFrame:
     both = seen.where(was_there).select("*", *sides).withColumn("diffs", fingerprint_diffs()).where(F.size("diffs") > 0)
 
     def entries(rows: DataFrame, kind: str, start: str, end: str) -> DataFrame:
-        fields = [c for c in PERSON if c not in ("fingerprint", "raw", "description")]
+        fields = [c for c in PERSON if c not in ("fingerprint", "description")]
         diffs = F.col("diffs") if kind == "updated" else F.lit(None).cast(both.schema["diffs"].dataType).alias("diffs")
         return rows.select(
             "site_id", F.col(start).alias("from_date"), F.col(end).alias("to_date"), F.lit(kind).alias("kind"),

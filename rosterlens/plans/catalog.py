@@ -878,3 +878,50 @@ def user_rule(spark, sf_dir):
     finally:
         del extraction.RULES["heading_lines"]
     return people.select("page_id", F.col("ord").cast("bigint").alias("ord"), "rule", "name", "title", "category")
+
+
+@query
+def registry_files(spark, sf_dir):
+    """Registry rows from JSON arrays, several files, and from a six-column sheet, in one table."""
+    key, root = F.col("c_custkey"), f"{app_folder(spark)}/registry-{uuid.uuid4().hex}"
+    host = F.concat(F.lit("https://www.c"), key, F.lit(".test"))
+    rows = s.table(spark, sf_dir, "customer").select(
+        key.alias("k"), host.alias("baseUrl"), F.concat(host, F.lit("/staff")).alias("staffDirectory"), F.when(key % 3 == 0, key.cast("string")).alias("ipeds"),
+        F.when(key % 5 == 0, " ").otherwise(F.concat(F.lit("School "), key)).alias("schoolName"), F.lit("golf").alias("sportsCode"),
+    )
+    objects = F.to_json(F.struct("baseUrl", "staffDirectory", "ipeds", "schoolName"))
+    files = rows.where("k % 2 = 0").groupBy((F.col("k") / 2 % 4).cast("int").alias("part"))
+    files.agg(F.concat(F.lit("["), F.array_join(F.collect_list(objects), ",\n"), F.lit("]")).alias("value")).write.partitionBy("part").text(f"{root}/json")
+    sheet = rows.where("k % 2 = 1").select("ipeds", "schoolName", F.lit("").alias("athletics"), F.col("baseUrl").alias("college"), "sportsCode", "staffDirectory")
+    sheet.write.option("header", True).csv(f"{root}/sheet")
+    both = registry.read_registry_json(spark, f"{root}/json/*").unionByName(registry.read_registry_sheet(spark, f"{root}/sheet"), allowMissingColumns=True)
+    return both.select("base_url", "staff_directory", "ipeds", "school_name", "sports_code")
+
+
+@query
+def unnested_members(spark, sf_dir):
+    """Nested snapshot documents, one a day and site, unwound to members."""
+    sections = nesting.nest(s.members(spark, sf_dir)).withColumn("c", F.struct(F.col("category").alias("name"), "count", "members"))
+    placed = F.array_sort(F.collect_list(F.struct("cat_ord", "section", "c")), lambda a, b: F.signum((a["cat_ord"] - b["cat_ord"]) * 1000 + a["section"] - b["section"]).cast("int"))
+    documents = sections.groupBy(*nesting.SNAPSHOT).agg(F.transform(placed, lambda x: x["c"]).alias("categories"))
+    return nesting.unnest(documents).select("site_id", day(), "ord", "fingerprint", "title", "category")
+
+
+@query
+def export_changes_range(spark, sf_dir):
+    """The changes of one site in a range of time."""
+    rows = export.export_changes(
+        s.entries(spark, sf_dir), s.change_log(spark, sf_dir), s.sites(spark, sf_dir), s.registry(spark, sf_dir),
+        from_ts=dt.datetime(1995, 3, 1), to_ts=dt.datetime(1997, 6, 30), site_id="7",
+    )
+    return rows.select("change_type", day("change_date"), "unique_id", "email", "phone", "change_details")
+
+
+@query
+def school_changes(spark, sf_dir):
+    """One school's changes, written as JSON and read back."""
+    rows = export.school_changes(s.entries(spark, sf_dir), s.change_log(spark, sf_dir), s.sites(spark, sf_dir), s.registry(spark, sf_dir), school="school 1")
+    path = f"{app_folder(spark)}/school-{uuid.uuid4().hex}"
+    export.write_export(rows, path, "json")
+    back = spark.read.schema(rows.schema).json(path)
+    return back.select("change_type", day("change_date"), "school", "unique_id", "first_name", "last_name", "position", "email", "change_details")

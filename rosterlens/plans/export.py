@@ -6,11 +6,12 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rosterlens.functions.names import (
     change_position, first_name, full_export_position, last_name, school_export_position, school_from_url, slug,
 )
-from rosterlens.functions.text import blank_to_null, show_list
+from rosterlens.functions.text import blank_to_null, first_of, show_list
 from rosterlens.operators.identity import primary
 from rosterlens.operators.registry import by_base_url
 from rosterlens.operators.skew import detach
@@ -109,6 +110,22 @@ def entry_rows(entries: DataFrame, change_log: DataFrame, from_ts=None, to_ts=No
     return entries.drop("site_id", "from_date", "to_date").join(logs, "change_id")
 
 
+def contact(rows: DataFrame, field: str) -> Column:
+    """``email`` or ``phone`` of an entry: the first listed one, else the open ``raw`` object's single value, else the first of its list.
+
+    ``raw`` is a VARIANT, or a map of texts in which a list stands as JSON; a missing column or value
+    is passed over. Empty text when nothing is left.
+    """
+    listed, raw = f"{field}s", F.col("raw")
+    found = [first_of(F.col(listed))]
+    kind = rows.schema["raw"].dataType if "raw" in rows.columns else None
+    if isinstance(kind, T.VariantType):
+        found += [F.try_variant_get(raw, path, "string") for path in (f"$.{field}", f"$.{listed}[0]")]
+    elif isinstance(kind, T.MapType):
+        found += [F.try_element_at(raw, F.lit(field)), first_of(F.from_json(F.try_element_at(raw, F.lit(listed)), "array<string>"))]
+    return F.coalesce(found[0], *[blank_to_null(c) for c in found[1:]], F.lit(""))
+
+
 def export_changes(
     entries: DataFrame, change_log: DataFrame, sites: DataFrame, registry: DataFrame, from_ts=None, to_ts=None,
     site_id: str | None = None,
@@ -121,7 +138,7 @@ def export_changes(
         F.coalesce("fingerprint", F.lit("")).alias("unique_id"), show_list(F.col("categories")).alias("sport_code"),
         first_name(F.col("full_name")).alias("first_name"), last_name(F.col("full_name")).alias("last_name"),
         change_position(F.col("title"), F.col("full_name"), F.when(F.col("kind") == "updated", F.col("change_type"))).alias("position"),
-        primary("emails").alias("email"), primary("phones").alias("phone"), change_details().alias("change_details"),
+        contact(coded, "email").alias("email"), contact(coded, "phone").alias("phone"), change_details().alias("change_details"),
         period().alias("snapshot_period"), "full_name",
     )
 

@@ -295,11 +295,23 @@ ORACLE: dict[str, str] = {
           WHEN title IS NOT NULL AND NOT {NAME_LIKE.format("title", "name")} THEN title ELSE '' END AS position,
         email, phone, {DAY.format("seen")} AS last_updated, lower(regexp_replace(school, '[^A-Za-z0-9]', '-', 'g')) AS school_slug
       FROM profiles JOIN schools USING (site_id)""",
+    "export_changes_range": f"""WITH {SITES}, {LOGS}, {_entries(" → ")}, x AS (SELECT code AS change_type, {DAY.format("to_date")} AS change_date, ipeds, school, fingerprint AS unique_id,
+        sport_code, {FIRST_NAME.format("name")} AS first_name, {LAST_NAME.format("name")} AS last_name,
+        CASE WHEN kind = 'updated' AND contains(code, 'j') THEN coalesce(nullif(title, ''), '(Position removed/cleared)') WHEN coalesce(title, '') = '' THEN ''
+          WHEN title = 'coach' AND name <> '' THEN '' WHEN title = name THEN '' ELSE title END AS position,
+        CASE WHEN email <> '' THEN email WHEN l_partkey % 3 = 0 THEN 'raw' || l_partkey || '@site.test' WHEN l_partkey % 3 = 1 THEN 'list' || l_partkey || '@site.test' ELSE '' END AS email,
+        CASE WHEN phone <> '' THEN phone WHEN l_partkey % 3 = 0 THEN '556-' || l_partkey WHEN l_partkey % 3 = 1 THEN '557-' || l_partkey ELSE '' END AS phone, CASE kind WHEN 'added' THEN 'Added to ' || coalesce(nullif(sport_code, ''), 'default') || ' category'
+          WHEN 'removed' THEN 'Removed from ' || coalesce(nullif(sport_code, ''), 'default') || ' category'
+          ELSE coalesce(nullif(array_to_string(diff_texts, '; '), ''), 'Details not available') END AS change_details,
+        CASE WHEN from_date IS NULL THEN 'N/A' ELSE {US_DAY.format("from_date")} || ' → ' || {US_DAY.format("to_date")} END AS snapshot_period, name AS full_name
+      FROM entries JOIN logs USING (change_id) JOIN schools USING (site_id) WHERE site_id = '7' AND to_date >= DATE '1995-03-01' AND to_date < DATE '1997-06-30')
+      SELECT change_type, change_date, unique_id, email, phone, change_details FROM x""",
     "export_changes": f"""WITH {SITES}, {LOGS}, {_entries(" → ")} SELECT code AS change_type, {DAY.format("to_date")} AS change_date, ipeds, school, fingerprint AS unique_id,
         sport_code, {FIRST_NAME.format("name")} AS first_name, {LAST_NAME.format("name")} AS last_name,
         CASE WHEN kind = 'updated' AND contains(code, 'j') THEN coalesce(nullif(title, ''), '(Position removed/cleared)') WHEN coalesce(title, '') = '' THEN ''
           WHEN title = 'coach' AND name <> '' THEN '' WHEN title = name THEN '' ELSE title END AS position,
-        email, phone, CASE kind WHEN 'added' THEN 'Added to ' || coalesce(nullif(sport_code, ''), 'default') || ' category'
+        CASE WHEN email <> '' THEN email WHEN l_partkey % 3 = 0 THEN 'raw' || l_partkey || '@site.test' WHEN l_partkey % 3 = 1 THEN 'list' || l_partkey || '@site.test' ELSE '' END AS email,
+        CASE WHEN phone <> '' THEN phone WHEN l_partkey % 3 = 0 THEN '556-' || l_partkey WHEN l_partkey % 3 = 1 THEN '557-' || l_partkey ELSE '' END AS phone, CASE kind WHEN 'added' THEN 'Added to ' || coalesce(nullif(sport_code, ''), 'default') || ' category'
           WHEN 'removed' THEN 'Removed from ' || coalesce(nullif(sport_code, ''), 'default') || ' category'
           ELSE coalesce(nullif(array_to_string(diff_texts, '; '), ''), 'Details not available') END AS change_details,
         CASE WHEN from_date IS NULL THEN 'N/A' ELSE {US_DAY.format("from_date")} || ' → ' || {US_DAY.format("to_date")} END AS snapshot_period, name AS full_name
@@ -434,6 +446,17 @@ ORACLE: dict[str, str] = {
     "user_rule": """WITH h AS (SELECT page_id, string_split(url, '/') AS u, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS found FROM pages WHERE html IS NOT NULL)
       SELECT page_id, i AS ord, 'heading_lines' AS rule, trim(found[i + 1]) AS name, 'Heading' AS title, CASE WHEN len(u) > 2 THEN u[3] ELSE '' END AS category
       FROM h, unnest(range(len(found))) t(i) WHERE trim(found[i + 1]) <> ''""",
+    "registry_files": """WITH c AS (SELECT c_custkey AS k, 'https://www.c' || c_custkey || '.test' AS base_url, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS ipeds,
+        CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE 'School ' || c_custkey END AS school FROM customer)
+      SELECT base_url, base_url || '/staff' AS staff_directory, CASE WHEN k % 2 = 0 THEN ipeds ELSE coalesce(ipeds, '') END AS ipeds, school AS school_name,
+        CASE WHEN k % 2 = 1 THEN 'golf' END AS sports_code FROM c WHERE k % 2 = 0 OR k % 5 <> 0""",
+    "unnested_members": f"""WITH {MEMBERS}, c AS (SELECT *, min(ord) OVER (PARTITION BY site_id, snapshot_date, category) AS cat_ord FROM members)
+      SELECT site_id, {DAY.format("snapshot_date")} AS snapshot_date, row_number() OVER (PARTITION BY site_id, snapshot_date ORDER BY cat_ord, ord) - 1 AS ord, fingerprint, title, category FROM c""",
+    "school_changes": f"""WITH {SITES}, {LOGS}, {_entries(" → ")}, one AS (SELECT * FROM registry WHERE contains(lower(school_name), 'school 1') ORDER BY staff_directory LIMIT 1),
+      r AS (SELECT *, coalesce(nullif(name, ''), nullif(title, ''), '') AS full_name FROM entries JOIN logs USING (change_id) JOIN one USING (site_id))
+      SELECT CASE kind WHEN 'added' THEN 'n' WHEN 'removed' THEN 'r' ELSE 'j' END AS change_type, {DAY.format("to_date")} AS change_date, school_name AS school, fingerprint AS unique_id,
+        {FIRST_NAME.format("full_name")} AS first_name, {LAST_NAME.format("full_name")} AS last_name, coalesce(title, '') AS position, email,
+        CASE kind WHEN 'added' THEN 'Added to category' WHEN 'removed' THEN 'Removed from category' ELSE coalesce(nullif(array_to_string(diff_texts, '; '), ''), 'Updated') END AS change_details FROM r""",
     "ingest_members": f"""WITH {LINKS} SELECT md5(regexp_extract(p.url, '^([^:]+://[^/?#]+)', 1)) AS site_id, name, profile_url, md5(lower(name)) AS fingerprint
       FROM people JOIN pages p USING (page_id) WHERE name <> ''""",
     "ingest_snapshots": f"""WITH {LINKS}, o AS (SELECT page_id, html, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base FROM pages),

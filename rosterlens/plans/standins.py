@@ -110,6 +110,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         _when_texts(F.col("l_tax") > 0.04, F.concat(F.lit("p"), part, F.lit("@site.test"))).alias("emails"),
         _when_texts(F.col("l_discount") > 0.05, F.concat(F.lit("555-"), part)).alias("phones"),
         F.lit(None).cast("string").alias("profile_url"), F.when(kind == "updated", diffs).alias("diffs"),
+        # what only the open object knows: a single value, a list, or neither
+        F.parse_json(
+            F.when(part % 3 == 0, F.format_string('{"email": "raw%d@site.test", "phones": ["556-%d", "x"]}', part, part))
+            .when(part % 3 == 1, F.format_string('{"email": "", "emails": ["list%d@site.test"], "phone": "557-%d"}', part, part)).otherwise("{}")
+        ).alias("raw"),
     )
 
 

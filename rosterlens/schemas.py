@@ -42,7 +42,7 @@ PROFILES = _struct(
 DIFF = _struct(field=S, before=TEXTS, after=TEXTS)
 ENTRIES = _struct(
     change_id=S, site_id=S, from_date=TS, to_date=TS, kind=S, ord=L, fingerprint=S, name=S, title=S,
-    categories=TEXTS, emails=TEXTS, phones=TEXTS, profile_url=S, diffs=T.ArrayType(DIFF),
+    categories=TEXTS, emails=TEXTS, phones=TEXTS, profile_url=S, diffs=T.ArrayType(DIFF), raw=TEXT_MAP,
 )
 CHANGE_LOG = _struct(
     change_id=S, site_id=S, from_date=TS, to_date=TS, created_at=TS, added_count=L, removed_count=L, updated_count=L
