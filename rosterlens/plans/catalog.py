@@ -785,12 +785,14 @@ def social_links(spark, sf_dir):
 
 @query
 def written_exports(spark, sf_dir):
-    """The school's export written as CSV, JSON and Parquet and read back: rows of each file type."""
-    rows = s.sites(spark, sf_dir).select("site_id", "base_url")
+    """The schools' export written as CSV, JSON and Parquet and read back: rows of each file type."""
+    rows = export_school(spark, sf_dir)
     root = f"{app_folder(spark)}/exports-{uuid.uuid4().hex}"
+    back = []
     for fmt in ("csv", "json", "parquet"):
         export.write_export(rows, f"{root}/{fmt}", fmt)
-    back = [spark.read.option("header", fmt == "csv").format(fmt).load(f"{root}/{fmt}").select(F.lit(fmt).alias("file_type"), "site_id", "base_url") for fmt in ("csv", "json", "parquet")]
+        read = spark.read.schema(rows.schema).option("header", fmt == "csv").option("escape", "\"").option("nullValue", "\u0001").format(fmt).load(f"{root}/{fmt}")
+        back.append(read.withColumn("file_type", F.lit(fmt)))
     return back[0].unionByName(back[1]).unionByName(back[2])
 
 

@@ -163,11 +163,9 @@ def export_summary(entries: DataFrame, change_log: DataFrame, sites: DataFrame)
 
     The total counts the rows of the export, which leaves out logs of unknown sites.
     """
-    per_log = entries.groupBy("change_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "updated")], F.count("*").alias("n"))
-    exported = change_log.join(sites.select("site_id"), "site_id", "left_semi").select("change_id", F.lit(True).alias("exported"))
-    kinds = per_log.join(exported, "change_id", "left").agg(
-        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("added", "removed", "updated")],
-        F.coalesce(F.sum(F.when(F.col("exported"), F.col("n"))), F.lit(0)).alias("total"),
+    exported = change_log.join(sites.select("site_id"), "site_id", "left_semi").select("change_id", F.lit(1).alias("exported"))
+    kinds = entries.select("change_id", "kind").join(exported, "change_id", "left").agg(
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "updated")], F.count("exported").alias("total")
     )
     logs = change_log.agg(F.count("*").alias("logs"))
     both = kinds.unionByName(logs, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("logs", "added", "removed", "updated", "total")])

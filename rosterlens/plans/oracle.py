@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
-from rosterlens.functions.contacts import CHALLENGE_PHRASES
-from rosterlens.functions.names import HOST_ENDINGS, LINKING_WORDS, POSITION_WORDS
+# Fixed values, written out here so that a wrong list in the library shows.
+CHALLENGE_PHRASES = [
+    "cloudflare", "cf-ray", "__cfuid", "ddos-guard", "security check", "please stand by",
+    "verifying you are human", "checking your browser", "jschl_vc", "jschl_answer", "captcha-bypass",
+    "ray id", "just a moment",
+]
+HOST_ENDINGS = ["edu", "com", "org", "net", "gov", "us", "uk"]
+LINKING_WORDS = ["of", "for", "and", "&", "in", "to"]
+POSITION_WORDS = [
+    "coach", "head", "assistant", "director", "manager", "coordinator", "trainer", "analyst", "specialist",
+    "consultant", "officer", "administrator", "advisor", "counselor", "professor", "instructor", "teacher",
+    "staff", "associate", "senior", "junior", "volunteer", "intern", "graduate", "fellow", "resident",
+]
 
 MEMBERS = """
 members AS (
@@ -526,7 +537,12 @@ ORACLE |= {
       FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""",
     "social_links": """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new/' ELSE 'old/' END || s_suppkey AS x, CASE WHEN s_suppkey % 2 = 0 THEN 'y/' || s_suppkey END AS y,
         1 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END AS n FROM supplier""",
-    "written_exports": f"WITH {SITES} SELECT f AS file_type, site_id, base_url FROM sites, (VALUES ('csv'), ('json'), ('parquet')) t(f)",
+    "written_exports": f"""WITH {SITES}, {PROFILES} SELECT f AS file_type, ipeds, school, fingerprint AS unique_id, category AS sport_code, {FIRST_NAME.format("name")} AS first_name,
+        {LAST_NAME.format("name")} AS last_name,
+        CASE WHEN raw_title IS NOT NULL AND NOT {NAME_LIKE.format("raw_title", "name")} THEN raw_title
+          WHEN title IS NOT NULL AND NOT {NAME_LIKE.format("title", "name")} THEN title ELSE '' END AS position,
+        email, phone, {DAY.format("seen")} AS last_updated, lower(regexp_replace(school, '[^A-Za-z0-9]', '-', 'g')) AS school_slug
+      FROM profiles JOIN schools USING (site_id), (VALUES ('csv'), ('json'), ('parquet')) t(f)""",
     "latest_export": f"""SELECT 'changes-' || o_orderkey AS filename, {DAY.format("o_orderdate")} AS generated_at FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0
       ORDER BY o_orderdate DESC, 'changes-' || o_orderkey LIMIT 1""",
 }

@@ -150,3 +150,15 @@ def test_smallest_cover(spark):
         if around:
             want[k, o] = min(around)
     assert got == want
+
+
+def test_contacts_fall_back_to_the_open_object(spark):
+    """Listed values first, then raw's single value, then its list; raw as a map of texts or as a VARIANT."""
+    rows = [(["a@x"], '{"email": "no@x"}'), ([], '{"email": "one@x", "emails": ["no@x"]}'), ([], '{"email": "", "emails": ["two@x", "no@x"]}'), (None, None), ([], "{}")]
+    df = spark.createDataFrame(rows, "emails array<string>, j string")
+    variant = df.withColumn("raw", F.parse_json("j"))
+    texts = df.withColumn("raw", F.from_json("j", "map<string,string>"))
+    want = ["a@x", "one@x", "two@x", "", ""]
+    for table in (variant, texts):
+        assert [r[0] for r in table.select(export.contact(table, "email")).collect()] == want
+    assert [r[0] for r in df.select(export.contact(df, "email")).collect()] == ["a@x", "", "", "", ""]
