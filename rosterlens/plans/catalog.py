@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from rosterlens import schemas
 from rosterlens.functions import contacts, names, text, urls
-from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, table_roles, upkeep
-from rosterlens.plans import changes, dashboard, export, search
+from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, table_roles, topk, upkeep
+from rosterlens.plans import changes, dashboard, export, paging, search
 from rosterlens.plans import standins as s
 from rosterlens.plans.ingest import ingest
 from rosterlens.session import app_folder, stage
@@ -927,3 +927,22 @@ def school_changes(spark, sf_dir):
     export.write_export(rows, path, "json")
     back = spark.read.schema(rows.schema).json(path)
     return back.select("change_type", day("change_date"), "school", "unique_id", "first_name", "last_name", "position", "email", "change_details")
+
+
+# Large results
+
+
+@query
+def search_deep_page(spark, sf_dir):
+    """The page in the middle of all people, five a page, from its own ranges."""
+    people = search.people_of(search.sightings(s.members(spark, sf_dir), s.sites(spark, sf_dir), category="i", category_scope="member"))
+    result = paging.paged(people.select("fingerprint", "name", "latest_seen"), [F.desc("latest_seen"), F.col("fingerprint")], limit=5, ranges=16)
+    return result.page(result.pages // 2).select("position", "fingerprint", "name", day("latest_seen"))
+
+
+@query
+def suggestions_many(spark, sf_dir):
+    """Ten most frequent values among very many: parts of order lines whose number holds a 7."""
+    part = F.col("l_partkey").cast("string")
+    values = s.table(spark, sf_dir, "lineitem").where(F.contains(part, F.lit("7"))).select(F.concat(F.lit("Part "), part).alias("value"))
+    return topk.top_values(values, 10)

@@ -468,6 +468,10 @@ ORACLE: dict[str, str] = {
       SELECT CASE kind WHEN 'added' THEN 'n' WHEN 'removed' THEN 'r' ELSE 'j' END AS change_type, {DAY.format("to_date")} AS change_date, school_name AS school, fingerprint AS unique_id,
         {FIRST_NAME.format("full_name")} AS first_name, {LAST_NAME.format("full_name")} AS last_name, coalesce(title, '') AS position, email,
         CASE kind WHEN 'added' THEN 'Added to category' WHEN 'removed' THEN 'Removed from category' ELSE coalesce(nullif(array_to_string(diff_texts, '; '), ''), 'Updated') END AS change_details FROM r""",
+    "search_deep_page": f"""WITH {MEMBERS}, p AS (SELECT fingerprint, arg_max(name, snapshot_date) AS name, max(snapshot_date) AS seen FROM members WHERE contains(category, 'i') GROUP BY 1),
+      o AS (SELECT *, row_number() OVER (ORDER BY seen DESC, fingerprint) - 1 AS position, (count(*) OVER () + 4) // 5 // 2 AS page FROM p)
+      SELECT position, fingerprint, name, {DAY.format("seen")} AS latest_seen FROM o WHERE position >= (page - 1) * 5 AND position < page * 5""",
+    "suggestions_many": """SELECT 'Part ' || l_partkey AS value, count(*) AS count FROM lineitem WHERE contains(CAST(l_partkey AS VARCHAR), '7') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
     "ingest_members": f"""WITH {LINKS} SELECT md5(regexp_extract(p.url, '^([^:]+://[^/?#]+)', 1)) AS site_id, name, profile_url, md5(lower(name)) AS fingerprint
       FROM people JOIN pages p USING (page_id) WHERE name <> ''""",
     "ingest_snapshots": f"""WITH {LINKS}, o AS (SELECT page_id, html, regexp_extract(url, '^([^:]+://[^/?#]+)', 1) AS base FROM pages),
