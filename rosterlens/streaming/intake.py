@@ -119,10 +119,14 @@ class Intake:
         def of(table: DataFrame, some: DataFrame) -> DataFrame:
             return table.join(some, "site_id", "left_semi")
 
-        history = without_ties(of(fresh, anew).unionByName(of(self.arrivals(numbers), anew)).dropDuplicates(["row_id"]))
-        rebuilt = stage(to_members(resolve_history(history.drop("row_id"))), "rebuilt")
+        n_anew, n_onward = sites.agg(F.count_if("anew"), F.count_if(~F.col("anew"))).first()
+        rebuilt = new = schemas.empty(self.spark, schemas.MEMBERS)
         known = of(self.profiles(numbers), onward)
-        new = stage(to_members(resolve_identity(without_ties(of(fresh, onward)).drop("row_id"), known)), "identified")
+        if n_anew:
+            history = without_ties(of(fresh, anew).unionByName(of(self.arrivals(numbers), anew)).dropDuplicates(["row_id"]))
+            rebuilt = stage(to_members(resolve_history(history.drop("row_id"))), "rebuilt")
+        if n_onward:
+            new = stage(to_members(resolve_identity(without_ties(of(fresh, onward)).drop("row_id"), known)), "identified")
         profiles = profiles_from(rebuilt).unionByName(upsert_profiles(known, new))
         members = rebuilt.unionByName(new.select(*rebuilt.columns))
         everyone = of(self.members(numbers), onward).select(*rebuilt.columns).unionByName(members)
