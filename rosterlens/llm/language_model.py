@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,7 @@ ENDING = 3
 FREQUENT = 100_000
 ROUNDS = (0.02, 0.01, 0.005)
 SLICE = 4096
+FAN_IN = 64
 LN10 = float(np.log(10))
 
 
@@ -96,11 +98,13 @@ def _least_count(counts: DataFrame) -> int:
 def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     """Tables of fixed size from the counts: at most ``FREQUENT`` words and ``ENDINGS`` endings come to the driver."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= _least_count(counts)).select(F.col("word").cast("binary").alias("word"), "c").collect()]
-    top.sort(key=lambda r: (-r[1], r[0]))
+    named = counts.select(F.col("word").cast("binary").alias("word"), "c")
+    first = named.orderBy(F.desc("c"), "word").limit(N_HEAD - 1).collect()  # head words there are, also where too many words have one count for a table of them
+    frequent = named.where(F.col("c") >= _least_count(counts)).collect()
+    top = sorted({(bytes(r["word"]), r["c"]) for r in [*first, *frequent]}, key=lambda r: (-r[1], r[0]))
     spark = counts.sparkSession
     head = spark.createDataFrame([(bytearray(w),) for w, _ in top[: N_HEAD - 1]], "head binary")
-    rest = counts.select(F.col("word").cast("binary").alias("word"), "c").join(F.broadcast(head), F.col("word") == F.col("head"), "left_anti")  # fewer than N_HEAD rows
+    rest = named.join(F.broadcast(head), F.col("word") == F.col("head"), "left_anti")  # fewer than N_HEAD rows
     by_ending = rest.groupBy(F.substring("word", -ENDING, ENDING).alias("ending")).agg(F.sum("c").alias("c"), F.count("*").alias("n"))
     by_ending = stage(by_ending, "endings")
     common = by_ending.orderBy(F.desc("c"), "ending").limit(ENDINGS).collect()
@@ -108,8 +112,8 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     tokens, kinds = np.zeros(ENDINGS + HASHED, np.int64), np.zeros(ENDINGS + HASHED, np.int64)
     for k, r in enumerate(common):
         tokens[k], kinds[k] = r["c"], r["n"]
-    named = spark.createDataFrame([(bytearray(e),) for e in endings] or [(bytearray(b"\0"),)], "named binary")
-    others = by_ending.join(F.broadcast(named), F.col("ending") == F.col("named"), "left_anti")  # ENDINGS rows
+    taken = spark.createDataFrame([(bytearray(e),) for e in endings] or [(bytearray(b"\0"),)], "taken binary")
+    others = by_ending.join(F.broadcast(taken), F.col("ending") == F.col("taken"), "left_anti")  # ENDINGS rows
     for r in others.groupBy((F.crc32("ending") % HASHED).alias("k")).agg(F.sum("c").alias("c"), F.sum("n").alias("n")).collect():
         tokens[ENDINGS + r["k"]], kinds[ENDINGS + r["k"]] = r["c"], r["n"]
     return Vocabulary(
@@ -191,16 +195,33 @@ def _training_rounds(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
                     own = recurrent.train_on(shape, own, stream, rate)
                     weight += len(stream) - 1
             if weight:
-                yield pd.DataFrame({"k": np.arange(len(own), dtype=np.int32), "x": own.astype(np.float64) * weight, "w": float(weight)})
+                yield pd.DataFrame({"k": [TaskContext.get().partitionId()], "x": [(own.astype(np.float64) * weight).tobytes()], "w": [float(weight)]})
 
-        moved = part.mapInPandas(train, "k int, x double, w double")
-        mean = moved.groupBy("k").agg((F.sum("x") / F.sum("w")).alias("x")).toPandas()
-        if len(mean):
-            flat = np.zeros(shape.length, np.float32)
-            flat[mean.k.to_numpy()] = mean.x.to_numpy()
+        flat = _weighted_mean(part.mapInPandas(train, SUMS), flat)
     return flat
 
 
+SUMS = "k int, x binary, w double"
+
+
+def _added(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row for all of them, added in the order of ``k``."""
+    frame = frame.sort_values("k")
+    total = np.sum([np.frombuffer(x) for x in frame.x], axis=0)
+    return pd.DataFrame({"k": [int(frame.k.iloc[0]) // FAN_IN], "x": [total.tobytes()], "w": [frame.w.sum()]})
+
+
+def _weighted_mean(sums: DataFrame, otherwise: np.ndarray) -> np.ndarray:
+    """Sum of ``x`` over sum of ``w``, as a tree: each task adds at most ``FAN_IN`` arrays, one level after the other.
+
+    The driver gets one array for each ``FAN_IN`` ** 2 partitions. ``otherwise`` where there are no rows.
+    """
+    for _ in range(2):
+        sums = sums.groupBy(F.floor(F.col("k") / FAN_IN).alias("group")).applyInPandas(_added, SUMS)
+    got = sums.toPandas()
+    return (np.frombuffer(_added(got).x[0]) / got.w.sum()).astype(np.float32) if len(got) else otherwise
+
+
 SCORES = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()),
     T.StructField("others", T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())]))),

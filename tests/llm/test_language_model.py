@@ -16,6 +16,10 @@ def small():
     return shape, flat + rng.normal(0, 0.05, len(flat)), rng
 
 
+def log_softmax(x):
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+
 def naive(shape, flat, tokens):
     """ln P of one text, token by token."""
     p, h, last, total, s = shape.views(flat), np.zeros(recurrent.STATE), recurrent.END, 0.0, recurrent.STATE
@@ -25,9 +29,9 @@ def naive(shape, flat, tokens):
         n = np.tanh(x[2 * s :] + r * a[2 * s :])
         h = n + z * (h - n)
         c = int(shape.class_of(np.array([token]))[0])
-        total += recurrent._log_softmax((h @ p["wc"] + p["bc"])[None])[0, c]
+        total += log_softmax((h @ p["wc"] + p["bc"])[None])[0, c]
         if token < shape.n_head:
-            total += recurrent._log_softmax((h @ p["ww"][c] + p["bw"][c])[None])[0, token % recurrent.HEAD_CLASS]
+            total += log_softmax((h @ p["ww"][c] + p["bw"][c])[None])[0, token % recurrent.HEAD_CLASS]
         last = token
     return total
 
@@ -57,13 +61,13 @@ def test_gradients_equal_differences():
                 n = np.tanh(i[2 * s :] + r * a[2 * s :])
                 h = n + z * (h - n)
                 c = int(shape.class_of(y[t, lane : lane + 1])[0])
-                total -= recurrent._log_softmax((h @ p["wc"] + p["bc"])[None])[0, c]
+                total -= log_softmax((h @ p["wc"] + p["bc"])[None])[0, c]
                 if y[t, lane] < shape.n_head:
-                    total -= recurrent._log_softmax((h @ p["ww"][c] + p["bw"][c])[None])[0, y[t, lane] % recurrent.HEAD_CLASS]
+                    total -= log_softmax((h @ p["ww"][c] + p["bw"][c])[None])[0, y[t, lane] % recurrent.HEAD_CLASS]
         return total / 18
 
     grad = np.zeros_like(flat)
-    recurrent._window(shape, shape.views(flat), shape.views(grad), np.zeros((3, recurrent.STATE)), x, y)
+    recurrent._window(shape, shape.views(flat), shape.views(grad), np.zeros((recurrent.STATE, 3)), x, y)
     for at in shape.views(np.arange(len(flat))).values():
         at = at.reshape(-1)
         for k in (at[np.argmax(np.abs(grad[at]))], *rng.choice(at, 3)):
@@ -147,3 +151,21 @@ def test_no_token_is_left_out_of_the_lanes(monkeypatch):
     stream = np.arange(4 * 20 * 7 + 6)
     recurrent.train_on(recurrent.Shape(32, 4), np.zeros(recurrent.Shape(32, 4).length, np.float32), stream, 0.01)
     assert set(seen) == set(range(1, len(stream)))
+
+
+def test_parameters_are_averaged_in_a_tree(spark):
+    rng = np.random.default_rng(3)
+    arrays, weights = rng.normal(0, 1, (200, 5)), rng.integers(1, 9, 200).astype(float)
+    rows = [(k, bytearray((a * w).tobytes()), float(w)) for k, (a, w) in enumerate(zip(arrays, weights))]
+    got = language_model._weighted_mean(spark.createDataFrame(rows, language_model.SUMS).repartition(7), np.zeros(5, np.float32))
+    assert np.allclose(got, np.average(arrays, axis=0, weights=weights), atol=1e-6)
+    none = language_model._weighted_mean(spark.createDataFrame([], language_model.SUMS), np.ones(5, np.float32))
+    assert none.tolist() == [1] * 5
+
+
+def test_head_words_where_one_count_is_too_frequent_for_a_table(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FREQUENT", 100)
+    counts = spark.range(3000).selectExpr("concat('w', lpad(id, 4, '0')) as word", "id as h", "7L as c")
+    v = language_model.vocabulary(counts, 5)
+    assert v.n_words == language_model.N_HEAD - 1 and list(v.frequent)[:2] == [b"w0000", b"w0001"]
+    assert v.class_words.sum() == 3000 - v.n_words and v.distinct == 3001
