@@ -16,7 +16,6 @@ STATE = 24
 INPUT = 16
 HEAD_CLASS = 32
 END = 0
-LOG2E = np.float32(np.log2(np.e))
 
 
 @dataclass(frozen=True)
@@ -74,15 +73,6 @@ def initial(shape: Shape, counts: np.ndarray, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp2(x * LOG2E).sum(axis=1, keepdims=True))
-
-
 def _by_group(groups: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(group, positions) of every group that occurs."""
     order = np.argsort(groups, kind="stable")
@@ -96,13 +86,14 @@ class Scorer:
     def __init__(self, shape: Shape, flat: np.ndarray, window: int = 16, batch: int = 512, rows: int = 512) -> None:
         self.shape, self.p, self.window, self.batch, self.rows = shape, shape.views(flat), window, batch, rows
         self.logits = np.empty((rows, len(self.p["bc"])), np.float32)
-        self.ones = np.ones(len(self.p["bc"]), np.float32)
+        self.ones, self.within_ones = np.ones(len(self.p["bc"]), np.float32), np.ones(HEAD_CLASS, np.float32)
         inputs, wh, gates = self.p["embed"] @ self.p["wx"] + self.p["b"], self.p["wh"], 2 * STATE
         # gates and candidates in arrays of their own: whole rows are faster than slices of rows
         self.to_gates, self.to_new = inputs[:, :gates].copy(), inputs[:, gates:].copy()
         self.wh_gates, self.wh_new = wh[:, :gates].copy(), wh[:, gates:].copy()
-        # numpy has a much faster exponential to base 2 than to base e, so the outputs are scaled to bits
-        self.wc, self.bc, self.ww, self.bw = (self.p[k] * LOG2E for k in ("wc", "bc", "ww", "bw"))
+        self.wc, self.bc, self.ww, self.bw = (self.p[k] for k in ("wc", "bc", "ww", "bw"))
+        self.to_gates *= -1  # a logistic curve is 1 / (1 + exp(-x))
+        self.wh_gates *= -1
 
     def _outputs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """ln P(target | state) of flat arrays, in parts that stay in the processor's cache."""
@@ -114,15 +105,15 @@ class Scorer:
             logits = np.matmul(part, self.wc, out=self.logits[: len(part)])
             logits += self.bc  # of moderate size: no shift is needed for the exponentials
             out[low : low + len(part)] = logits[np.arange(len(part)), classes[low : low + len(part)]]
-            out[low : low + len(part)] -= np.log2(np.exp2(logits, out=logits) @ self.ones)
+            out[low : low + len(part)] -= np.log(np.exp(logits, out=logits) @ self.ones)
         head = np.flatnonzero(targets < shape.n_head)
         for k, part in _by_group(targets[head] // HEAD_CLASS):
             at = head[part]
             within = states[at] @ self.ww[k]
             within += self.bw[k]
             out[at] += within[np.arange(len(at)), targets[at] % HEAD_CLASS]
-            out[at] -= np.log2(np.exp2(within, out=within).sum(axis=1))
-        return out / LOG2E
+            out[at] -= np.log(np.exp(within, out=within) @ self.within_ones)
+        return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """ln P of each sequence of token numbers, each of which ends with ``END``."""
@@ -148,18 +139,16 @@ class Scorer:
             inputs = np.concatenate([last[None, :live], np.maximum(targets[:-1], 0)])
             last = np.maximum(targets[-1], 0)
             h = h[:live].copy()
-            to_gates, to_new = self.to_gates[inputs], self.to_new[inputs]
             states = np.empty((width, live, STATE), np.float32)
             for t in range(width):
-                zr = to_gates[t]
+                zr = self.to_gates[inputs[t]]
                 zr += h @ self.wh_gates
-                zr *= 0.5
-                np.tanh(zr, out=zr)
+                np.exp(zr, out=zr)
                 zr += 1
-                zr *= 0.5
+                np.reciprocal(zr, out=zr)
                 n = h @ self.wh_new
                 n *= zr[:, STATE:]
-                n += to_new[t]
+                n += self.to_new[inputs[t]]
                 np.tanh(n, out=n)
                 h = np.subtract(h, n, out=states[t])
                 h *= zr[:, :STATE]
@@ -184,71 +173,148 @@ def train_on(shape: Shape, flat: np.ndarray, stream: np.ndarray, rate: float, wi
         return flat
     starts = [min(k * length, len(stream) - 1 - length) for k in range(lanes)]
     lane = np.stack([stream[k : k + length + 1] for k in starts], axis=1)  # (length + 1, lanes)
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
-    h = np.zeros((lanes, STATE), np.float32)
+    m, v, change, root = (np.zeros_like(flat) for _ in range(4))
+    h = np.zeros((STATE, lanes), np.float32)
     step = 0
     for low in range(0, length, window):
         x_ids, targets = lane[low : min(low + window, length)], lane[low + 1 : min(low + window, length) + 1]
+        grad[:] = 0
         h = _window(shape, p, g, h, x_ids, targets)
-        norm = float(np.sqrt((grad * grad).sum()))
+        norm = float(np.sqrt(grad @ grad))
         if norm > 1.0:
             grad /= norm
         step += 1
-        m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        grad[:] = 0
+        # m += 0.1 (grad - m), v += 0.01 (grad^2 - v), flat -= rate * m' / (sqrt(v') + 1e-6), without arrays made on the way
+        np.subtract(grad, m, out=change)
+        change *= 0.1
+        m += change
+        np.multiply(grad, grad, out=change)
+        change -= v
+        change *= 0.01
+        v += change
+        seen = (1 - 0.99**step) ** 0.5
+        np.sqrt(v, out=root)
+        root += 1e-6 * seen
+        np.divide(m, root, out=change)
+        change *= rate * seen / (1 - 0.9**step)
+        flat -= change
     return flat
 
 
+def _rows(x: np.ndarray) -> np.ndarray:
+    """(steps, n, lanes) as (steps * lanes, n)."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
+
+
+def _softmax_error(x: np.ndarray, targets: np.ndarray, n: int) -> np.ndarray:
+    """Logits to their gradients of the mean loss over ``n`` rows, in place. Logits are of moderate size, as states are in -1 to 1: no shift is needed."""
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.full(x.shape[1], n, x.dtype)))[:, None]
+    x[np.arange(len(x)), targets] -= 1 / n
+    return x
+
+
 def _window(shape: Shape, p: dict, g: dict, h: np.ndarray, x_ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """One window forward and back: adds the gradients of the mean loss to ``g``, returns the last state."""
+    """One window forward and back: sets the gradients of the mean loss in ``g``, which must be 0, returns the last state.
+
+    States are (``STATE``, lanes), so that the gates of all lanes are blocks of one product.
+    """
     steps, lanes = x_ids.shape
-    s = STATE
-    x = (p["embed"] @ p["wx"] + p["b"])[x_ids] if steps * lanes > len(p["embed"]) else p["embed"][x_ids] @ p["wx"] + p["b"]
-    goes_on = (x_ids != END)[:, :, None].astype(np.float32)
-    before, zs, rs, ns, gn, states = (np.empty((steps, lanes, s), np.float32) for _ in range(6))
+    s, gates = STATE, 2 * STATE
+    ids = x_ids.reshape(-1)
+    embedded = p["embed"][ids]
+    x = np.ascontiguousarray((embedded @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * s).transpose(0, 2, 1))
+    from_state = np.ascontiguousarray(p["wh"].T)
+    from_state[:gates] *= -1  # a logistic curve is 1 / (1 + exp(-x))
+    x[:, :gates] *= -1
+    goes_on = (x_ids != END).astype(np.float32)
+    ends = (x_ids == END).any(axis=1).tolist()
+    a, zr = np.empty((steps, 3 * s, lanes), np.float32), np.empty((steps, gates, lanes), np.float32)
+    ns, states = np.empty((steps, s, lanes), np.float32), np.empty((steps, s, lanes), np.float32)
+    before = np.empty((steps, s, lanes), np.float32)
+    before[0] = h
     for t in range(steps):
-        h = h * goes_on[t]
-        before[t] = h
-        a = h @ p["wh"]
-        zr = _sigmoid(x[t, :, : 2 * s] + a[:, : 2 * s])
-        zs[t], rs[t], gn[t] = zr[:, :s], zr[:, s:], a[:, 2 * s :]
-        ns[t] = np.tanh(x[t, :, 2 * s :] + rs[t] * gn[t])
-        h = ns[t] + zs[t] * (h - ns[t])
-        states[t] = h
-    flat_states, flat_targets = states.reshape(-1, s), targets.reshape(-1)
-    n = len(flat_targets)
-    error = np.exp2(_log_softmax(flat_states @ p["wc"] + p["bc"]) * LOG2E)
-    error[np.arange(n), shape.class_of(flat_targets)] -= 1
-    error /= n
-    g["wc"] += flat_states.T @ error
-    g["bc"] += error.sum(axis=0)
-    d_states = error @ p["wc"].T
-    head = np.flatnonzero(flat_targets < shape.n_head)
-    for k, part in _by_group(flat_targets[head] // HEAD_CLASS):
-        at = head[part]
-        within = np.exp2(_log_softmax(flat_states[at] @ p["ww"][k] + p["bw"][k]) * LOG2E)
-        within[np.arange(len(at)), flat_targets[at] % HEAD_CLASS] -= 1
-        within /= n
-        g["ww"][k] += flat_states[at].T @ within
-        g["bw"][k] += within.sum(axis=0)
-        d_states[at] += within @ p["ww"][k].T
-    d_states = d_states.reshape(steps, lanes, s)
-    dx, da = np.empty((steps, lanes, 3 * s), np.float32), np.empty((steps, lanes, 3 * s), np.float32)
-    carry = np.zeros((lanes, s), np.float32)
+        if ends[t]:
+            h = h * goes_on[t]
+        at = np.matmul(from_state, h, out=a[t])
+        gate = np.add(at[:gates], x[t, :gates], out=zr[t])
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        n = np.multiply(gate[s:], at[gates:], out=ns[t])
+        n += x[t, gates:]
+        np.tanh(n, out=n)
+        h = np.subtract(h, n, out=states[t])
+        h *= gate[:s]
+        h += n
+    before[1:] = states[:-1]
+    before *= goes_on[:, None, :]
+    flat_states, flat_targets = _rows(states), targets.reshape(-1)
+    d_states = _output_gradients(shape, p, g, flat_states, flat_targets)
+    d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, s).transpose(0, 2, 1))
+    # what every step's gradient is multiplied by, for all steps at once
+    z, r = zr[:, :s], zr[:, s:]
+    to_n = 1 - z
+    to_z = before - ns
+    to_z *= z
+    to_z *= to_n
+    to_n *= 1 - ns * ns
+    to_r = 1 - r
+    to_r *= r
+    to_r *= a[:, gates:]
+    da, dn = np.empty((steps, 3 * s, lanes), np.float32), np.empty((steps, s, lanes), np.float32)
+    carry = np.zeros((s, lanes), np.float32)
     for t in range(steps - 1, -1, -1):
-        d = d_states[t] + carry
-        dn = d * (1 - zs[t]) * (1 - ns[t] ** 2)
-        dx[t, :, :s] = d * (before[t] - ns[t]) * zs[t] * (1 - zs[t])
-        dx[t, :, s : 2 * s] = dn * gn[t] * rs[t] * (1 - rs[t])
-        dx[t, :, 2 * s :] = dn
-        da[t, :, : 2 * s] = dx[t, :, : 2 * s]
-        da[t, :, 2 * s :] = dn * rs[t]
-        carry = (d * zs[t] + da[t] @ p["wh"].T) * goes_on[t]
-    flat_dx = dx.reshape(-1, 3 * s)
-    g["wh"] += before.reshape(-1, s).T @ da.reshape(-1, 3 * s)
-    g["wx"] += p["embed"][x_ids.reshape(-1)].T @ flat_dx
-    g["b"] += flat_dx.sum(axis=0)
-    np.add.at(g["embed"], x_ids.reshape(-1), flat_dx @ p["wx"].T)
+        d, at = d_states[t], da[t]
+        d += carry
+        np.multiply(d, to_z[t], out=at[:s])
+        n = np.multiply(d, to_n[t], out=dn[t])
+        np.multiply(n, to_r[t], out=at[s:gates])
+        np.multiply(n, r[t], out=at[gates:])
+        d *= z[t]
+        carry = np.matmul(p["wh"], at, out=carry)
+        carry += d
+        if ends[t]:
+            carry *= goes_on[t]
+    flat_dx = _rows(da)
+    np.matmul(_rows(before).T, flat_dx, out=g["wh"])
+    flat_dx[:, gates:] = _rows(dn)
+    np.matmul(embedded.T, flat_dx, out=g["wx"])
+    np.matmul(np.ones(len(flat_dx), np.float32), flat_dx, out=g["b"])
+    order = np.argsort(ids, kind="stable")
+    found = ids[order]
+    first = np.flatnonzero(np.diff(found, prepend=-1))
+    g["embed"][found[first]] = np.add.reduceat((flat_dx @ p["wx"].T)[order], first, axis=0)
     return h
+
+
+def _output_gradients(shape: Shape, p: dict, g: dict, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Sets the gradients of both softmaxes' parameters; returns those of the states."""
+    n = len(targets)
+    error = states @ p["wc"]
+    error += p["bc"]
+    _softmax_error(error, shape.class_of(targets), n)
+    np.matmul(states.T, error, out=g["wc"])
+    np.matmul(np.ones(n, error.dtype), error, out=g["bc"])
+    d_states = error @ p["wc"].T
+    head = np.flatnonzero(targets < shape.n_head)
+    if not len(head):
+        return d_states
+    head = head[np.argsort(targets[head], kind="stable")]
+    words = targets[head]
+    groups = words // HEAD_CLASS
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
+    kinds = groups[starts]
+    parts = list(zip(kinds.tolist(), starts.tolist(), [*starts[1:].tolist(), len(head)]))
+    own, back, within = states[head], np.empty((len(head), STATE), np.float32), np.empty((len(head), HEAD_CLASS), np.float32)
+    ww, gw = p["ww"], g["ww"]
+    for k, low, high in parts:
+        np.matmul(own[low:high], ww[k], out=within[low:high])
+    within += p["bw"][groups]
+    _softmax_error(within, words % HEAD_CLASS, n)
+    g["bw"][kinds] = np.add.reduceat(within, starts, axis=0)
+    for k, low, high in parts:
+        np.matmul(own[low:high].T, within[low:high], out=gw[k])
+        np.matmul(within[low:high], ww[k].T, out=back[low:high])
+    d_states[head] += back
+    return d_states
