@@ -99,6 +99,43 @@ def test_languages_are_learnt(spark):
     assert nothing is None and language.with_language(docs.drop("found").limit(1), nothing).first().found.language == "und"
 
 
+def test_what_was_not_learnt_is_rejected(spark):
+    rows = language_corpus(600)
+    docs = spark.createDataFrame([(k, t, lang, 0.1, "x") for k, t, lang in rows], NO_DOCS)
+    model = language.train(docs.where("doc_id % 4 <> 2"))
+    rng = random.Random(4)
+    shuffled = ["".join(rng.sample(t, len(t))) for k, t, _ in rows if k % 4 == 2 and len(t) > 150]
+    other = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Wszyscy ludzie rodzą się wolni i równi pod względem", "x" * 500, "x " * 500]
+    clean = [t for k, t, _ in rows if k % 4 == 2]
+    mixed = [" ".join(rng.sample(clean[k].split() + clean[k + 1].split(), len(clean[k].split()))) for k in range(0, 60, 2)]
+    rejects = lambda text: (lambda got: model.rejects(float(got[0].max()), got[1]))(model.judge(text))
+    assert all(map(rejects, shuffled + other)) and len(shuffled) > 50
+    assert sum(map(rejects, clean)) == 0
+    assert sum(model.judge(t)[1] < model.usual.least for t in mixed) == 0
+    assert sum(model.judge(t * 40)[1] < model.usual.least for t in clean) == 0  # repeats are not stranger than the text
+
+
+def test_usual_equals_ngram_by_ngram():
+    model = language.fit(*map(list, zip(*[language.counts_of(t) for _, t, _ in language_corpus(80)])), np.arange(80) % 3, ("a", "b", "c"))
+    text = "Bake, loMi  12 çao-ñe schu"
+    parts = np.concatenate(list(language.buckets_of(text))).tolist()
+    p = [sum(float(model.scores[b, k]) for b in parts) / len(parts) + model.bias[k] for k in range(3)]
+    e = np.exp(np.array(p) - max(p))
+    mean = sum(float(model.usual.of_bucket[b]) for b in parts) / len(parts)
+    error = (model.usual.within ** 2 / len(set(parts)) + model.usual.between ** 2) ** 0.5
+    got = model.judge(text)
+    assert np.allclose(got[0], e / e.sum(), atol=1e-5) and np.isclose(got[1], (mean - model.usual.mean) / error, rtol=1e-4)
+
+
+def test_the_sample_is_bounded_and_has_rare_languages(spark):
+    rows = [(None, f"text {k}", "aa") for k in range(4000)] + [(7, "same", "aa")] * 3000 + [(k, f"rare {k}", "bb") for k in range(12)] + [(None, None, "cc"), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.sampled(docs, sample=300, per_language=10).collect()
+    sizes = {lang: sum(r.lang == lang for r in got) for lang in ("aa", "bb", "cc")}
+    assert 150 <= sizes["aa"] <= 300 and sizes["bb"] == 10 and sizes["cc"] == 0 and sum(r.text == "same" for r in got) <= 1
+    assert sorted(r.text for r in got) == sorted(r.text for r in language.sampled(docs.repartition(9), sample=300, per_language=10).collect())
+
+
 def test_pieces_of_long_texts_add_up(monkeypatch):
     text = "Bake, loMi  12 çao-ñe " * 50
     whole = np.sort(np.concatenate(list(language.buckets_of(text))))
