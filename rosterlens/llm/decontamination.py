@@ -5,7 +5,7 @@ Test items are short and documents long, so the Jaccard similarity of the two sa
 would miss them. Containment is searched from the item's side instead:
 
 * items are partitioned by size (powers of two of their distinct shingles);
-* an item is sketched by its MinHash sample: the ``s`` smallest hashes of its shingles. The sketch
+* an item is sketched by its MinHash sample: the ``s`` smallest hashes of its shingles, those shared by fewest items first. The sketch
   size belongs to the partition. A document that contains the share ``t`` of ``q`` shingles
   misses at most ``q - ceil(t q)`` of them, so with ``s`` above that number at least
   ``s - (q - ceil(t q))`` sketch hashes are among the document's: no contained item is missed;
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.llm.text import let
+from rosterlens.operators.skew import detach
 from rosterlens.session import stage
 
 SHINGLE = 5
@@ -56,14 +57,22 @@ def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
 
 
 def item_sketches(items: DataFrame, width: int = SHINGLE, contained: float = CONTAINED, spare: int = SPARE_HASHES) -> DataFrame:
-    """(item, hash, needed, hits): the sketch hashes of every item, its least number of shingles in a document, and of sketch hashes."""
-    hashed = items.select("item", F.array_distinct(shingle_hashes(F.col("item_text"), width)).alias("hashes")).where("hashes is not null")
-    sized = hashed.withColumn("q", F.size("hashes")).withColumn("needed", F.ceil(F.col("q") * contained - 1e-9).cast("int"))
+    """(item, hash, needed, hits): the sketch hashes of every item, its least number of shingles in a document, and of sketch hashes.
+
+    A document with ``needed`` of an item's ``q`` shingles holds all but ``q - needed`` of any sketch of it. So the sketch takes the
+    smallest hashes among the shingles that fewest items share: a passage that many items have in common
+    (a template of questions) would else bring every document that holds it together with every one of these items.
+    """
+    hashed = items.select("item", F.array_distinct(shingle_hashes(F.col("item_text"), width)).alias("hashes")).where("hashes is not null").distinct()
+    single = stage(hashed.select("item", F.explode("hashes").alias("hash")), "item-shingles")
+    shared = single.groupBy("hash").agg(F.count("*").alias("items"))
+    ranked = single.join(detach(shared), "hash").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("items", "hash")))["hash"].alias("hashes"))
+    sized = ranked.withColumn("q", F.size("hashes")).withColumn("needed", F.ceil(F.col("q") * contained - 1e-9).cast("int"))
     # the partition of the size decides the sketch: enough for its largest item, and some to spare
     upper = F.pow(F.lit(2.0), F.ceil(F.log2("q"))).cast("int")
     sketch = F.least("q", (upper - F.ceil(upper * contained - 1e-9) + 1 + spare).cast("int"))
     sketched = sized.withColumn("s", sketch).withColumn("hits", F.greatest(F.lit(1), F.col("s") - (F.col("q") - F.col("needed"))))
-    return sketched.select("item", "needed", "hits", F.explode(F.slice(F.array_sort("hashes"), F.lit(1), F.col("s"))).alias("hash"))
+    return sketched.select("item", "needed", "hits", F.explode(F.slice("hashes", F.lit(1), F.col("s"))).alias("hash"))
 
 
 def candidates(docs: DataFrame, sketches: DataFrame, width: int = SHINGLE) -> DataFrame:

@@ -3,6 +3,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from rosterlens.llm import decontamination, mixing
 
 
@@ -114,3 +116,19 @@ def test_contained_items_equal_brute_force(spark, words):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, clean))
     assert decontamination.decontaminate(left, right.limit(0)).count() == len(docs)
     assert decontamination.contained_items(left.limit(0), right).count() == 0
+
+
+def test_a_passage_of_all_items_is_in_no_sketch(spark):
+    rng = random.Random(12)
+    template = "please choose the best answer to the question below and explain it"
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(60)]
+    items = spark.createDataFrame([(k, f"{template} {text}") for k, text in enumerate(own)], "item_id long, text string")
+    named = items.select(F.col("item_id").alias("item"), F.col("text").alias("item_text"))
+    sketched = decontamination.item_sketches(named.union(named.limit(5)))
+    common = spark.createDataFrame([(template,)], "t string").select(F.explode(decontamination.shingle_hashes(F.col("t"))).alias("hash"))
+    assert sketched.join(common, "hash").count() == 0
+    assert sketched.groupBy("item", "hash").count().where("count > 1").count() == 0
+    docs = [(k, f"noise before {template} and noise after") for k in range(50)] + [(100 + k, f"a b {template} {own[k]} c d") for k in range(3)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    pairs = decontamination.contained_items(docs, items).select("doc_id", "item_id").collect()
+    assert sorted((r.doc_id, r.item_id) for r in pairs) == [(100, 0), (101, 1), (102, 2)]
