@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rosterlens import schemas
 from rosterlens.functions import contacts, names, text, urls
-from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, table_roles, topk, upkeep
+from rosterlens.operators import compare, extraction, flatten, identity, nesting, ordered, registry, similar, snapshots, sql_rules, table_roles, topk, upkeep
 from rosterlens.plans import changes, dashboard, export, paging, search
 from rosterlens.plans import standins as s
 from rosterlens.plans.ingest import ingest
@@ -882,6 +882,23 @@ def user_rule(spark, sf_dir):
     return people.select("page_id", F.col("ord").cast("bigint").alias("ord"), "rule", "name", "title", "category")
 
 
+def heading_facts(html: str, url: str) -> list[dict]:
+    """The headings again, with a field that no schema knows."""
+    return [{**person, "letters": len(person["name"])} for person in heading_lines(html, url) or []]
+
+
+@query
+def sql_rule(spark, sf_dir):
+    """A rule called from SQL as a table function, with its extra field."""
+    sql_rules.register_table_rule(spark, extraction.PythonRule("heading_facts", heading_facts))
+    return spark.sql(
+        """SELECT page_id, CAST(ord AS BIGINT) AS ord, rule, name, category AS host, CAST(extras['letters'] AS BIGINT) AS letters,
+                  COUNT(*) OVER (PARTITION BY page_id) AS on_page
+           FROM heading_facts(TABLE(SELECT * FROM {pages}), extras => true)""",
+        pages=s.table(spark, sf_dir, "pages"),
+    )
+
+
 @query
 def registry_files(spark, sf_dir):
     """Registry rows from JSON arrays, several files, and from a six-column sheet, in one table."""

@@ -457,6 +457,10 @@ ORACLE: dict[str, str] = {
     "user_rule": """WITH h AS (SELECT page_id, string_split(url, '/') AS u, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS found FROM pages WHERE html IS NOT NULL)
       SELECT page_id, i AS ord, 'heading_lines' AS rule, trim(found[i + 1]) AS name, 'Heading' AS title, CASE WHEN len(u) > 2 THEN u[3] ELSE '' END AS category
       FROM h, unnest(range(len(found))) t(i) WHERE trim(found[i + 1]) <> ''""",
+    "sql_rule": """WITH h AS (SELECT page_id, string_split(url, '/') AS u, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS found FROM pages WHERE html IS NOT NULL)
+      SELECT page_id, i AS ord, 'heading_facts' AS rule, trim(found[i + 1]) AS name, CASE WHEN len(u) > 2 THEN u[3] ELSE '' END AS host,
+        CAST(length(trim(found[i + 1])) AS BIGINT) AS letters, count(*) OVER (PARTITION BY page_id) AS on_page
+      FROM h, unnest(range(len(found))) t(i) WHERE trim(found[i + 1]) <> ''""",
     "registry_files": """WITH c AS (SELECT c_custkey AS k, 'https://www.c' || c_custkey || '.test' AS base_url, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) END AS ipeds,
         CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE 'School ' || c_custkey END AS school FROM customer)
       SELECT base_url, base_url || '/staff' AS staff_directory, CASE WHEN k % 2 = 0 THEN ipeds ELSE coalesce(ipeds, '') END AS ipeds, school AS school_name,
