@@ -121,3 +121,11 @@ def test_one_of_each_group_stays(spark, words):
     assert {r.doc_id for r in got} == {min((k for k, t in rows if prints[t] in g and k is not None)) for g in groups}
     none = spark.createDataFrame([], docs.schema)
     assert simhash.keep_first(none).count() == 0 and simhash.near_duplicates(none).count() == 0
+
+
+def test_fingerprints_of_texts_over_several_blocks(words):
+    rng = random.Random(6)
+    few = words(50)
+    for n in (simhash.BLOCK + 2, simhash.BLOCK + 3, simhash.BLOCK + 4, 2 * simhash.BLOCK + 100):
+        for text in (" ".join(rng.choices(few, k=n)), "again " * n):
+            assert simhash.fingerprint_of(text, 4) % (1 << 64) == naive_fingerprint(text)

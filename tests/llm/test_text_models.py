@@ -189,3 +189,13 @@ def test_the_cache_is_bounded(tokenizer_path, monkeypatch):
 
     text = " ".join(f"word{k} a" for k in range(100))
     assert count([text, "", text]) == [len(Tokenizer.from_file(tokenizer_path).encode(t, add_special_tokens=False).ids) for t in (text, "", text)]
+
+
+def test_repeated_rows_get_equal_languages(spark):
+    docs = spark.createDataFrame([(k, t, lang, 0.1, "x") for k, t, lang in language_corpus(200)], NO_DOCS)
+    model = language.train(docs)
+    rows = docs.limit(20).union(docs.limit(20)).union(spark.createDataFrame([(None, None, "aa", 0.1, "own"), (None, None, "aa", 0.1, "own")], NO_DOCS))
+    kept = [tuple(r) for r in language.keep_identified(rows, model).collect()]
+    assert len(kept) % 2 == 0 and all(kept.count(r) % 2 == 0 for r in kept) and {r[4] for r in kept} == {"x"}
+    named = language.with_language(rows, model, "guess")
+    assert named.columns == [*rows.columns, "guess"] and named.where("found = 'own'").count() == 2
