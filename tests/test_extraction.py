@@ -4,9 +4,11 @@ import datetime as dt
 import random
 from itertools import product
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from rosterlens.sources import elements
 from rosterlens.operators import extraction as x
 from rosterlens.operators import table_roles
 from rosterlens.plans.ingest import ingest
@@ -131,3 +133,15 @@ def test_assignment_is_the_best_one_to_one(spark, monkeypatch):
             sum(values[t][c][i] for i, c in enumerate(p) if c >= 0) for p in product(range(-1, len(values[t])), repeat=4) if len({c for c in p if c >= 0}) == sum(c >= 0 for c in p)
         )
     assert set(want) <= set(got)
+
+
+def test_element_rows_leave_the_tokeniser_in_bounded_blocks(monkeypatch):
+    """Blocks end by their letters as well as by their rows, whatever a page holds."""
+    monkeypatch.setattr(elements, "LETTERS_PER_BATCH", 1000)
+    page = "<ul>" + "".join(f"<li>{'x' * 90}{i}</li>" for i in range(60)) + "</ul>"
+    batch = pa.RecordBatch.from_pylist([{"page_id": 1, "url": "u", "html": page}, {"page_id": None, "url": None, "html": "<a href='/b'>c</a>"}])
+    blocks = list(elements._to_rows(iter([batch])))
+    rows = [r for b in blocks for r in b.to_pylist()]
+    assert [r["ord"] for r in rows] == [*range(61), 0]
+    assert rows[-1] == {"page_id": None, "url": None, "ord": 0, "tag": "a", "id": None, "classes": [], "attrs": [("href", "/b")], "cell": None, "text": "c", "lineage": []}
+    assert all(sum(len(r["text"]) for r in b.to_pylist()[:-1]) < 1000 for b in blocks)
