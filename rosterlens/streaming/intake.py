@@ -103,7 +103,8 @@ class Intake:
 
     def _take(self, batch: DataFrame) -> None:
         # A stream's own session plans without adaptive execution; the work is done in the caller's.
-        arrived = stage(batch.select(*PEOPLE_SCHEMA.names).withColumn("row_id", row_id()), "batch", self.spark).dropDuplicates(["row_id"])
+        # Equal rows have equal columns: a distinct is hashed, where keeping the first row of each id would sort whole rows.
+        arrived = stage(batch.select(*PEOPLE_SCHEMA.names).distinct().withColumn("row_id", row_id()), "batch", self.spark)
         number = bucket_of(F.col("site_id"), self.buckets)
         span = arrived.agg(F.min("snapshot_date"), F.max("snapshot_date"), F.sort_array(F.collect_set(number))).first()
         first, last, numbers = span
@@ -123,7 +124,8 @@ class Intake:
         rebuilt = new = schemas.empty(self.spark, schemas.MEMBERS)
         known = of(self.profiles(numbers), onward)
         if n_anew:
-            history = without_ties(of(fresh, anew).unionByName(of(self.arrivals(numbers), anew)).dropDuplicates(["row_id"]))
+            # A row is fresh or was taken in before, never both, and was distinct when it came.
+            history = without_ties(of(fresh, anew).unionByName(of(self.arrivals(numbers), anew)))
             rebuilt = stage(to_members(resolve_history(history.drop("row_id"))), "rebuilt")
         if n_onward:
             new = stage(to_members(resolve_identity(without_ties(of(fresh, onward)).drop("row_id"), known)), "identified")
