@@ -3,7 +3,7 @@
 Two names are similar when ``1 - distance / longer length`` is above the threshold, so the
 distance is at most ``(1 - threshold) * longer length``: a few edits. If the right name is cut
 into one piece more than that, some piece stands unchanged in the left name, near its old place.
-Joining on (piece number, piece text) finds every similar pair; the score is checked afterwards.
+Joining on (lengths, piece number, piece text) finds every similar pair; the score is checked afterwards.
 
 Names with a common beginning share pieces with everyone. Pieces that would meet too many
 partners are taken out, and the names that touch them are joined on their deletion variants
@@ -47,10 +47,12 @@ def _piece(length: Column, pieces: Column, i: Column) -> tuple[Column, Column]:
 
 
 def _right_pieces(names: DataFrame, group: list[str], threshold: float) -> DataFrame:
-    edits = _edits(_longest_partner(F.col("w_len"), threshold), threshold)
-    cut = names.withColumn("_k", edits).where("_k >= 1 and w_len > _k").withColumn("piece_no", F.explode(F.expr("sequence(0, _k)")))
+    """Pieces for every number of edits: that of shorter and equal partners, and those of longer ones."""
+    least, most = _edits(F.col("w_len"), threshold), _edits(_longest_partner(F.col("w_len"), threshold), threshold)
+    cut = names.where(most >= 1).withColumn("_k", F.explode(F.sequence(F.greatest(least, F.lit(1)), most)))
+    cut = cut.where("w_len > _k").withColumn("piece_no", F.explode(F.expr("sequence(0, _k)")))
     start, size = _piece(F.col("w_len"), F.col("_k") + 1, F.col("piece_no"))
-    return cut.select(*group, "w", "w_len", "piece_no", F.substr("w", start, size).alias("piece"))
+    return cut.select(*group, "w", "w_len", F.col("_k").alias("edits"), "piece_no", F.substr("w", start, size).alias("piece"))
 
 
 def _left_pieces(names: DataFrame, group: list[str], threshold: float) -> DataFrame:
@@ -59,8 +61,9 @@ def _left_pieces(names: DataFrame, group: list[str], threshold: float) -> DataFr
     cut = names.withColumn(
         "w_len", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), _longest_partner(F.col("v_len"), threshold)))
     )
-    edits = _edits(_longest_partner(F.col("w_len"), threshold), threshold)
-    cut = cut.withColumn("_k", edits).where("_k >= 1 and w_len > _k").withColumn("piece_no", F.explode(F.expr("sequence(0, _k)")))
+    # Both lengths are known here, so the edits are those of the longer name of this very pair.
+    cut = cut.withColumn("_k", _edits(F.greatest("v_len", "w_len"), threshold))
+    cut = cut.where("_k >= 1 and w_len > _k and abs(v_len - w_len) <= _k").withColumn("piece_no", F.explode(F.expr("sequence(0, _k)")))
     start, size = _piece(F.col("w_len"), F.col("_k") + 1, F.col("piece_no"))
     cut = cut.withColumn("_start", start).withColumn("_size", size)
     # Edits left of the piece shift it by at most piece_no, edits right of it by at most _k - piece_no.
@@ -73,7 +76,8 @@ def _left_pieces(names: DataFrame, group: list[str], threshold: float) -> DataFr
     )
     cut = cut.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
     cut = cut.withColumn("_at", F.explode(F.expr("sequence(_low, _high)")))
-    return cut.select(*group, "v", "v_len", "w_len", "piece_no", F.substr("v", F.col("_at"), F.col("_size")).alias("piece")).distinct()
+    piece = F.substr("v", F.col("_at"), F.col("_size")).alias("piece")
+    return cut.select(*group, "v", "v_len", "w_len", F.col("_k").alias("edits"), "piece_no", piece).distinct()
 
 
 def _one_shorter(words: Column) -> Column:
@@ -113,7 +117,7 @@ def similar_names(
         *group, "v", F.col("v").alias("w"), F.lit(1.0).alias("score")
     )
 
-    at = [*group, "w_len", "piece_no", "piece"]
+    at = [*group, "w_len", "edits", "piece_no", "piece"]
     lp, rp = _left_pieces(lv, group, threshold), _right_pieces(rw, group, threshold)
     meets = lp.groupBy(*at).agg(F.count("*").alias("_l")).hint("merge").join(rp.groupBy(*at).agg(F.count("*").alias("_r")), at)
     busy = meets.where(F.col("_l") * F.col("_r") > busy_piece_pairs).select(*at)
@@ -131,7 +135,7 @@ def similar_names(
 def _busy_pairs(lb: DataFrame, rb: DataFrame, group: list[str], threshold: float) -> DataFrame:
     """Candidate pairs among names that touch a busy piece: by variant if short, by piece if long."""
     limit = math.ceil((VARIANT_MAX_EDITS + 1) / (1.0 - threshold) - SLACK) - 1
-    at = [*group, "w_len", "piece_no", "piece"]
+    at = [*group, "w_len", "edits", "piece_no", "piece"]
     reach = {c: _longest_partner(F.col(c), threshold) > limit for c in ("v_len", "w_len")}
     long_pairs = (
         lb.where(reach["v_len"]).hint("merge").join(rb.where(reach["w_len"]), at)
