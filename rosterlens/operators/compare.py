@@ -81,7 +81,8 @@ def _sure_keys(people: DataFrame, out: str) -> DataFrame:
 
 def sure_links(before: DataFrame, after: DataFrame) -> DataFrame:
     """Links by equal first email or profile URL. In a flattened snapshot each key has one holder."""
-    pairs = _sure_keys(before, "b").join(_sure_keys(after, "a"), [*PAIR, "key"]).select(*PAIR, "b", "a").distinct()
+    # Sorted, not broadcast: the planner does not see that people become several keys each.
+    pairs = _sure_keys(before, "b").hint("merge").join(_sure_keys(after, "a"), [*PAIR, "key"]).select(*PAIR, "b", "a").distinct()
     edges = pairs.select(
         *PAIR, F.col("b").cast("string").alias("v"), F.col("a").cast("string").alias("w"), F.lit(1.0).alias("score")
     )

@@ -7,8 +7,13 @@ form a queue on each side, so a key held by very many people is two queues and o
 Round by round, a queue pair is settled when each side is the other's next choice. It may then
 link a whole run: up to the position where another queue could take from the same people
 (``next_rival``), and up to where an equally good queue has a lower position (``next_equal``).
-Every such link is final. The earliest open person can always be linked, so the rounds end;
-groups with few open rows are finished in one pass each.
+Every such link is final. Groups with few open rows are then finished in one pass each.
+
+The other groups go on with choices: all open people choose at once, each the best place that the
+earlier people left free by their last choices, until no choice changes. A choice depends on earlier
+people only, so what does not change is the rule's result. A round settles whatever depends on
+settled choices alone, in whole queues, so rounds grow with the longest chain of people who displace
+each other, not with the number of people who compete for one name.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlens.operators.ordered import grouped_rank
+from rosterlens.operators.ordered import grouped_rank, running_sum
 from rosterlens.operators.skew import detach
 from rosterlens.session import drop, stage
 
@@ -67,7 +72,7 @@ def _settle_round(edges: DataFrame, before: DataFrame, after: DataFrame, group:
     v_key, w_key = [*group, "v"], [*group, "w"]
     v_head = before.groupBy(*v_key).agg(F.min("b").alias("vb"), F.min("rank").alias("vr"))
     w_head = after.groupBy(*w_key).agg(F.min("a").alias("wa"), F.min("rank").alias("wr"))
-    state = edges.join(v_head, v_key).join(w_head, w_key)
+    state = edges.hint("merge").join(v_head, v_key).hint("merge").join(w_head, w_key)
     choice = Window.partitionBy(*v_key).orderBy(F.desc("score"), "wa")
     turn = Window.partitionBy(*w_key).orderBy("vb")
     next_equal = F.when(F.lead("score").over(choice) == F.col("score"), F.lead("wa").over(choice))
@@ -79,16 +84,51 @@ def _settle_round(edges: DataFrame, before: DataFrame, after: DataFrame, group:
         .where("_choice = 1 and _turn = 1")
         .select(*group, "v", "w", "vr", "wr", "next_equal", "next_rival")
     )
-    takers = before.join(picks, v_key).where("next_rival is null or b < next_rival")
-    taken = after.join(picks, w_key).where("next_equal is null or a < next_equal")
+    takers = before.hint("merge").join(picks, v_key).where("next_rival is null or b < next_rival")
+    taken = after.hint("merge").join(picks, w_key).where("next_equal is null or a < next_equal")
     place = [*group, "v", "w", "place"]
     return (
-        takers.select(*group, "v", "w", "b", (F.col("rank") - F.col("vr")).alias("place"))
+        takers.select(*group, "v", "w", "b", (F.col("rank") - F.col("vr")).alias("place")).hint("merge")
         .join(taken.select(*group, "v", "w", "a", (F.col("rank") - F.col("wr")).alias("place")), place)
         .drop("place")
     )
 
 
+def _choose(options: DataFrame, chosen: DataFrame, seats: DataFrame, group: list[str]) -> DataFrame:
+    """Everyone's best seat (person, w, a) among those that ``chosen`` leaves free of earlier people."""
+    person = [*group, "b", "v", "rank"]
+    asks = options.withColumn("_held", F.lit(0))
+    holds = chosen.select(*person, "w").withColumn("_held", F.lit(1))
+    # A person's own choice stands behind its question, so only earlier people count.
+    both = asks.unionByName(holds, allowMissingColumns=True)
+    counted = running_sum(both, [*group, "w"], ["b", "v", "rank", "_held"], F.col("_held"), "_taken").where("_held = 0")
+    offers = counted.withColumn("seat", F.col("_taken") + 1).hint("merge").join(seats, [*group, "w", "seat"])
+    best = offers.groupBy(*person).agg(F.max_by(F.struct("w", "a"), F.struct(F.col("score"), -F.col("a"))).alias("_best"))
+    return best.select(*person, "_best.w", "_best.a")
+
+
+def _settle_by_choices(edges: DataFrame, before: DataFrame, after: DataFrame, group: list[str]) -> DataFrame:
+    """Links (group, b, a) of open groups of any size."""
+    person = [*group, "b", "v", "rank"]
+    options = stage(before.hint("merge").join(detach(edges), [*group, "v"]).select(*person, "w", "score"), "options")
+    seats = stage(grouped_rank(after, [*group, "w"], ["a", "rank"], "seat").select(*group, "w", "seat", "a"), "seats")
+    chosen = options.select(*person, "w").limit(0)
+    now, done = options, []
+    while True:
+        last, chosen = chosen, stage(_choose(now, chosen, seats, group), "choices")
+        old = last.select(*person, F.col("w").alias("_old"))
+        moved = chosen.join(old, person, "full_outer").where(~F.col("w").eqNullSafe(F.col("_old"))).select(*group).distinct()
+        moved = stage(moved, "moved")
+        done.append(chosen.join(moved, group, "left_anti").select(*group, "b", "a"))
+        if moved.isEmpty():
+            break
+        now, chosen = options.join(moved, group, "left_semi"), chosen.join(moved, group, "left_semi")
+    result = done[0]
+    for more in done[1:]:
+        result = result.unionByName(more)
+    return stage(result, "links")
+
+
 def link_in_order(
     edges: DataFrame, before: DataFrame, after: DataFrame, group: list[str],
     rounds_before_finish: int = ROUNDS_BEFORE_FINISH,
@@ -96,8 +136,9 @@ def link_in_order(
     """Links (group, b, a) from edges (group, v, w, score), before (group, v, b) and after (group, w, a)."""
     v_key, w_key = [*group, "v"], [*group, "w"]
     edges = stage(edges.select(*group, "v", "w", "score"), "edges")
-    before = before.join(detach(edges.select(*v_key).distinct()), v_key, "left_semi").select(*v_key, "b")
-    after = after.join(detach(edges.select(*w_key).distinct()), w_key, "left_semi").select(*w_key, "a")
+    # Tables of people and edges are sorted for joins: packed in files they look small enough to be sent to all through the driver.
+    before = before.join(detach(edges.select(*v_key).distinct()).hint("merge"), v_key, "left_semi").select(*v_key, "b")
+    after = after.join(detach(edges.select(*w_key).distinct()).hint("merge"), w_key, "left_semi").select(*w_key, "a")
     before = stage(grouped_rank(before, v_key, "b"), "before")
     after = stage(grouped_rank(after, w_key, "a"), "after")
     found: list[DataFrame] = []
@@ -112,18 +153,20 @@ def link_in_order(
             edges = stage(edges.join(small, group, "left_anti"), "edges")
             if edges.isEmpty():
                 break
-            before, after = (stage(t.join(small, group, "left_anti"), "open") for t in (before, after))
+            before, after = (t.join(small, group, "left_anti") for t in (before, after))
+            found.append(_settle_by_choices(edges, before, after, group))
+            break
         links = stage(_settle_round(edges, before, after, group), "links")
         found.append(links.select(*group, "b", "a"))
-        before = before.join(links.select(*group, "b"), [*group, "b"], "left_anti")
-        after = after.join(links.select(*group, "a"), [*group, "a"], "left_anti")
+        before = before.join(links.select(*group, "b").hint("merge"), [*group, "b"], "left_anti")
+        after = after.join(links.select(*group, "a").hint("merge"), [*group, "a"], "left_anti")
         edges = stage(
-            edges.join(before.select(*v_key).distinct(), v_key, "left_semi")
-            .join(after.select(*w_key).distinct(), w_key, "left_semi"),
+            edges.join(before.select(*v_key).distinct().hint("merge"), v_key, "left_semi")
+            .join(after.select(*w_key).distinct().hint("merge"), w_key, "left_semi"),
             "edges",
         )
-        before = stage(before.join(detach(edges.select(*v_key).distinct()), v_key, "left_semi"), "before")
-        after = stage(after.join(detach(edges.select(*w_key).distinct()), w_key, "left_semi"), "after")
+        before = stage(before.join(detach(edges.select(*v_key).distinct()).hint("merge"), v_key, "left_semi"), "before")
+        after = stage(after.join(detach(edges.select(*w_key).distinct()).hint("merge"), w_key, "left_semi"), "after")
         for table in last:
             drop(table)
     if not found:

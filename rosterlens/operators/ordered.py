@@ -65,6 +65,27 @@ def carry_last(
     )
 
 
+def running_sum(
+    df: DataFrame, keys: list[str], order: str | list[str], value: Column, out: str, ranges: int | None = None
+) -> DataFrame:
+    """The sum of ``value`` at and before each row of its group, in ``order``."""
+    order = _columns(order)
+    cut = _cut(df.withColumn("_value", value), keys, order, ranges)
+    sums = cut.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # A group inside one range, as most are, has nothing before it; only those over several ranges are joined.
+    spans = sums.withColumn("_before", F.sum("_sum").over(earlier)).where("_before <> 0").drop("_sum")
+    inside = (
+        Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        cut.withColumn("_inside", F.sum("_value").over(inside))
+        .join(spans, [*keys, "_range"], "left")
+        .withColumn(out, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
+        .drop("_range", "_value", "_inside", "_before")
+    )
+
+
 def keep_first(df: DataFrame, keys: list[str | Column], order: str) -> DataFrame:
     """First row of each key in ``order``: a combinable aggregate, so a hot key costs no more than a cold one."""
     row = F.struct(*[F.col(c) for c in df.columns])

@@ -5,7 +5,7 @@ import random
 import pytest
 from helpers import D1, D2, links_in_order, member, members_df, people_in_order, score
 
-from rosterlens.operators import linking
+from rosterlens.operators import linking, similar
 from rosterlens.operators.compare import PAIR, _role, compare_fuzzy, name_links, sure_links
 from rosterlens.operators.flatten import assign_leaders, flatten_people
 from rosterlens.operators.similar import similar_names
@@ -140,3 +140,40 @@ def test_invariants(random_data):
     added, removed = (entries.where(f"kind = '{k}'").count() for k in ("added", "removed"))
     assert counts[(D2,)] - added == counts[(D1,)] - removed
     assert entries.select("site_id", "kind", "ord").distinct().count() == entries.count()
+
+
+def test_chains_of_contended_names_end_in_few_choices(spark, monkeypatch):
+    """Rivals that displace each other over a whole group: few rounds of choices, not one round for each rival."""
+    before = [dict(ord=2 * i, name=f"Person Nr 00{i:03d}", email=None, url=None) for i in range(0, 240, 3)]
+    after = [dict(ord=2 * i + 1, name=f"Person Nr 00{i:03d}", email=None, url=None) for i in range(1, 240, 3)]
+    b = spark.createDataFrame([("g", p["name"].lower(), p["ord"]) for p in before], "g string, v string, b bigint")
+    a = spark.createDataFrame([("g", p["name"].lower(), p["ord"]) for p in after], "g string, w string, a bigint")
+    monkeypatch.setattr(linking, "SMALL_GROUP_ROWS", 0)
+    rounds = []
+    for step in ("_choose", "_settle_round"):
+        plain = getattr(linking, step)
+        monkeypatch.setattr(linking, step, lambda *args, plain=plain: rounds.append(1) or plain(*args))
+    got = {(r.b, r.a) for r in linking.link_in_order(similar_names(b, a, ["g"]), b, a, ["g"]).collect()}
+    assert got == links_in_order(before, after)
+    assert len(rounds) < 15
+
+
+def test_choices_of_long_queues_that_interleave(spark, monkeypatch):
+    rng = random.Random(11)
+    names = ["Vacant Position", "Vacant Positions", "Vacant Positio", "Vacent Position"]
+    before = [dict(ord=i, name=rng.choice(names), email=None, url=None) for i in range(90)]
+    after = [dict(ord=i, name=rng.choice(names[:3]), email=None, url=None) for i in range(70)]
+    b = spark.createDataFrame([("g", p["name"].lower(), p["ord"]) for p in before], "g string, v string, b bigint")
+    a = spark.createDataFrame([("g", p["name"].lower(), p["ord"]) for p in after], "g string, w string, a bigint")
+    monkeypatch.setattr(linking, "SMALL_GROUP_ROWS", 0)
+    got = {(r.b, r.a) for r in linking.link_in_order(similar_names(b, a, ["g"]), b, a, ["g"]).collect()}
+    assert got == links_in_order(before, after)
+
+
+def test_names_of_one_length_meet_by_the_pieces_of_that_length(spark):
+    """Names of 12 letters may differ in one: two pieces of six letters, not three of four as for a partner of 14."""
+    lv = spark.createDataFrame([("g", "abcdefghijkl", 12)], "g string, v string, v_len int")
+    rw = spark.createDataFrame([("g", "abcdxxxxxxxx", 12), ("g", "abcdefghijkx", 12)], "g string, w string, w_len int")
+    at = ["g", "w_len", "edits", "piece_no", "piece"]
+    met = similar._left_pieces(lv, ["g"], 0.85).join(similar._right_pieces(rw, ["g"], 0.85), at)
+    assert [r.w for r in met.collect()] == ["abcdefghijkx"]
