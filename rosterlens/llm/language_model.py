@@ -16,20 +16,20 @@ with the counts by hash. The broadcast tables and the parameters have a fixed si
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlens.llm import recurrent
-from rosterlens.llm.text import ascii_lower, share, words
+from rosterlens.llm.text import share
 from rosterlens.session import stage, spread
 
 N_HEAD = 1024
@@ -67,15 +67,27 @@ class Vocabulary:
         k = self.endings.get(end)
         return ENDINGS + zlib.crc32(end) % HASHED if k is None else k
 
-    def numbers(self) -> dict[bytes, int]:
-        """Head words by their token number (0 is the end), the other frequent ones by N_HEAD + position."""
-        return {w: (k + 1 if k + 1 < N_HEAD else N_HEAD + k) for w, k in self.frequent.items()}
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts, one after another, and how many each text has. Null is empty."""
+    whole = texts.take(pa.array(np.arange(len(texts))))  # a slice shares the offsets of its array, which the functions below do not all heed
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole.cast(pa.large_string()), "")))
+    words, bounds = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    filled = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text makes an empty word
+    seen = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])
+    return words.filter(filled), np.diff(seen[bounds])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, h, c): every lower-cased word of the texts, its hash and its number."""
-    each = docs.select(F.explode(words(ascii_lower(F.col("text")))).alias("word"))
-    return each.groupBy("word").agg(F.count("*").alias("c")).select("word", F.xxhash64("word").alias("h"), "c")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _split(batch.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field(0).cast(pa.string()), found.field(1)], ["word", "c"])
+
+    each = docs.select("text").mapInArrow(count, "word string, c long")
+    return each.groupBy("word").agg(F.sum("c").alias("c")).select("word", F.xxhash64("word").alias("h"), "c")
 
 
 def _ending(word: Column) -> Column:
@@ -122,19 +134,33 @@ def vocabulary(counts: DataFrame, n_docs: int) -> Vocabulary:
     )
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """Texts one after another, each with its end: positions in the tables of ``Numbering`` (-1: other words), tokens, and lengths; the other words in order."""
+
+    at: np.ndarray
+    tokens: np.ndarray
+    lengths: np.ndarray
+    others: pa.Array
+
+
 class Numbering:
-    """Texts as token numbers, with what counts are known here and which words have to be looked up elsewhere."""
+    """Texts as token numbers, with what counts are known here and which words have to be looked up elsewhere.
+
+    Tables hold the end (0), the head words (their token numbers) and the other frequent words (``N_HEAD`` + position).
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.known = vocabulary.numbers()
+        self.words = pa.array(list(vocabulary.frequent), pa.large_binary()).cast(pa.large_string())
+        place = np.fromiter(vocabulary.frequent.values(), np.int64, vocabulary.n_words)
+        self.places = np.append(np.where(place + 1 < N_HEAD, place + 1, N_HEAD + place), -1)  # the last one is of words that are not there
         n = N_HEAD + vocabulary.n_words
         self.token, self.in_class = np.zeros(n, np.int64), np.zeros(n)
         self.log_count = np.zeros(n)
         self.log_count[0] = np.log10(vocabulary.ends + 1)
         self.class_size = np.log10(vocabulary.class_tokens + vocabulary.class_words + 1.0)
-        for word, k in vocabulary.frequent.items():
-            at = self.known[word]
+        for (word, k), at in zip(vocabulary.frequent.items(), self.places.tolist()):
             self.log_count[at] = np.log10(vocabulary.counts[k] + 1)
             if at < N_HEAD:
                 self.token[at] = at
@@ -143,28 +169,30 @@ class Numbering:
                 self.token[at] = N_HEAD + c
                 self.in_class[at] = self.log_count[at] - self.class_size[c]
         self.base = np.log10(vocabulary.total + vocabulary.distinct + 1.0)
-        self.classes: dict[bytes, int] = {}
 
-    def _class(self, word: bytes) -> int:
-        end = word[-ENDING:]
-        got = self.classes.get(end)
-        if got is None:
-            if len(self.classes) > 100_000:
-                self.classes.clear()
-            got = self.classes[end] = self.v.class_of(word)
-        return got
-
-    def split(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """Positions in the tables (-1 for other words), the end included; and the other words in order."""
-        found = (text or "").encode().lower().split()
-        at = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
-        return np.append(at, 0), [found[k] for k in np.flatnonzero(at < 0)]
-
-    def tokens(self, at: np.ndarray, others: list[bytes]) -> np.ndarray:
-        out = self.token[at]
-        if others:
-            out[at < 0] = [N_HEAD + self._class(w) for w in others]
-        return out
+    def numbered(self, texts: pa.Array) -> Numbered:
+        words, n_words = _split(texts)
+        found = pc.index_in(words, value_set=self.words)
+        places = self.places[pc.fill_null(found, -1).to_numpy()]
+        others = words.filter(pc.is_null(found))
+        lengths = n_words + 1
+        at = np.zeros(len(words) + len(lengths), np.int64)
+        is_word = np.ones(len(at), bool)
+        is_word[np.cumsum(lengths) - 1] = False
+        at[is_word] = places
+        tokens = self.token[at]
+        endings = pc.binary_slice(others.cast(pa.large_binary()), -ENDING).dictionary_encode()
+        classes = np.array([self.v.class_of(e) for e in endings.dictionary.to_pylist()], np.int64)
+        tokens[at < 0] = N_HEAD + classes[endings.indices.to_numpy()]
+        return Numbered(at, tokens, lengths, others)
+
+    def scores(self, x: Numbered) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: known tokens, the base score and the part of the model's score inside classes, both without the counts of the other words."""
+        known, firsts = x.at >= 0, np.cumsum(x.lengths) - x.lengths
+        log_count, in_class = np.where(known, self.log_count[x.at], 0), np.where(known, self.in_class[x.at], 0)
+        in_class[~known] = -self.class_size[x.tokens[~known] - N_HEAD]
+        base = np.add.reduceat(log_count, firsts) - x.lengths * self.base
+        return np.add.reduceat(known, firsts, dtype=np.int64) - (not self.v.ends), base, np.add.reduceat(in_class, firsts)
 
 
 def _round(doc_id: Column, text: Column) -> Column:
@@ -185,19 +213,19 @@ def _training_rounds(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         part = docs.where(_round(F.col("doc_id"), F.col("text")) == number).select("text")
         shared = spark.sparkContext.broadcast(flat)
 
-        def train(rows: Iterator[pd.DataFrame], shared=shared, rate=rate) -> Iterator[pd.DataFrame]:
+        def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             numbering, weight, own = None, 0, shared.value
-            for frame in rows:
+            for batch in batches:
                 numbering = numbering or Numbering(shared_vocabulary.value)
-                for low in range(0, len(frame), SLICE):
-                    texts = [numbering.tokens(*numbering.split(x)) for x in frame.text[low : low + SLICE]]
-                    stream = np.concatenate([np.zeros(1, np.int64), *texts])
+                for low in range(0, len(batch), SLICE):
+                    stream = np.concatenate([np.zeros(1, np.int64), numbering.numbered(batch.column(0)[low : low + SLICE]).tokens])
                     own = recurrent.train_on(shape, own, stream, rate)
                     weight += len(stream) - 1
             if weight:
-                yield pd.DataFrame({"k": [TaskContext.get().partitionId()], "x": [(own.astype(np.float64) * weight).tobytes()], "w": [float(weight)]})
+                arrays = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([(own.astype(np.float64) * weight).tobytes()]), pa.array([float(weight)])]
+                yield pa.RecordBatch.from_arrays(arrays, ["k", "x", "w"])
 
-        flat = _weighted_mean(part.mapInPandas(train, SUMS), flat)
+        flat = _weighted_mean(part.mapInArrow(train, SUMS), flat)
     return flat
 
 
@@ -228,31 +256,35 @@ SCORES = T.StructType([
 ])
 
 
-def _first_pass(docs: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> Column:
-    """The part of both scores that needs no join, and the words that are left for it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vocabulary, flat))
-
-    @F.pandas_udf(SCORES)
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        v, parameters = shared.value
-        numbering, scorer = Numbering(v), recurrent.Scorer(v.shape, parameters)
-        for part in (p[k : k + SLICE] for p in parts for k in range(0, max(len(p), 1), SLICE)):
-            sequences, rows = [], []
-            for text in part:
-                at, others = numbering.split(text)
-                tokens = numbering.tokens(at, others)
-                known = at[at >= 0]
-                base = numbering.log_count[known].sum() - len(at) * numbering.base
-                classes = tokens[at < 0] - N_HEAD
-                model = numbering.in_class[known].sum() - numbering.class_size[classes].sum()
-                rows.append([len(at), len(known) - (not v.ends), base, model, [(w.decode(), n) for w, n in Counter(others).items()]])
-                sequences.append(tokens.astype(np.int32))
-            frame = pd.DataFrame(rows, columns=SCORES.names)
-            frame["model"] += scorer.score(sequences) / LN10
-            yield frame
-
-    return score(F.col("text"))
+def _counted(others: pa.Array, rows: np.ndarray, n_rows: int) -> pa.Array:
+    """For each row the list of its words with their numbers."""
+    kinds = others.dictionary_encode()
+    found, n = np.unique(rows * len(kinds.dictionary) + kinds.indices.to_numpy(), return_counts=True)
+    row, kind = np.divmod(found, max(len(kinds.dictionary), 1))
+    bounds = np.searchsorted(row, np.arange(n_rows + 1)).astype(np.int32)
+    pairs = [kinds.dictionary.take(pa.array(kind)).cast(pa.string()), pa.array(n, pa.int32())]
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(pairs, ["word", "n"]))
+
+
+def _first_pass(rows: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """(doc_id, training) with the part of both scores that needs no join, and the words that are left for it."""
+    shared = rows.sparkSession.sparkContext.broadcast((vocabulary, flat))
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["training"], *SCORES])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbering = scorer = None
+        for part in (b[k : k + SLICE] for b in batches for k in range(0, len(b), SLICE)):
+            if numbering is None:
+                v, parameters = shared.value
+                numbering, scorer = Numbering(v), recurrent.Scorer(v.shape, parameters)
+            x = numbering.numbered(part.column("text"))
+            n_known, base, model = numbering.scores(x)
+            model += scorer.score_joined(x.tokens, x.lengths) / LN10
+            others = _counted(x.others, np.repeat(np.arange(len(x.lengths)), x.lengths)[x.at < 0], len(x.lengths))
+            arrays = [part.column("doc_id"), part.column("training"), pa.array(x.lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(model), others]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    return rows.select("doc_id", "training", "text").mapInArrow(score, schema)
 
 
 def scored(docs: DataFrame, training: Column) -> DataFrame:
@@ -267,8 +299,7 @@ def scored(docs: DataFrame, training: Column) -> DataFrame:
     counts = stage(word_counts(learnt), "word-counts")
     v = vocabulary(counts, learnt.count())
     flat = _training_rounds(learnt, v)
-    first = rows.select("doc_id", "training", _first_pass(rows, v, flat).alias("s")).select("doc_id", "training", "s.*", F.monotonically_increasing_id().alias("row"))
-    first = stage(first, "first-pass")
+    first = stage(_first_pass(rows, v, flat).withColumn("row", F.monotonically_increasing_id()), "first-pass")
     left = first.select("row", F.explode("others").alias("o")).select("row", F.xxhash64("o.word").alias("h"), "o.n")
     looked_up = spread(left, "h").join(counts.select("h", "c"), "h")
     extra = looked_up.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log_counts"))

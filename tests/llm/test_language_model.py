@@ -1,9 +1,11 @@
 import inspect
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rosterlens.llm import language_model, recurrent
@@ -169,3 +171,64 @@ def test_head_words_where_one_count_is_too_frequent_for_a_table(spark, monkeypat
     v = language_model.vocabulary(counts, 5)
     assert v.n_words == language_model.N_HEAD - 1 and list(v.frequent)[:2] == [b"w0000", b"w0001"]
     assert v.class_words.sum() == 3000 - v.n_words and v.distinct == 3001
+
+
+def test_texts_are_numbered_as_bytes_are_split(spark):
+    texts = [None, "", " \t\n\x0b\x0c\r ", "ÀB  É é\x1c\x1d\x85\xa0y\x00z", " Ba ke ", "".join(map(chr, range(1, 300))), "ke new ba New other", "x"]
+    counts = spark.createDataFrame([("ba", 1, 5), ("ke", 2, 4), ("é", 3, 4)], "word string, h long, c long")
+    v = language_model.vocabulary(counts, 2)
+    numbering = language_model.Numbering(v)
+    got = numbering.numbered(pa.array(["cut off", *texts], pa.string())[1:])
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert got.lengths.tolist() == [len(s) + 1 for s in split]
+    assert got.at.tolist() == [k for s in split for k in [*(v.frequent.get(w, -2) + 1 for w in s), 0]]
+    assert [w.encode() for w in got.others.to_pylist()] == [w for s in split for w in s if w not in v.frequent]
+    assert got.tokens.tolist() == [k for s in split for k in [*(v.frequent[w] + 1 if w in v.frequent else language_model.N_HEAD + v.class_of(w) for w in s), 0]]
+    of = np.repeat(np.arange(len(texts)), got.lengths)[got.at < 0]
+    listed = language_model._counted(got.others, of, len(texts)).to_pylist()
+    assert [{r["word"].encode(): r["n"] for r in x} for x in listed] == [Counter(w for w in s if w not in v.frequent) for s in split]
+
+
+def test_words_are_counted_as_bytes_are_split(spark):
+    texts = [None, "", "  ", "A a\x0bB\x1cb É é", "b " * 500]
+    got = language_model.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r.word.encode(): r.c for r in got} == Counter(w for t in texts for w in (t or "").encode().lower().split())
+
+
+def test_windows_of_training_make_no_large_arrays():
+    """What numpy makes anew in every window is cleared by the system each time: the arrays of all classes and blocks are kept."""
+    shape, rng = recurrent.Shape(1024, 96), np.random.default_rng(2)
+    flat = recurrent.initial(shape, rng.integers(1, 50, 1120))
+    grad, x = np.zeros_like(flat), rng.integers(0, 1120, (21, 32))
+    window = lambda: recurrent._window(shape, shape.views(flat), shape.views(grad), np.zeros((recurrent.STATE, 32), np.float32), x[:-1], x[1:])
+    window()
+    tracemalloc.start()
+    window()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000
+
+
+def test_one_work_array_serves_windows_of_other_texts():
+    """Results do not depend on what the kept arrays held before."""
+    shape, flat, rng = small()
+    flat = flat.astype(np.float32)
+    streams = [np.concatenate([[0], rng.integers(0, 67, 1500)]) for _ in range(2)]
+    first = recurrent.train_on(shape, flat, streams[0], 0.01)
+    recurrent.train_on(shape, flat, streams[1], 0.01)
+    assert np.array_equal(first, recurrent.train_on(shape, flat, streams[0], 0.01))
+    texts = [np.append(rng.integers(1, 67, n), 0) for n in (40, 3, 700, 0, 16)]
+    scorer = recurrent.Scorer(shape, first, batch=2)
+    alone = np.concatenate([recurrent.Scorer(shape, first).score([t]) for t in texts])
+    assert np.allclose(scorer.score(texts), alone, rtol=1e-5) and np.allclose(scorer.score(texts[::-1]), alone[::-1], rtol=1e-5)
+
+
+def test_slices_of_batches_keep_all_their_words(spark):
+    texts = [" ".join(f"w{j}" for j in range(5 + k % 7)) for k in range(300)]
+    counts = spark.createDataFrame([("w1", 1, 5), ("w2", 2, 4)], "word string, h long, c long")
+    numbering = language_model.Numbering(language_model.vocabulary(counts, 2))
+    for low, high in ((0, 100), (100, 200), (250, 300)):
+        for kind in (pa.string(), pa.large_string()):
+            got = numbering.numbered(pa.array(texts, kind)[low:high])
+            assert got.lengths.tolist() == [6 + k % 7 for k in range(low, high)]
+            assert got.others.to_pylist() == [w for t in texts[low:high] for w in t.split() if w not in ("w1", "w2")]
