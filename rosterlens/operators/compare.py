@@ -11,7 +11,7 @@ from rosterlens.functions.text import (
 from rosterlens.operators.flatten import flatten_people
 from rosterlens.operators.linking import link_in_order
 from rosterlens.operators.nesting import SNAPSHOT, person_rows
-from rosterlens.operators.similar import similar_names
+from rosterlens.operators.similar import match_names
 from rosterlens.operators.snapshots import adjacent_pairs, snapshot_dates
 from rosterlens.session import stage
 
@@ -83,13 +83,10 @@ def sure_links(before: DataFrame, after: DataFrame) -> DataFrame:
     """Links by equal first email or profile URL. In a flattened snapshot each key has one holder."""
     # Sorted, not broadcast: the planner does not see that people become several keys each.
     pairs = _sure_keys(before, "b").hint("merge").join(_sure_keys(after, "a"), [*PAIR, "key"]).select(*PAIR, "b", "a").distinct()
-    edges = pairs.select(
-        *PAIR, F.col("b").cast("string").alias("v"), F.col("a").cast("string").alias("w"), F.lit(1.0).alias("score")
-    )
     return link_in_order(
-        edges,
-        before.select(*PAIR, F.col("ord").cast("string").alias("v"), F.col("ord").alias("b")),
-        after.select(*PAIR, F.col("ord").cast("string").alias("w"), F.col("ord").alias("a")),
+        pairs.select(*PAIR, F.col("b").alias("v"), F.col("a").alias("w"), F.lit(1.0).alias("score")),
+        before.select(*PAIR, F.col("ord").alias("v"), F.col("ord").alias("b")),
+        after.select(*PAIR, F.col("ord").alias("w"), F.col("ord").alias("a")),
         PAIR,
     )
 
@@ -99,7 +96,12 @@ def name_links(before: DataFrame, after: DataFrame, threshold: float = NAME_THRE
     b = before.where(F.coalesce("name", F.lit("")) != "").select(*PAIR, norm(F.col("name")).alias("v"), F.col("ord").alias("b"))
     a = after.where(F.coalesce("name", F.lit("")) != "").select(*PAIR, norm(F.col("name")).alias("w"), F.col("ord").alias("a"))
     b, a = stage(b, "before-names"), stage(a, "after-names")
-    return link_in_order(similar_names(b, a, PAIR, threshold), b, a, PAIR)
+    groups, left, right, pairs = match_names(b, a, PAIR, threshold)
+    b = b.join(groups, PAIR).join(left.drop("v_len"), ["_group", "v"]).select("_group", F.col("v_id").alias("v"), "b")
+    a = a.join(groups, PAIR).join(right.drop("w_len"), ["_group", "w"]).select("_group", F.col("w_id").alias("w"), "a")
+    edges = pairs.select("_group", F.col("v_id").alias("v"), F.col("w_id").alias("w"), "score")
+    links = link_in_order(edges, stage(b, "before-numbers"), stage(a, "after-numbers"), ["_group"], rounds_before_finish=0)
+    return links.join(groups, "_group").select(*PAIR, "b", "a")
 
 
 def _plain_entries(people: DataFrame, kind: str) -> DataFrame:

@@ -18,9 +18,10 @@ each other, not with the number of people who compete for one name.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,42 +30,95 @@ from rosterlens.operators.skew import detach
 from rosterlens.session import drop, stage
 
 ROUNDS_BEFORE_FINISH = 1
-SMALL_GROUP_ROWS = 50_000
-
-
-def _finish_in_order(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rule itself, on one small group of (kind, v, w, ord, score) rows."""
-    queues: dict[str, deque] = defaultdict(deque)
-    for w, position in rows[rows.kind == "after"].sort_values("ord")[["w", "ord"]].itertuples(index=False):
-        queues[w].append(position)
-    edges: dict[str, list] = defaultdict(list)
-    for v, w, score in rows[rows.kind == "edge"][["v", "w", "score"]].itertuples(index=False):
-        edges[v].append((-score, w))
+# About 60 bytes a row in the task that finishes a group.
+SMALL_GROUP_ROWS = 10_000_000
+EDGE, BEFORE, AFTER = 0, 1, 2
+
+
+def _codes(first: list[pa.Array], second: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Both columns with their values as numbers from 0."""
+    n = sum(map(len, first))
+    codes = pa.concat_arrays([*first, *second]).dictionary_encode().indices.to_numpy()
+    return codes[:n], codes[n:]
+
+
+def _starts(codes: np.ndarray, size: int) -> np.ndarray:
+    """Where the rows of each code begin in rows sorted by code, and the end."""
+    return np.searchsorted(codes, np.arange(size + 1))
+
+
+def _rule(edges: tuple, before: tuple, after: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (b, a) that the rule links: edges as (v, w, score), people as (v, position) and (w, position), with v and w as numbers from 0."""
+    (e_v, e_w, e_score), (b_v, b_at), (a_w, a_at) = edges, before, after
+    sizes = [int(max((x.max() for x in (p, q) if len(x)), default=-1)) + 1 for p, q in ((e_v, b_v), (e_w, a_w))]
+    order = np.lexsort((a_at, a_w))
+    seats, turns = a_at[order], _starts(a_w[order], sizes[1])
+    some = turns[e_w] < turns[e_w + 1]
+    e_v, e_w, e_score = e_v[some], e_w[some], e_score[some]
+    heads = seats[turns[e_w]]
+    order = np.lexsort((heads, -e_score, e_v))
+    low = _starts(e_v[order], sizes[0]).tolist()
+    high = low[1:]
+    queue, score, head, seat = (memoryview(np.ascontiguousarray(x)) for x in (e_w[order], e_score[order], heads[order], seats))
+    end = turns[1:].tolist()
+    turn = turns[:-1].tolist()
     links = []
-    for v, b in rows[rows.kind == "before"].sort_values("ord")[["v", "ord"]].itertuples(index=False):
-        free = [(score, queues[w][0], w) for score, w in edges[v] if queues[w]]
-        if free:
-            _, a, w = min(free)
-            queues[w].popleft()
-            links.append((b, a))
-    group = [c for c in rows.columns if c not in ("kind", "v", "w", "ord", "score")]
-    head = rows[group].iloc[[0] * len(links)].reset_index(drop=True)
-    return head.assign(
-        b=pd.Series([b for b, _ in links], dtype="int64"), a=pd.Series([a for _, a in links], dtype="int64")
-    )
+    people = np.argsort(b_at, kind="stable")
+    for v, b in zip(b_v[people].tolist(), b_at[people].tolist()):
+        first, last = low[v], high[v]
+        while first < last and turn[queue[first]] == end[queue[first]]:
+            first += 1
+        low[v] = first
+        best, best_score, best_seat = -1, 0.0, 0
+        for k in range(first, last):
+            # Queues only move on, so a queue's head at the start bounds its head now.
+            if best >= 0 and (score[k] < best_score or head[k] >= best_seat):
+                break
+            w = queue[k]
+            if turn[w] < end[w] and (best < 0 or seat[turn[w]] < best_seat):
+                best, best_score, best_seat = w, score[k], seat[turn[w]]
+        if best >= 0:
+            turn[best] += 1
+            links.append((b, best_seat))
+    found = np.array(links, dtype="int64").reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _finish_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rule itself, on one small group of (kind, v, w, ord, score) rows, which are kept as arrays of numbers."""
+    edges, before, after, head = ([], [], []), ([], []), ([], []), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head = head or batch.slice(0, 1)
+        for kind, columns, into in ((EDGE, ("v", "w", "score"), edges), (BEFORE, ("v", "ord"), before), (AFTER, ("w", "ord"), after)):
+            part = batch.filter(pa.array(batch.column("kind").to_numpy() == kind))
+            for c, parts in zip(columns, into):
+                parts.append(part.column(c))
+    if head is None:
+        return
+    (e_v, b_v), (e_w, a_w) = _codes(edges[0], before[0]), _codes(edges[1], after[0])
+    score, b_at, a_at = (pa.concat_arrays(x).to_numpy(zero_copy_only=False) for x in (edges[2], before[1], after[1]))
+    for parts in (*edges, *before, *after):
+        parts.clear()
+    b, a = _rule((e_v, e_w, score), (b_v, b_at), (a_w, a_at))
+    group = [c for c in head.schema.names if c not in ("kind", "v", "w", "ord", "score")]
+    same = pa.array(np.zeros(len(b), dtype="int64"))
+    yield pa.RecordBatch.from_arrays([*[head.column(c).take(same) for c in group], pa.array(b), pa.array(a)], names=[*group, "b", "a"])
 
 
 def _finish_small(edges: DataFrame, before: DataFrame, after: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
     """Links of the small groups, and those groups."""
     rows = (
-        edges.withColumn("kind", F.lit("edge"))
-        .unionByName(before.drop("rank").withColumnRenamed("b", "ord").withColumn("kind", F.lit("before")), allowMissingColumns=True)
-        .unionByName(after.drop("rank").withColumnRenamed("a", "ord").withColumn("kind", F.lit("after")), allowMissingColumns=True)
+        edges.withColumn("kind", F.lit(EDGE))
+        .unionByName(before.select(*group, "v", F.col("b").alias("ord"), F.lit(BEFORE).alias("kind")), allowMissingColumns=True)
+        .unionByName(after.select(*group, "w", F.col("a").alias("ord"), F.lit(AFTER).alias("kind")), allowMissingColumns=True)
     )
     small = rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") <= SMALL_GROUP_ROWS).select(*group)
+    small = stage(small, "small-groups")
     kept = rows.join(small, group, "left_semi").select(*group, "kind", "v", "w", "ord", "score")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in edges.select(*group).schema)
-    return kept.groupBy(*group).applyInPandas(_finish_in_order, f"{fields}, b bigint, a bigint"), small
+    return kept.groupBy(*group).applyInArrow(_finish_in_order, f"{fields}, b bigint, a bigint"), small
 
 
 def _settle_round(edges: DataFrame, before: DataFrame, after: DataFrame, group: list[str]) -> DataFrame:
@@ -123,33 +177,45 @@ def _settle_by_choices(edges: DataFrame, before: DataFrame, after: DataFrame, gr
         if moved.isEmpty():
             break
         now, chosen = options.join(moved, group, "left_semi"), chosen.join(moved, group, "left_semi")
-    result = done[0]
-    for more in done[1:]:
+    return stage(_all(done), "links")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    result = tables[0]
+    for more in tables[1:]:
         result = result.unionByName(more)
-    return stage(result, "links")
+    return result
 
 
 def link_in_order(
     edges: DataFrame, before: DataFrame, after: DataFrame, group: list[str],
     rounds_before_finish: int = ROUNDS_BEFORE_FINISH,
 ) -> DataFrame:
-    """Links (group, b, a) from edges (group, v, w, score), before (group, v, b) and after (group, w, a)."""
+    """Links (group, b, a) from edges (group, v, w, score), before (group, v, b) and after (group, w, a).
+
+    Without ``rounds_before_finish``, small groups are finished at once: right where edges outnumber the people by far.
+    """
     v_key, w_key = [*group, "v"], [*group, "w"]
     edges = stage(edges.select(*group, "v", "w", "score"), "edges")
+    found: list[DataFrame] = []
+    if not rounds_before_finish:
+        links, small = _finish_small(edges, before, after, group)
+        found.append(stage(links, "links"))
+        edges = stage(edges.join(small, group, "left_anti"), "edges")
+    if edges.isEmpty():
+        return _all(found) if found else before.select(*group, "b", F.lit(0).cast("bigint").alias("a")).limit(0)
     # Tables of people and edges are sorted for joins: packed in files they look small enough to be sent to all through the driver.
     before = before.join(detach(edges.select(*v_key).distinct()).hint("merge"), v_key, "left_semi").select(*v_key, "b")
     after = after.join(detach(edges.select(*w_key).distinct()).hint("merge"), w_key, "left_semi").select(*w_key, "a")
     before = stage(grouped_rank(before, v_key, "b"), "before")
     after = stage(grouped_rank(after, w_key, "a"), "after")
-    found: list[DataFrame] = []
     round_no = 0
     while not edges.isEmpty():
         round_no += 1
         last = (edges, before, after)
-        if round_no > rounds_before_finish:
+        if round_no > max(rounds_before_finish, 1):
             links, small = _finish_small(edges, before, after, group)
             found.append(stage(links, "links"))
-            small = stage(small, "small-groups")
             edges = stage(edges.join(small, group, "left_anti"), "edges")
             if edges.isEmpty():
                 break
@@ -169,9 +235,4 @@ def link_in_order(
         after = stage(after.join(detach(edges.select(*w_key).distinct()).hint("merge"), w_key, "left_semi"), "after")
         for table in last:
             drop(table)
-    if not found:
-        return before.select(*group, "b", F.lit(0).cast("bigint").alias("a")).limit(0)
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
+    return _all(found)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from helpers import D1, D2, links_in_order, member, members_df, people_in_order, score
 
@@ -177,3 +178,59 @@ def test_names_of_one_length_meet_by_the_pieces_of_that_length(spark):
     at = ["g", "w_len", "edits", "piece_no", "piece"]
     met = similar._left_pieces(lv, ["g"], 0.85).join(similar._right_pieces(rw, ["g"], 0.85), at)
     assert [r.w for r in met.collect()] == ["abcdefghijkx"]
+
+
+def test_running_numbers_are_linked_in_one_pass(spark, monkeypatch):
+    """Names that nearly all resemble each other: no round over their edges, and the common ends of the names are not compared."""
+    rng = random.Random(5)
+    before = [dict(ord=2 * i, name=f"Customer#{n:09d} jr", email=None, url=None) for i, n in enumerate(rng.sample(range(2000), 120))]
+    after = [dict(ord=2 * i + 1, name=f"Customer#{n:09d} jr", email=None, url=None) for i, n in enumerate(rng.sample(range(2000), 110))]
+    columns = ["site_id string, from_date int, to_date int, name string, ord bigint"]
+    b, a = (spark.createDataFrame([("s", 1, 2, p["name"], p["ord"]) for p in side], *columns) for side in (before, after))
+    for step in ("_settle_round", "_settle_by_choices"):
+        monkeypatch.setattr(linking, step, lambda *_: pytest.fail("must be finished at once"))
+    monkeypatch.setattr(similar, "BUSY_PIECE_PAIRS", 10)
+    assert {(r.b, r.a) for r in name_links(b, a).collect()} == links_in_order(before, after)
+
+
+def test_skeletons_are_shared_within_the_edits_only(spark):
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("01") for _ in range(n)) for n in (5, 6, 7, 8) for _ in range(12)})
+    # Ten letters that all share come before: the names are 15 to 18 long and may differ in two letters.
+    texts = spark.createDataFrame([(w, len(w) + 10) for w in words], "t string, n int")
+    found = [similar._skeletons(texts.t, texts.n, [15, 16, 17, 18], 0.85, left) for left in (True, False)]
+    bones = {r.t: (set(r.v), set(r.w)) for r in texts.select("t", found[0].alias("v"), found[1].alias("w")).collect()}
+    for v in words:
+        for w in words:
+            if v != w:
+                near = score("x" * 10 + v, "x" * 10 + w) > 0.85
+                assert near == bool(bones[v][0] & bones[w][1]), (v, w)
+
+
+def test_common_ends_count_in_the_length_only(spark):
+    """Names within the group's common ends, shorter than them, equal to them, and of neighbouring lengths."""
+    names = ["aaaaaaaabbbbbbbb", "aaaaaaaacbbbbbbbb", "aaaaaaaabbbbbbb", "aaaaaaaaccbbbbbbbb", "aaaaaaaabcbbbbbbbb", "aaaaaaaa1234bbbbbbb"]
+    lf = spark.createDataFrame([("g", w) for w in names[::2]] + [("h", w) for w in names], "g string, v string")
+    rf = spark.createDataFrame([("g", w) for w in names[1::2]] + [("h", w) for w in names], "g string, w string")
+    expected = {("g", v, w) for v in names[::2] for w in names[1::2] if score(v, w) > 0.85}
+    expected |= {("h", v, w) for v in names for w in names if score(v, w) > 0.85}
+    found = similar_names(lf, rf, ["g"], busy_piece_pairs=0).collect()
+    assert {(r.g, r.v, r.w) for r in found} == expected
+    assert len(found) == len(expected)
+    assert all(abs(r.score - score(r.v, r.w)) < 1e-12 for r in found)
+
+
+def test_rule_on_numbers_matches_the_queues_of_names():
+    """The pass over arrays takes the best score, then the lowest open place, also where queues move on at different speeds."""
+    rng = random.Random(9)
+    for _ in range(200):
+        names = [rng.choice("ab") + rng.choice("cd") + "Sampleson" + rng.choice(["", "x"]) for _ in range(6)]
+        before, after = ([dict(ord=i, name=rng.choice(names), email=None, url=None) for i in rng.sample(range(99), rng.randint(1, 14))] for _ in "ba")
+        code = {name: i for i, name in enumerate(sorted(set(names)))}
+        edges = [(code[v], code[w], score(v, w)) for v in code for w in code if score(v, w) > 0.85]
+        rng.shuffle(edges)
+        column = lambda rows, i, kind="int64": np.array([r[i] for r in rows], dtype=kind)
+        sides = [[(code[p["name"]], p["ord"]) for p in side] for side in (before, after)]
+        b, a = linking._rule((column(edges, 0), column(edges, 1), column(edges, 2, "float64")), *[(column(s, 0), column(s, 1)) for s in sides])
+        ordered = [sorted(side, key=lambda p: p["ord"]) for side in (before, after)]
+        assert set(zip(b.tolist(), a.tolist())) == links_in_order(*ordered)
