@@ -7,7 +7,8 @@ form a queue on each side, so a key held by very many people is two queues and o
 Round by round, a queue pair is settled when each side is the other's next choice. It may then
 link a whole run: up to the position where another queue could take from the same people
 (``next_rival``), and up to where an equally good queue has a lower position (``next_equal``).
-Every such link is final. Groups with few open rows are then finished in one pass each.
+Every such link is final. Groups with few open rows are then finished in one pass each, over arrays
+of numbers; where edges outnumber people by far, a caller has this done without a round before.
 
 The other groups go on with choices: all open people choose at once, each the best place that the
 earlier people left free by their last choices, until no choice changes. A choice depends on earlier
@@ -30,8 +31,8 @@ from rosterlens.operators.skew import detach
 from rosterlens.session import drop, stage
 
 ROUNDS_BEFORE_FINISH = 1
-# About 60 bytes a row in the task that finishes a group.
-SMALL_GROUP_ROWS = 10_000_000
+# About 100 bytes a row in the task that finishes a group.
+SMALL_GROUP_ROWS = 5_000_000
 EDGE, BEFORE, AFTER = 0, 1, 2
 
 
